@@ -111,7 +111,7 @@ def channel_daily(events: DataFrame) -> DataFrame:
     """Daily seo, direct and social views, side by side."""
     seen = with_channel(events.where(F.col("event_type").isin("pageview", "search")), "referral")
     names = ["seo", "direct", "social"]
-    wide = seen.groupBy(F.to_date("ts").alias("day")).pivot("channel", names).agg(F.count("*"))
+    wide = seen.groupBy(F.to_date("ts").alias("day")).pivot("channel", names).agg(F.count(F.lit(1)))
     return wide.fillna(0, names)
 
 
