@@ -112,7 +112,7 @@ def user_features(events: DataFrame, as_of: datetime) -> DataFrame:
     return users.select(
         "user_id", "sessions", "events", "views", "carts", "checkouts", "purchases",
         F.round("revenue", 2).alias("revenue"),
-        F.round(ratio(F.col("revenue"), F.col("purchases")), 4).alias("aov"),
+        F.round(ratio(F.col("revenue"), F.col("purchases")), 9).alias("aov"),
         F.round(F.coalesce(recency, F.lit(0.0)), 4).alias("recency_days"),
     )
 

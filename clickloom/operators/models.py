@@ -3,6 +3,7 @@
 Only scores (a few numbers) reach the driver; predictions stay DataFrames.
 """
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,10 +22,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.values import ratio
+from clickloom.session import shared_dir
+from clickloom.sources import lake
 
 SEED = 42
 
 
+@contextmanager
+def kept_in_memory(df: DataFrame):
+    """Persist a frame while several passes read it; blocks spill to disk.
+
+    It also pins the rows of each partition, which randomSplit relies on.
+    """
+    kept = lake.keep(df)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def dense_index(ids: DataFrame, column: str, index: str, buckets: int = 4096) -> DataFrame:
     """Number distinct ids 0, 1, 2, … without passing them through one task.
 
@@ -49,16 +65,12 @@ def dense_index(ids: DataFrame, column: str, index: str, buckets: int = 4096) ->
 
 @dataclass
 class Recommender:
-    """A fitted ALS model with the id tables it was trained on."""
+    """A fitted ALS model with the id tables it was trained on, all under one folder."""
 
     als: ALSModel
     users: DataFrame
     products: DataFrame
-
-    def save(self, path: str) -> None:
-        self.als.write().overwrite().save(f"{path}/als")
-        self.users.write.mode("overwrite").parquet(f"{path}/users")
-        self.products.write.mode("overwrite").parquet(f"{path}/products")
+    path: str
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Recommender":
@@ -66,32 +78,42 @@ class Recommender:
             ALSModel.load(f"{path}/als"),
             spark.read.parquet(f"{path}/users"),
             spark.read.parquet(f"{path}/products"),
+            path,
         )
 
 
 def fit_als(
-    ratings: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1
+    ratings: DataFrame, path: str | None = None, rank: int = 10, max_iter: int = 10, reg: float = 0.1
 ) -> tuple[Recommender, float]:
-    """Fit ALS on 80 % of the ratings; returns the model and its RMSE on the rest.
+    """Fit ALS on 80 % of the ratings; returns the saved model and its RMSE on the rest.
 
     ALS wants small integer ids.  Hashing ids into a range would merge
     different users and StringIndexer would hold every id on the driver, so the
-    ids are numbered by dense_index().
+    ids are numbered by dense_index().  The ratings and both id tables are
+    written once under ``path``: every later pass reads them, and the random
+    split always sees the same rows.
     """
-    users = dense_index(ratings, "user_id", "user_idx")
-    products = dense_index(ratings, "product_id", "product_idx")
-    indexed = ratings.join(users, "user_id").join(products, "product_id").select(
+    spark = ratings.sparkSession
+    path = path or shared_dir(spark, "als")
+    ratings.select("user_id", "product_id", "rating").write.mode("overwrite").parquet(f"{path}/ratings")
+    kept = spark.read.parquet(f"{path}/ratings")
+    dense_index(kept, "user_id", "user_idx").write.mode("overwrite").parquet(f"{path}/users")
+    dense_index(kept, "product_id", "product_idx").write.mode("overwrite").parquet(f"{path}/products")
+    users, products = spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/products")
+    indexed = kept.join(users, "user_id").join(products, "product_id").select(
         "user_idx", "product_idx", F.col("rating").cast("float").alias("rating")
     )
-    train, test = indexed.randomSplit([0.8, 0.2], seed=SEED)
     als = ALS(
         rank=rank, maxIter=max_iter, regParam=reg, seed=SEED,
         userCol="user_idx", itemCol="product_idx", ratingCol="rating",
         coldStartStrategy="drop",
     )
-    fitted = als.fit(train)
-    rmse = RegressionEvaluator(metricName="rmse", labelCol="rating").evaluate(fitted.transform(test))
-    return Recommender(fitted, users, products), rmse
+    with kept_in_memory(indexed) as stable:
+        train, test = stable.randomSplit([0.8, 0.2], seed=SEED)
+        fitted = als.fit(train)
+        rmse = RegressionEvaluator(metricName="rmse", labelCol="rating").evaluate(fitted.transform(test))
+    fitted.write().overwrite().save(f"{path}/als")
+    return Recommender(fitted, users, products, path), rmse
 
 
 def als_top_n(
@@ -187,12 +209,9 @@ def best_segments(
     features: DataFrame, columns: list[str], choices=range(2, 7)
 ) -> tuple[PipelineModel, int, dict[int, float]]:
     """The k with the best silhouette; the features are kept while the fits run."""
-    kept = features.persist()
-    try:
-        fits = {k: fit_segments(kept, columns, k) for k in choices}
-        scores = {k: silhouette(model, kept) for k, model in fits.items()}
-    finally:
-        kept.unpersist()
+    with kept_in_memory(features) as stable:
+        fits = {k: fit_segments(stable, columns, k) for k in choices}
+        scores = {k: silhouette(model, stable) for k, model in fits.items()}
     best = max(scores, key=lambda k: scores[k])
     return fits[best], best, scores
 
@@ -226,12 +245,13 @@ def segment_label():
 
 
 def _fit_and_score(estimator, sessions: DataFrame, columns: list[str], path: str | None):
-    train, test = sessions.randomSplit([0.7, 0.3], seed=SEED)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    model = Pipeline(stages=[assembler, estimator]).fit(train)
+    with kept_in_memory(sessions.select("label", *columns)) as stable:
+        train, test = stable.randomSplit([0.7, 0.3], seed=SEED)
+        model = Pipeline(stages=[assembler, estimator]).fit(train)
+        auc = BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(test))
     if path:
         model.write().overwrite().save(path)
-    auc = BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(test))
     return model, auc
 
 

@@ -232,6 +232,6 @@ def user_patterns(events: DataFrame, n: int = 1000) -> DataFrame:
         F.min("first_ts").alias("first_seen"),
         F.max("last_ts").alias("last_seen"),
         F.sum(F.when(bought, F.col("n")).otherwise(0)).alias("purchases"),
-        F.round(F.try_divide(F.sum("spent").cast("double"), F.sum("priced")), 4).alias("avg_purchase_value"),
+        F.round(F.try_divide(F.sum("spent").cast("double"), F.sum("priced")), 9).alias("avg_purchase_value"),
     )
     return users.orderBy(F.desc("total_events"), "user_id").limit(n)

@@ -145,7 +145,7 @@ add(
         count(DISTINCT event_type) AS action_types, {ts_text('min(ts)')} AS first_seen, {ts_text('max(ts)')} AS last_seen,
         count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
         round(sum(CASE WHEN event_type = 'purchase' THEN CAST(price AS DECIMAL(10, 2)) END)::DOUBLE
-          / nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0), 4) AS avg_purchase_value
+          / nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0), 9) AS avg_purchase_value
         FROM ev GROUP BY 1 ORDER BY total_events DESC, user_id LIMIT 1000"""
     ),
 )

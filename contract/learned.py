@@ -80,7 +80,7 @@ add(
         count(*) FILTER (WHERE event_type = 'pageview') AS views, count(*) FILTER (WHERE event_type = 'add_to_cart') AS carts,
         count(*) FILTER (WHERE event_type = 'checkout') AS checkouts, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
         round(coalesce(sum(amount) FILTER (WHERE event_type = 'purchase'), 0), 2) AS revenue,
-        round(coalesce(avg(amount) FILTER (WHERE event_type = 'purchase'), 0), 4) AS aov,
+        round(coalesce(avg(amount) FILTER (WHERE event_type = 'purchase'), 0), 9) AS aov,
         round((epoch(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) // 1000000) / 86400.0::DOUBLE, 4) AS recency_days FROM ev GROUP BY 1"""
     ),
 )
