@@ -18,7 +18,7 @@ def page_base(page: Column) -> Column:
         F.when(page.startswith("/product/") | page.startswith("/p/"), F.lit("/product"))
         .when(page.startswith("/category/"), F.lit("/category"))
         .when(page.startswith("/search"), F.lit("/search"))
-        .otherwise(F.split_part(page, F.lit("?"), F.lit(1)))
+        .otherwise(F.substring_index(page, "?", 1))
     )
 
 
@@ -31,13 +31,13 @@ def pattern_page(page: Column) -> Column:
     return (
         F.when(page.contains("/p/"), F.lit("/product"))
         .when(page.contains("/category"), F.lit("/category"))
-        .otherwise(F.split_part(page, F.lit("?"), F.lit(1)))
+        .otherwise(F.substring_index(page, "?", 1))
     )
 
 
 def _set_parameter(page: Column, name: str, value: Column) -> Column:
     """Set one query parameter, keeping the others and their order."""
-    path = F.split_part(page, F.lit("?"), F.lit(1))
+    path = F.substring_index(page, "?", 1)
     query = F.substring_index(page, "?", -1)
     setting = F.concat(F.lit(name + "="), value)
     parts = F.split(query, "&")

@@ -56,7 +56,9 @@ def referral_channel(referrer: Column) -> Column:
 
 def is_clean(noisy: Column, source: Column) -> Column:
     """True unless the event is flagged noisy or comes from a test source; nulls stay."""
-    return ~F.coalesce(noisy, F.lit(False)) & (source.isNull() | ~source.isin(*NOISY_SOURCES))
+    flagged = F.coalesce(noisy, F.lit(False))
+    generated = F.coalesce(source.isin(*NOISY_SOURCES), F.lit(False))
+    return ~flagged & ~generated
 
 
 def canonical_event_type(event_type: Column) -> Column:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.values import count_if, percent, ratio
+from clickloom.functions.values import percent
 from clickloom.operators.kpis import between
 
 
@@ -42,9 +42,76 @@ def peaks(events: DataFrame) -> DataFrame:
     return hours.unionByName(days)
 
 
-def _local_grid(events: DataFrame, start: datetime, end: datetime, tz_offset_minutes: int) -> DataFrame:
+FACETS = ("hourly", "dow", "by_date", "peak_day", "peak_hour", "top_hours", "top_days")
+
+
+def activity_report(
+    events: DataFrame, start: datetime, end: datetime, tz_offset_minutes: int = 0, n: int = 3
+) -> DataFrame:
+    """Activity in local time as (facet, bucket, events, pct) rows.
+
+    Facets: hourly, dow (0 is Sunday), by_date, peak_day, peak_hour (inside the
+    peak day), top_hours, top_days (after the peak day).  The events are read
+    and shuffled once, into the day × hour grid; everything else works on that
+    grid, whose size depends on the window alone.
+    """
     local = F.col("ts") - F.make_dt_interval(mins=F.lit(tz_offset_minutes))
-    return hourly_counts(events.where(between("ts", start, end)).withColumn("ts", local))
+    grid = hourly_counts(events.where(between("ts", start, end)).withColumn("ts", local))
+    busiest = F.max(F.struct(F.col("events"), (-F.col("hour")).alias("_hour"))).alias("best")
+    days = grid.groupBy("day").agg(F.sum("events").alias("events"), busiest)
+    no_best = F.lit(None).cast("struct<events: bigint, _hour: int>").alias("best")
+
+    def zeros(name, size):
+        ids = F.explode(F.array(*[F.lit(i) for i in range(size)])).alias(name)
+        return events.sparkSession.range(1).select(ids, F.lit(0).cast("long").alias("events"))
+
+    def level(name, rows, key, bucket):
+        every = rows.select(key, "events").unionByName(zeros(key, 24 if key == "hour" else 7))
+        counted = every.groupBy(key).agg(F.sum("events").alias("events"))
+        return counted.select(F.lit(name).alias("level"), bucket.alias("bucket"), "events", no_best)
+
+    two_digits = F.lpad(F.col("hour").cast("string"), 2, "0")
+    with_dow = days.withColumn("dow", F.dayofweek("day") - 1)
+    levels = (
+        level("hour", grid, "hour", two_digits)
+        .unionByName(level("dow", with_dow, "dow", F.col("dow").cast("string")))
+        .unionByName(
+            days.select(
+                F.lit("day").alias("level"), F.date_format("day", "yyyy-MM-dd").alias("bucket"), "events", "best"
+            )
+        )
+    )
+    by_level = Window.partitionBy("level")
+    ranked = levels.withColumns(
+        {
+            "place": F.row_number().over(by_level.orderBy(F.desc("events"), "bucket")),
+            "total": F.sum("events").over(by_level),
+        }
+    )
+
+    def row(condition, facet, bucket=None, count=None):
+        count = F.col("events") if count is None else count
+        values = F.struct(
+            F.lit(facet).alias("facet"),
+            (F.col("bucket") if bucket is None else bucket).alias("bucket"),
+            count.alias("events"),
+            percent(count, F.col("total"), 4).alias("pct"),
+        )
+        return F.when(condition, values)
+
+    hour, dow, day = (F.col("level") == name for name in ("hour", "dow", "day"))
+    place = F.col("place")
+    peak_hour = F.concat(F.lpad((-F.col("best._hour")).cast("string"), 2, "0"), F.lit(":00"))
+    rows = F.array(
+        row(hour, "hourly"),
+        row(hour & (place <= n), "top_hours"),
+        row(dow, "dow"),
+        row(day, "by_date"),
+        row(day & (place == 1), "peak_day"),
+        row(day & (place == 1), "peak_hour", peak_hour, F.col("best.events")),
+        row(day & (place > 1) & (place <= n + 1), "top_days"),
+    )
+    return ranked.select(F.inline(F.array_compact(rows)))
 
 
 def activity_histogram(
@@ -55,65 +122,11 @@ def activity_histogram(
     facet: str = "hourly",
     n: int = 3,
 ) -> DataFrame:
-    """One facet of activity in local time, as (bucket, events, pct) rows.
-
-    Facets: hourly, dow (0 is Sunday), by_date, peak_day, peak_hour (inside the
-    peak day), top_hours, top_days (after the peak day).  All derive from the
-    day × hour grid, so the events are read and shuffled once.
-    """
-    grid = _local_grid(events, start, end, tz_offset_minutes)
-    events_in = F.sum("events").alias("events")
-    total = grid.agg(F.sum("events")).scalar()
-    by_date = grid.groupBy(F.date_format("day", "yyyy-MM-dd").alias("bucket")).agg(events_in)
-    earlier_first = F.struct(F.col("events"), -F.unix_date(F.to_date("bucket")))
-    peak_day = by_date.agg(F.max_by("bucket", earlier_first)).scalar()
-    if facet in ("hourly", "top_hours"):
-        hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-        counted = grid.groupBy("hour").agg(events_in)
-        out = hours.join(counted, "hour", "left").select(
-            F.lpad(F.col("hour").cast("string"), 2, "0").alias("bucket"),
-            F.coalesce("events", F.lit(0)).alias("events"),
-        )
-    elif facet == "dow":
-        days = events.sparkSession.range(7).select(F.col("id").cast("int").alias("dow"))
-        counted = grid.groupBy((F.dayofweek("day") - 1).alias("dow")).agg(events_in)
-        out = days.join(counted, "dow", "left").select(
-            F.col("dow").cast("string").alias("bucket"), F.coalesce("events", F.lit(0)).alias("events")
-        )
-    elif facet in ("by_date", "top_days"):
-        out = by_date
-    elif facet == "peak_day":
-        out = by_date.where(F.col("bucket") == peak_day)
-    elif facet == "peak_hour":
-        inside = grid.where(F.date_format("day", "yyyy-MM-dd") == peak_day)
-        best = F.max_by(F.struct("hour", "events"), F.struct(F.col("events"), -F.col("hour")))
-        out = inside.groupBy("day").agg(best.alias("best")).select(
-            F.concat(F.lpad(F.col("best.hour").cast("string"), 2, "0"), F.lit(":00")).alias("bucket"),
-            F.col("best.events").alias("events"),
-        )
-    else:
+    """One facet of activity_report()."""
+    if facet not in FACETS:
         raise ValueError(f"unknown facet {facet!r}")
-    if facet == "top_days":
-        out = out.where(F.col("bucket") != peak_day)
-    if facet in ("top_hours", "top_days"):
-        out = out.orderBy(F.desc("events"), "bucket").limit(n)
-    return out.withColumn("pct", percent(F.col("events"), total, 4))
-
-
-FACETS = ("hourly", "dow", "by_date", "peak_day", "peak_hour", "top_hours", "top_days")
-
-
-def activity_report(
-    events: DataFrame, start: datetime, end: datetime, tz_offset_minutes: int = 0
-) -> DataFrame:
-    """Every facet in one frame."""
-    out = None
-    for facet in FACETS:
-        rows = activity_histogram(events, start, end, tz_offset_minutes, facet).select(
-            F.lit(facet).alias("facet"), "bucket", "events", "pct"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    report = activity_report(events, start, end, tz_offset_minutes, n)
+    return report.where(F.col("facet") == facet).drop("facet")
 
 
 # Bucket lengths of a trend, in seconds.

@@ -15,15 +15,11 @@ LIGHT = 256
 
 
 def _light_pairs(members: DataFrame) -> DataFrame:
-    """(product, partner, n) over small baskets; each basket lists its own pairs."""
+    """(product, partner, times) for every pair inside a small basket."""
     packed = members.groupBy("basket_id").agg(F.collect_list(F.struct("product_id", "times")).alias("items"))
     one = packed.select("items", F.explode("items.product_id").alias("product_id"))
     both = one.select("product_id", F.inline("items").alias("partner_id", "times"))
-    return (
-        both.where(F.col("product_id") != F.col("partner_id"))
-        .groupBy("product_id", "partner_id")
-        .agg(F.sum("times").alias("n"))
-    )
+    return both.where(F.col("product_id") != F.col("partner_id"))
 
 
 def top_partners(
@@ -62,23 +58,32 @@ def top_partners(
         by_product.select("product_id", "own")
         .join(shared_list, "own")
         .where(F.col("product_id") != F.col("partner_id"))
-        .select("product_id", "partner_id", "together")
+        .select("product_id", "partner_id", F.col("together").alias("in_heavy"))
     )
 
     added = F.aggregate(
         "own", F.lit(0).cast("long"), lambda total, b: total + F.coalesce(F.col("times_in")[b], F.lit(0))
     )
-    from_light = (
-        pairs.join(by_product.select("product_id", "own"), "product_id", "left")
+    no_light = F.lit(0).cast("long").alias("times")
+    candidates = (
+        pairs.select("product_id", "partner_id", "times", F.lit(None).cast("long").alias("in_heavy"))
+        .unionByName(from_heavy.select("product_id", "partner_id", no_light, "in_heavy"))
+        .groupBy("product_id", "partner_id")
+        .agg(F.sum("times").alias("in_light"), F.max("in_heavy").alias("in_heavy"))
+    )
+    scored = (
+        candidates.join(by_product.select("product_id", "own"), "product_id", "left")
         .join(by_product.select(F.col("product_id").alias("partner_id"), "times_in"), "partner_id", "left")
-        .select("product_id", "partner_id", (F.col("n") + F.coalesce(added, F.lit(0))).alias("together"))
+        .select(
+            "product_id",
+            "partner_id",
+            (F.col("in_light") + F.coalesce("in_heavy", added, F.lit(0))).alias("together"),
+        )
     )
-    only_heavy = from_heavy.join(pairs, ["product_id", "partner_id"], "left_anti")
 
     ranked = Window.partitionBy("product_id").orderBy(F.desc("together"), "partner_id")
     return (
-        from_light.unionByName(only_heavy)
-        .withColumn("rank", F.row_number().over(ranked))
+        scored.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= n)
     )
 

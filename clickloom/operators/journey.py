@@ -9,9 +9,8 @@ from clickloom.operators.ordered import across_slots, in_slot, keep_sessions, wi
 
 
 def shop_steps() -> dict[str, Column]:
-    """The six purchase steps, each a condition on one event."""
-    base = pages.page_base(F.col("page"))
-    kind = F.col("event_type")
+    """The six purchase steps, each a condition on event_type and page_base."""
+    base, kind = F.col("page_base"), F.col("event_type")
     return {
         "home_visit": base == "/home",
         "category_view": base.isin("/category", "/search"),
@@ -29,8 +28,10 @@ def ordered_funnel(events: DataFrame, steps: dict[str, Column] | None = None) ->
     is later than some event of the earlier one.  That holds exactly when the
     step's last time is after the earlier step's first time, so two times per
     step and session decide everything: one aggregation, no self-join.
+    Steps may use every event column and ``page_base``.
     """
     steps = steps or shop_steps()
+    events = events.withColumn("page_base", pages.page_base(F.col("page")))
     names = list(steps)
     bounds = []
     for i, condition in enumerate(steps.values()):

@@ -158,42 +158,84 @@ def popular_products(events: DataFrame, products: DataFrame, n: int = 10) -> Dat
     )
 
 
+def _profile_hits(known: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
+    """(session, profile, points) for every profile that can reach the session's top ``n``.
+
+    Tags add at most two points each, so a category is out of reach when
+    categories that beat it even with all tags offer ``n`` untouched products.
+    Profiles hit by tags alone rank like a category without any product.
+    """
+    most = profiles.agg(F.max(F.size("tags")) * 2.0).scalar()
+    sizes = profiles.groupBy("category").agg(F.sum(F.size("members")).alias("size"))
+    categories = known.groupBy("session_id", "category").agg(F.count("*").alias("hits")).join(sizes, "category")
+    entry = F.struct(
+        "category", (F.col("hits") * 5.0).alias("base"), (F.col("size") - F.col("hits")).alias("free")
+    )
+    tags = known.select("session_id", F.explode("tags").alias("tag")).groupBy("session_id").agg(
+        F.collect_set("tag").alias("own_tags")
+    )
+    context = categories.groupBy("session_id").agg(F.collect_list(entry).alias("entries")).join(
+        tags, "session_id", "left"
+    ).withColumn("most", most)
+
+    def offered_above(base):
+        better = F.filter("entries", lambda e: e["base"] > base + F.col("most"))
+        return F.aggregate(better, F.lit(0).cast("long"), lambda total, e: total + e["free"])
+
+    near = context.select("*", F.inline("entries")).where(offered_above(F.col("base")) < n)
+    shared = F.size(F.array_intersect("tags", "own_tags"))
+    by_category = near.join(profiles.select("category", "profile", "tags"), "category").select(
+        "session_id", "profile", (F.col("base") + 2.0 * F.greatest(shared, F.lit(0))).alias("points")
+    )
+    tagged = profiles.select("profile", F.col("category").alias("other"), F.explode("tags").alias("tag"))
+    by_tag = (
+        context.where(offered_above(F.lit(0.0)) < n)
+        .select("session_id", "entries.category", F.explode("own_tags").alias("tag"))
+        .join(tagged, "tag")
+        .where(~F.array_contains("category", F.col("other")))
+        .groupBy("session_id", "profile")
+        .agg((F.count("*") * 2.0).alias("points"))
+    )
+    return by_category.unionByName(by_tag)
+
+
 def session_candidates(events: DataFrame, products: DataFrame, n: int = 12) -> DataFrame:
     """Products that fit each session: +5 per category hit, +2 per shared tag,
     −2 if viewed already; products in the cart are left out.
 
     Products with the same category and tags score alike, so sessions are
-    matched with those profiles.  Of a profile only the first products by id
-    can be in the list: ``n`` of them, plus one for each the session touched.
+    matched with those profiles.  A profile behind better ones that already
+    offer ``n`` products the session has not touched cannot add to the list.
+    Of the others only the first products by id can: ``n`` of them, plus one
+    for each the session touched.
     """
     catalogue = products.select("product_id", "category", F.sort_array(F.array_distinct("tags")).alias("tags"))
+    profiles = catalogue.groupBy("category", "tags").agg(
+        F.min("product_id").alias("profile"), F.sort_array(F.collect_list("product_id")).alias("members")
+    )
     touched = events.where(F.col("product_id").isNotNull()).groupBy("session_id", "product_id").agg(
         F.max(F.col("event_type").isin("add_to_cart", "checkout")).alias("in_cart"),
         F.max(F.col("event_type").isin("pageview", "product_view")).alias("viewed"),
     )
-    known = touched.join(catalogue, "product_id")
-
-    profiles = catalogue.groupBy("category", "tags").agg(
-        F.sort_array(F.collect_list("product_id")).alias("members")
+    members = profiles.select("profile", "category", "tags", F.explode("members").alias("product_id"))
+    known = touched.select("session_id", "product_id").join(members, "product_id")
+
+    hits = _profile_hits(known, profiles, n)
+    used = known.groupBy("session_id", "profile").agg(F.count("*").cast("int").alias("used"))
+    sizes = profiles.select("profile", F.size("members").alias("size"))
+    better = Window.partitionBy("session_id").orderBy(F.desc("points")).rangeBetween(
+        Window.unboundedPreceding, -1
     )
-
-    by_category = known.groupBy("session_id", "category").agg((F.count("*") * 5.0).alias("points"))
-    by_tag = known.select("session_id", F.explode("tags").alias("tag")).distinct()
-    tagged = profiles.select("category", "tags", F.explode("tags").alias("tag"))
-    hits = (
-        by_category.join(profiles.drop("members"), "category")
-        .select("session_id", "category", "tags", "points")
-        .unionByName(
-            by_tag.join(tagged, "tag").select("session_id", "category", "tags", F.lit(2.0).alias("points"))
-        )
-        .groupBy("session_id", "category", "tags")
-        .agg(F.sum("points").alias("points"))
+    free = F.col("size") - F.coalesce("used", F.lit(0))
+    wanted = (
+        hits.join(used, ["session_id", "profile"], "left")
+        .join(sizes, "profile")
+        .withColumn("ahead", F.coalesce(F.sum(free).over(better), F.lit(0)))
+        .where(F.col("ahead") < n)
     )
-    used = known.groupBy("session_id", "category", "tags").agg(F.count("*").alias("used"))
-    reach = F.coalesce("used", F.lit(0)).cast("int") + n
+    reach = F.coalesce("used", F.lit(0)) + n
     scored = (
-        hits.join(used, ["session_id", "category", "tags"], "left")
-        .join(profiles, ["category", "tags"])
+        wanted.join(profiles.select("profile", "members"), "profile")
         .select("session_id", "points", F.explode(F.slice("members", F.lit(1), reach)).alias("product_id"))
         .join(touched, ["session_id", "product_id"], "left")
         .where(~F.coalesce("in_cart", F.lit(False)))

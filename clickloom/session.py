@@ -6,13 +6,17 @@ from pyspark.sql import SparkSession
 
 # Settings the operators are planned for.  AQE sizes and splits shuffle
 # partitions; forcing the skew join lets it split a hot key even where the
-# split costs one more exchange.
+# split costs one more exchange.  The small minimum keeps
+# small inputs that expand in a join spread over all cores; large ones never
+# reach it.  Call-site capture only slows plan building.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -4,7 +4,7 @@ The generated tables know no pages, sessions or products, so these rules
 derive them from the event's ``k`` property; FIXTURES.md states each rule.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import sessions
@@ -15,70 +15,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _event_type(k: Column) -> Column:
-    raw = F.col("event_type")
-    return (
-        F.when(raw == "view", F.lit("pageview"))
-        .when((raw == "click") & (k % 4 == 0), F.lit("remove_from_cart"))
-        .when(raw == "click", F.lit("add_to_cart"))
-        .when(raw == "signup", F.lit("checkout"))
-        .when(raw == "error", F.lit("search"))
-        .otherwise(raw)
-    )
-
-
-def _page(k: Column) -> Column:
-    raw = F.col("event_type")
-    text = k.cast("string")
-    return (
-        F.when((raw == "view") & (k % 5 == 0), F.lit("/home"))
-        .when((raw == "view") & (k % 5 == 1), F.concat(F.lit("/category?category=cat"), (k % 8).cast("string")))
-        .when(raw == "view", F.concat(F.lit("/p/item-"), text, F.lit("?id="), text))
-        .when(raw == "click", F.lit("/cart"))
-        .when(raw == "error", F.lit("/search"))
-        .otherwise(F.lit("/checkout"))
-    )
-
-
-def _referrer(user: Column) -> Column:
-    names = ("google", "bing", "facebook", "twitter", "ads", "direct", "blog.partner.com", "")
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (user % 8 + 1).cast("int"))
+# The rules of FIXTURES.md as Spark SQL, one text per column.
+_PAGE = """CASE WHEN event_type = 'view' AND k % 5 = 0 THEN '/home'
+  WHEN event_type = 'view' AND k % 5 = 1 THEN concat('/category?category=cat', k % 8)
+  WHEN event_type = 'view' THEN concat('/p/item-', k, '?id=', k)
+  WHEN event_type = 'click' THEN '/cart'
+  WHEN event_type = 'error' THEN '/search'
+  ELSE '/checkout' END"""
+_EVENT_TYPE = """CASE event_type WHEN 'view' THEN 'pageview' WHEN 'signup' THEN 'checkout' WHEN 'error' THEN 'search'
+  WHEN 'click' THEN IF(k % 4 = 0, 'remove_from_cart', 'add_to_cart') ELSE event_type END"""
+_REFERRER = """element_at(array('google', 'bing', 'facebook', 'twitter', 'ads', 'direct', 'blog.partner.com', ''),
+  CAST(user_id % 8 + 1 AS int))"""
+_PATH = """CASE WHEN event_type <> 'view' THEN NULL WHEN k % 5 = 0 THEN '/home'
+  WHEN k % 5 = 1 THEN '/category' ELSE '/p' END"""
+_BASKET = """CASE WHEN event_type = 'signup'
+  THEN array(CAST(k AS string), CAST((k + 1) % 100 AS string), CAST((k + 7) % 100 AS string)) END"""
+_TOTAL = "CASE WHEN event_type = 'purchase' AND k % 10 <> 0 THEN value END"
+_NOISY = "CASE WHEN k = 98 THEN true WHEN k % 2 = 0 THEN false END"
+_SOURCE = "CASE WHEN k = 99 THEN 'simulation' WHEN k % 2 = 0 THEN 'realistic_seed' END"
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return _table(spark, sf_dir, "events").withColumn("k", k)
+    return _table(spark, sf_dir, "events").selectExpr(
+        "*", "CAST(get_json_object(props, '$.k') AS bigint) AS k"
+    )
 
 
 def unsessioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical event columns, but without a session."""
-    k = F.col("k")
-    raw = F.col("event_type")
-    page_base = F.when(raw == "view", F.split_part(_page(k), F.lit("?"), F.lit(1)))
-    pid = k.cast("string")
-    basket = F.array(pid, ((k + 1) % 100).cast("string"), ((k + 7) % 100).cast("string"))
-    total = F.when((raw == "purchase") & (k % 10 != 0), F.col("value"))
-    return _base(spark, sf_dir).select(
+    return _base(spark, sf_dir).selectExpr(
         "event_id",
-        F.col("user_id").cast("string").alias("user_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        _page(k).alias("page"),
-        _event_type(k).alias("event_type"),
-        pid.alias("product_id"),
-        F.concat(F.lit("item-"), pid).alias("product_name"),
-        F.concat(F.lit("cat"), (k % 8).cast("string")).alias("category"),
-        F.col("value").alias("price"),
-        (k % 3 + 1).cast("int").alias("quantity"),
-        F.coalesce(total, F.col("value")).alias("amount"),
-        F.when(raw == "signup", basket).alias("product_ids"),
-        _referrer(F.col("user_id")).alias("referrer"),
-        F.lit(None).cast("string").alias("utm_source"),
-        F.when(k == 99, F.lit("simulation"))
-        .when(k % 2 == 0, F.lit("realistic_seed"))
-        .alias("source"),
-        F.lit(None).cast("string").alias("search_term"),
-        F.when(page_base.startswith("/p/"), F.lit("/p")).otherwise(page_base).alias("path"),
-        F.when(k == 98, True).when(k % 2 == 0, False).alias("noisy"),
+        "CAST(user_id AS string) AS user_id",
+        "CAST(ts AS timestamp) AS ts",
+        f"{_PAGE} AS page",
+        f"{_EVENT_TYPE} AS event_type",
+        "CAST(k AS string) AS product_id",
+        "concat('item-', k) AS product_name",
+        "concat('cat', k % 8) AS category",
+        "value AS price",
+        "CAST(k % 3 + 1 AS int) AS quantity",
+        f"coalesce({_TOTAL}, value) AS amount",
+        f"{_BASKET} AS product_ids",
+        f"{_REFERRER} AS referrer",
+        "CAST(NULL AS string) AS utm_source",
+        f"{_SOURCE} AS source",
+        "CAST(NULL AS string) AS search_term",
+        f"{_PATH} AS path",
+        f"{_NOISY} AS noisy",
     )
 
 
@@ -94,27 +77,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events as a tracker would send them: text times and a property map."""
-    k = F.col("k")
-    raw = F.col("event_type")
-    pid = k.cast("string")
-    total = F.when((raw == "purchase") & (k % 10 != 0), F.col("value").cast("string"))
-    props = F.create_map(
-        F.lit("product_id"), pid,
-        F.lit("category"), F.concat(F.lit("cat"), (k % 8).cast("string")),
-        F.lit("price"), F.col("value").cast("string"),
-        F.lit("quantity"), (k % 3 + 1).cast("string"),
-        F.lit("total_amount"), total,
-        F.lit("referrer"), _referrer(F.col("user_id")),
-    )
-    return _base(spark, sf_dir).select(
+    properties = f"""map('product_id', CAST(k AS string), 'category', concat('cat', k % 8), 'price', CAST(value AS string),
+      'quantity', CAST(k % 3 + 1 AS string), 'total_amount', CAST({_TOTAL} AS string), 'referrer', {_REFERRER})"""
+    return _base(spark, sf_dir).selectExpr(
         "event_id",
-        F.col("user_id").cast("string").alias("user_id"),
-        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
-        _page(k).alias("page"),
-        raw.alias("event_type"),
-        props.alias("properties"),
-        F.when(k == 98, True).when(k % 2 == 0, False).alias("noisy"),
+        "CAST(user_id AS string) AS user_id",
+        "concat('s', user_id) AS session_id",
+        "CAST(unix_seconds(CAST(ts AS timestamp)) AS string) AS timestamp",
+        f"{_PAGE} AS page",
+        "event_type",
+        f"{properties} AS properties",
+        f"{_NOISY} AS noisy",
     )
 
 
