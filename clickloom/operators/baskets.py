@@ -33,12 +33,12 @@ def top_partners(
     named = items.where(F.coalesce("product_id", F.lit("")) != "")
     times = F.count("*") if count_repeats else F.lit(1).cast("long")
     members = named.groupBy("basket_id", "product_id").agg(times.alias("times"))
+    # An inner join, as Spark would push a semi join below the grouping and so
+    # bring all raw rows of a basket to one task.
     sizes = members.groupBy("basket_id").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > light).select("basket_id")
-    small = sizes.where((F.col("size") <= light) & (F.col("size") > 1)).select("basket_id")
-
-    pairs = _light_pairs(members.join(small, "basket_id", "left_semi"))
-    heavy = members.join(large, "basket_id", "left_semi")
+    sized = members.join(sizes, "basket_id")
+    pairs = _light_pairs(sized.where((F.col("size") <= light) & (F.col("size") > 1)))
+    heavy = sized.where(F.col("size") > light).select("basket_id", "product_id", "times")
 
     by_product = heavy.groupBy("product_id").agg(
         F.sort_array(F.collect_list("basket_id")).alias("own"),
@@ -82,10 +82,7 @@ def top_partners(
     )
 
     ranked = Window.partitionBy("product_id").orderBy(F.desc("together"), "partner_id")
-    return (
-        scored.withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= n)
-    )
+    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
 def top_pairs(items: DataFrame, n: int = 10, light: int = LIGHT) -> DataFrame:

@@ -89,9 +89,11 @@ def abandoned_carts(sessions: DataFrame) -> DataFrame:
 
 def never_purchased(events: DataFrame) -> DataFrame:
     """Sessions with an add and no purchase at all."""
-    adds = events.where(F.col("event_type") == "add_to_cart").select("session_id").distinct()
-    buys = events.where(F.col("event_type") == "purchase").select("session_id").distinct()
-    return adds.join(buys, "session_id", "left_anti")
+    kind = F.col("event_type")
+    sessions = events.where(kind.isin("add_to_cart", "purchase")).groupBy("session_id").agg(
+        F.bool_or(kind == "add_to_cart").alias("added"), F.bool_or(kind == "purchase").alias("bought")
+    )
+    return sessions.where(F.col("added") & ~F.col("bought")).select("session_id")
 
 
 def most_abandoned(carts: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
@@ -157,12 +159,22 @@ def value_buckets(events: DataFrame) -> DataFrame:
 
 
 def recovery_opportunities(events: DataFrame, n: int = 100) -> DataFrame:
-    """Users with more than one abandoned cart, most valuable first."""
-    adds = events.where(F.col("event_type") == "add_to_cart").groupBy("user_id", "session_id").agg(
-        F.max("price").alias("cart_value"), F.max("ts").alias("last_activity")
+    """Users with more than one abandoned cart, most valuable first.
+
+    A cart is abandoned when nobody bought in its session.  One aggregation
+    finds adds and purchases together, where an anti join would shuffle every
+    add by session.
+    """
+    kind = F.col("event_type")
+    added = kind == "add_to_cart"
+    carts = events.where(kind.isin("add_to_cart", "purchase")).groupBy("session_id", "user_id").agg(
+        F.max(F.when(added, F.col("price"))).alias("cart_value"),
+        F.max(F.when(added, F.col("ts"))).alias("last_activity"),
+        F.bool_or(kind == "purchase").alias("bought"),
     )
-    bought = events.where(F.col("event_type") == "purchase").select("session_id").distinct()
-    users = adds.join(bought, "session_id", "left_anti").groupBy("user_id").agg(
+    bought = F.bool_or("bought").over(Window.partitionBy("session_id"))
+    left = carts.withColumn("bought", bought).where(~F.col("bought") & F.col("last_activity").isNotNull())
+    users = left.groupBy("user_id").agg(
         F.count("*").alias("abandoned_carts"),
         F.round(F.avg("cart_value"), 4).alias("avg_cart_value"),
         F.max("last_activity").alias("latest_abandonment"),

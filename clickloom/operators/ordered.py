@@ -28,12 +28,14 @@ def across_slots():
 
 
 def keep_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Events of the given sessions.
+    """Events of the given sessions (one row per session_id).
 
     The semi join runs on (session, slot) rather than session, so the events of
-    a huge session that is about to be dropped never meet in one task.
+    a huge session that is about to be dropped never meet in one task.  The
+    slots are found by an inner join, as Spark would push a semi join below
+    the distinct and shuffle all events by session after all.
     """
     slotted = with_slot(events)
     pairs = slotted.select("session_id", "_slot").distinct()
-    wanted = pairs.join(sessions.select("session_id"), "session_id", "left_semi")
+    wanted = pairs.join(sessions.select("session_id"), "session_id")
     return slotted.join(wanted, ["session_id", "_slot"], "left_semi").drop("_slot")

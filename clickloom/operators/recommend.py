@@ -79,12 +79,13 @@ def cross_sell(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def cross_sell_for(events: DataFrame, product_id: str, n: int = 5) -> DataFrame:
-    """cross_sell() for one product: a semi join and a count."""
+    """cross_sell() for one product: its sessions joined with their purchases."""
     bought = events.where(F.col("event_type") == "purchase")
-    having = bought.where(F.col("product_id") == product_id).select("session_id").distinct()
-    others = bought.join(having, "session_id", "left_semi").where(F.col("product_id") != product_id)
+    items = bought.groupBy("session_id", "product_id").agg(F.count("*").alias("times"))
+    having = items.where(F.col("product_id") == product_id).select("session_id")
+    others = items.where(F.col("product_id") != product_id).join(having, "session_id")
     return (
-        others.groupBy("product_id").agg(F.count("*").alias("purchases"))
+        others.groupBy("product_id").agg(F.sum("times").alias("purchases"))
         .orderBy(F.desc("purchases"), "product_id").limit(n)
     )
 
@@ -128,7 +129,8 @@ def personalized(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
         )
     )
     everyone = events.select("user_id").distinct()
-    without = everyone.join(own.select("user_id").distinct(), "user_id", "left_anti")
+    served = own.select("user_id", F.lit(True).alias("served")).distinct()
+    without = everyone.join(served, "user_id", "left").where(F.col("served").isNull())
     top = trending(events, as_of, "week", n)
     ranked = F.array_sort(
         F.collect_list(F.struct((-F.col("purchases")).alias("_order"), "product_id", "category", "purchases"))
