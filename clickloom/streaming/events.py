@@ -119,6 +119,18 @@ def read_upserts(spark: SparkSession, table: str, keys: list[str], columns: list
     return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
+def compact_upserts(
+    spark: SparkSession, table: str, target: str, keys: list[str], columns: list[str]
+) -> None:
+    """Rewrite an upsert table into a new folder with one batch of current rows.
+
+    Run it between stream runs; the stream goes on with higher batch numbers.
+    """
+    last = spark.read.parquet(table).agg(F.max("batch_id")).scalar()
+    current = read_upserts(spark, table, keys, columns).withColumn("batch_id", last)
+    current.write.mode("overwrite").partitionBy("batch_id").parquet(target)
+
+
 MINUTE_KEYS = ["window_start", "window_end", "page", "event_type"]
 
 
