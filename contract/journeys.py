@@ -42,6 +42,11 @@ add(
     lambda s, d: journey.ordered_funnel(adapter.all_events(s, d)),
     over_events(funnel_sql("alle")),
 )
+add(
+    "j2_step_rates",
+    lambda s, d: journey.ordered_funnel(adapter.events(s, d)).select("step", "rate_pct"),
+    over_events(f", fn AS ({funnel_sql('ev')}) SELECT step, rate_pct FROM fn"),
+)
 add(
     "j3_event_funnel",
     lambda s, d: journey.event_funnel(adapter.events(s, d)),

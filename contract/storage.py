@@ -221,3 +221,38 @@ add(
         GROUP BY 2"""
     ),
 )
+
+
+def _compacted_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's table after its batches were merged into one."""
+    topic = _topic(spark, sf_dir)
+    table, state, small = (shared_dir(spark, name) for name in ("minutes", "state", "merged"))
+    stream.run_minute_job(stream.text_source(spark, topic), table, state).awaitTermination()
+    stream.compact_upserts(spark, table, small, stream.MINUTE_KEYS, ["count"])
+    return stream.read_minutes(spark, small)
+
+
+def _closed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits the watermark has closed; open ones stay in the stream's state."""
+    topic = _topic(spark, sf_dir)
+    table, state = shared_dir(spark, "closed"), shared_dir(spark, "state")
+    events = stream.accepted(stream.decode(stream.text_source(spark, topic)))
+    visits = stream.session_state(events, "24 hours", delay=None)
+    query = visits.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(table)
+
+
+add("s9_upsert_table", _compacted_minutes, over_events(MINUTES))
+add(
+    "w4_closed_visits",
+    _closed_visits,
+    over_events(
+        f""", g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 86400000000
+             THEN 1 ELSE 0 END AS b FROM alle WHERE event_type <> 'search'),
+        v AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g),
+        x AS (SELECT user_id, n, min(ts) AS f, max(ts) AS l, count(*) AS c FROM v GROUP BY 1, 2)
+        SELECT user_id, {ts_text('f')} AS first_event_at, {ts_text('l')} AS last_event_at, c AS event_count FROM x
+        WHERE l + INTERVAL 24 HOUR <= (SELECT max(ts) FROM g) - INTERVAL 10 MINUTE"""
+    ),
+)
