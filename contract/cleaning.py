@@ -1,7 +1,5 @@
 """F and E rows: cleaning, enrichment, catalogue, sessions."""
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from clickloom.functions import pages, values
@@ -317,5 +315,3 @@ add(
     lambda s, d: adapter.products(s, d).select("product_id", pages.slug(F.col("name")).alias("slug")),
     "SELECT CAST(p_partkey AS VARCHAR) AS product_id, replace(p_name, ' ', '-') AS slug FROM part",
 )
-
-LAST_DAY = datetime(2024, 1, 30)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import features, models
 from clickloom.sources import adapter
-from contract.common import END, PRODUCTS_SQL, add, big, over_events
+from contract.common import END, PRODUCTS_SQL, add, over_events
 
 add(
     "m1_interactions",

@@ -1,17 +1,17 @@
 """S and W rows: lake, results, state, streaming jobs."""
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.operators import activity, kpis
+from clickloom.operators import activity
 from clickloom.plans import report
 from clickloom.session import shared_dir
 from clickloom.sources import adapter, lake, watermarks
 from clickloom.sources import events as source
 from clickloom.streaming import events as stream
-from contract.common import END, MIDDLE, START, USERS_SQL, PRODUCTS_SQL, add, over_events, ts_text
+from contract.common import END, MIDDLE, USERS_SQL, PRODUCTS_SQL, add, over_events, ts_text
 
 FROM, TO = datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18)
 FLAT = ["event_id", "user_id", "ts", "page", "event_type", "product_id", "amount"]
