@@ -45,9 +45,11 @@ def as_bytes(col: str) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "_text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds few rows and, rows permitting, few bytes."""
+    import pyarrow.compute as pc
+
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and (i - start >= SLICE_ROWS or size + n > SLICE_BYTES):
                 yield batch.slice(start, i - start)
@@ -59,13 +61,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "_text") -> Iterator[p
 
 def over_texts(df: DataFrame, text: str, keep: list[str], run: Callable, schema: str) -> DataFrame:
     """Map `run` over slices of (kept columns, `_text` as bytes); it yields record batches of `schema`."""
-    import pyarrow.compute  # noqa: F401
-
     chosen = df.select(*[F.col(f"`{c}`") for c in keep], as_bytes(text).alias("_text"))
 
     def task(batches):
-        import pyarrow.compute  # noqa: F401
-
         yield from run(slices(batches))
 
     return chosen.mapInArrow(task, schema)
