@@ -184,7 +184,7 @@ def linked(fps: DataFrame) -> DataFrame:
     left = several.select("key", F.col("fp").alias("x"), F.col("root").alias("a"))
     right = several.select("key", F.col("fp").alias("y"), F.col("root").alias("b"))
     more = left.join(right, "key").where((F.col("a") < F.col("b")) & near("x", "y")).select("a", "b").distinct()
-    merged = components(more).withColumnsRenamed({"node": "root", "root": "_to"})
+    merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("_to"))
     return roots.select(F.col("node").alias("fp"), "root").union(
         # a fingerprint may link through the second step alone
         merged.join(roots, merged["root"] == roots["node"], "left_anti").select(F.col("root").alias("fp"), "root")
