@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, packing, simhash, suffix_dedup
+from clickloom.llm import decontaminate, langid, packing, simhash, suffix_dedup
 from clickloom.llm.common import table
+from clickloom.llm.sampling import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +90,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from documents whose crc32(doc_id) mod 3 is not 1."""
+    return langid.train(docs.where(crc_mod("doc_id", 3) != 1))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_model(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op3_language"] = op3_language
