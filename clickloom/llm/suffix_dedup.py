@@ -125,6 +125,8 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 def merged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of [first, stop) as maximal runs."""
+    if not len(first):
+        return first, stop
     order = np.argsort(first, kind="stable")
     first, stop = first[order], np.maximum.accumulate(stop[order])
     new = np.ones(len(first), bool)
@@ -362,8 +364,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stored(spans, "spans")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns, n_bytes, n_removed, spans (maximal removed runs) and `kept`, the remaining bytes."""
+def whole_characters(text: bytes, first: int, stop: int) -> tuple[int, int]:
+    """The part of a byte run that holds whole UTF-8 characters only."""
+    while first < stop and text[first] & 0xC0 == 0x80:
+        first += 1
+    while stop < len(text) and stop > first and text[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return first, stop
+
+
+def remove_repeats(
+    docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, characters: bool = False
+) -> DataFrame:
+    """Kept columns, n_bytes, n_removed, spans (maximal removed runs) and `kept`, the remaining bytes.
+
+    With `characters` a run is narrowed to whole characters, so `kept` is text again.
+    """
     keep = keep or ["doc_id"]
     spans = repeated_spans(docs, text_col)
     joined = with_digest(docs, text_col, keep, spans.select("t"), False).join(spans, "t", "left")
@@ -380,6 +396,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
                 if own:
                     first, stop = merged(*np.array([(s["first"], s["stop"]) for s in own], np.int64).T)
                     gone = list(zip(first.tolist(), stop.tolist()))
+                    if characters:
+                        gone = [whole_characters(text, a, b) for a, b in gone]
                 ends = [0, *(x for run in gone for x in run), len(text)]
                 sizes.append(len(text))
                 removed.append(sum(b - a for a, b in gone))
