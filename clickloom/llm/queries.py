@@ -55,12 +55,12 @@ WITH doc AS (
 ), win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)
-), at AS (
+), spot AS (
   SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
   FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
         FROM doc CROSS JOIN (SELECT DISTINCT m FROM win) WHERE len(w) >= m)
 ), hit AS (
-  SELECT doc_id, i, at.m, item_id FROM at JOIN win ON at.m = win.m AND at.s = win.s
+  SELECT doc_id, i, spot.m, item_id FROM spot JOIN win ON spot.m = win.m AND spot.s = win.s
 ), words AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id
