@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, langid, packing, simhash, suffix_dedup
-from clickloom.llm.common import table
+from clickloom.llm import decontaminate, langid, packing, simhash, suffix_dedup, warc
+from clickloom.llm.common import shared_dir, table
 from clickloom.llm.sampling import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,35 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_language"] = op3_language
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    rows = warc.read_archives(spark, path, payloads=False)
+    # The archives are this query's own: a gap would be lost data, so it stops the query.
+    whole = F.when(F.col("kind") == "gap", F.raise_error(F.concat_ws(" ", F.lit("gap in"), "file", "offset"))).otherwise(True)
+    return rows.where(whole.cast("boolean")).select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+QUERIES["op1_warc"] = op1_warc
+SQL["op1_warc"] = """
+WITH d AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
