@@ -155,14 +155,16 @@ def score(texts: list[bytes | None], model: Model, letters: Letters) -> tuple[li
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns (the id), `lang_pred` and `score` of every whole text."""
+    """Kept columns (the id), `lang_pred` and `score` of every whole text.
+
+    Spark broadcasts the model with the function, 256 KB a language.
+    """
     keep = keep or [id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(slices):
         letters = Letters()
         for batch in slices:
-            langs, scores = score(batch.column("_text").to_pylist(), shared.value, letters)
+            langs, scores = score(batch.column("_text").to_pylist(), model, letters)
             columns = [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 

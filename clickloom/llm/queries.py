@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, langid, packing, simhash, suffix_dedup, warc
+from clickloom.llm import decontaminate, langid, packing, quality_rules, simhash, suffix_dedup, warc
 from clickloom.llm.common import shared_dir, table
 from clickloom.llm.sampling import crc_mod
 
@@ -136,3 +136,15 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_rules.judge(docs, quality_rules.references(docs))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
+
+
+QUERIES["op6_rules"] = op6_rules
