@@ -30,7 +30,7 @@ from clickloom.llm.decontaminate import words_of
 COMMON = 0.004
 #: Largest distance of character classes; that of common words is the first number, and for chance the second over
 #: the root of the number of words.
-MOST_CLASSES, MOST_WORDS = 0.28, (0.10, 2.6)
+MOST_CLASSES, MOST_WORDS = 0.28, (0.10, 2.3)
 #: Least characters and words for a verdict.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Base rules: least words, and the largest share of words in repeated windows, in percent.

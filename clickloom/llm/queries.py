@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, langid, packing, quality_rules, simhash, suffix_dedup, warc
+from clickloom.llm import decontaminate, langid, licenses, packing, quality_rules, simhash, suffix_dedup, warc
 from clickloom.llm.common import shared_dir, table
 from clickloom.llm.sampling import crc_mod
 
@@ -148,3 +148,10 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_rules"] = op6_rules
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("license_spans")
+
+
+QUERIES["op8_licenses"] = op8_licenses
