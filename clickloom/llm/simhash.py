@@ -18,9 +18,11 @@ so linked fingerprints share at least one of some 110 keys of 30 bits or more.
 Distances are verified.
 
 Hot buckets: equal fingerprints are merged before.  Each bucket first links its
-members to its smallest one.  Components of those links are then found, and only
-buckets that still hold several components compare members of different
-components, so a dense group of near copies is never expanded into pairs.
+members to its smallest one, and the components of those links are found: once
+for the few keys that hold a whole segment, then for the others, where buckets of
+one component are left out.  Only buckets that still hold several components
+compare members of different components, so a dense group of near copies is never
+expanded into pairs.
 
 Defined cases: null and empty texts have fingerprint zero; fewer words than a
 shingle are one shingle; repeated rows share a component; a null id never names a
@@ -115,8 +117,8 @@ class Golay:
         return out
 
 
-def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of the fingerprints."""
+def fuzzy_keys(fps: np.ndarray, golay: Golay, long: bool, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the fingerprints' keys: the some 26 with a whole segment (long), the rest (wide)."""
     bits = fps.view(np.uint64)
     a = (bits & np.uint64((1 << 23) - 1)).astype(np.int64)
     b = (bits >> np.uint64(23) & np.uint64((1 << 23) - 1)).astype(np.int64)
@@ -134,69 +136,81 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
         rows.append(at)
         keys.append((family << 56) | value[at, which])
 
-    add(1, c, near_a)
-    add(2, c, near_b)
-    add(3, a, near_b)
-    add(4, b, near_a)
-    for k in range(2):
-        half = c >> 9 * k & 0x1FF
-        add(5 + k, a << 9 | half)
-        add(7 + k, b << 9 | half)
-    for k in range(3):
-        add(9 + k, c >> 6 * k & 0x3F, near_a, near_b)
+    if long:
+        add(1, c, near_a)
+        add(2, c, near_b)
+        add(3, a, near_b)
+        add(4, b, near_a)
+        for k in range(2):
+            half = c >> 9 * k & 0x1FF
+            add(5 + k, a << 9 | half)
+            add(7 + k, b << 9 | half)
+    if wide:
+        for k in range(3):
+            add(9 + k, c >> 6 * k & 0x3F, near_a, near_b)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(fps: DataFrame) -> DataFrame:
-    """(key, fp) for every key of distinct fingerprints."""
+def keyed(labels: DataFrame, long: bool, wide: bool) -> DataFrame:
+    """(key, fp, root) for the keys of distinct fingerprints."""
 
     def run(batches):
         golay = Golay()
         for batch in batches:
-            values = np.asarray(batch.column("fp"))
+            values, roots = np.asarray(batch.column("fp")), np.asarray(batch.column("root"))
             for at in range(0, len(values), 2000):
-                part = np.ascontiguousarray(values[at : at + 2000])
-                rows, keys = fuzzy_keys(part, golay)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
+                part, own = np.ascontiguousarray(values[at : at + 2000]), roots[at : at + 2000]
+                rows, keys = fuzzy_keys(part, golay, long, wide)
+                columns = [pa.array(keys), pa.array(part[rows]), pa.array(own[rows])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "root"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    # One row becomes a hundred: spread the few before, over as many tasks as a shuffle has.
+    spread = labels.select("fp", "root").repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return spread.mapInArrow(run, "key long, fp long, root long")
 
 
 def near(x: str, y: str) -> F.Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST
 
 
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """(key, first) of buckets that hold several components, with their smallest fingerprint."""
+    parts = rows.groupBy("key").agg(F.min("fp").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return parts.where("low <> high").select("key", "first")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links (a, b) between roots."""
+    to = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return stored(labels.join(to, "root", "left").select("fp", F.coalesce("_to", "root").alias("root")), "labels")
+
+
 def linked(fps: DataFrame) -> DataFrame:
-    """(fp, root) for every fingerprint that links to another; `fps` holds distinct fingerprints."""
-    rows = keyed(fps)
-    shared = stored(
-        rows.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets"
-    )
-    members = stored(rows.join(shared, "key"), "members")
-    stars = members.where(F.col("fp") != F.col("first")).where(near("fp", "first"))
-    roots = stored(components(stars.select(F.col("fp").alias("a"), F.col("first").alias("b"))), "roots")
-
-    # Buckets of three or more that hold several components, one of them away from the smallest member.
-    several = members.where("n > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    several = several.select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = several.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    several = stored(several.join(mixed.select("key"), "key"), "mixed")
-    left = several.select("key", F.col("fp").alias("x"), F.col("root").alias("a"))
-    right = several.select("key", F.col("fp").alias("y"), F.col("root").alias("b"))
+    """(fp, root) for distinct fingerprints `fp`; fingerprints of a component have the same root."""
+    labels = stored(fps.select("fp", F.col("fp").alias("root")), "labels")
+    held = []
+    for long, wide in ((True, False), (False, True)):
+        rows = keyed(labels, long, wide)
+        mixed = stored(mixed_buckets(rows), "buckets")
+        members = stored(rows.join(mixed, "key"), "members")
+        held.append(members.select("key", "fp"))
+        stars = members.where(near("fp", "first")).join(labels.select(F.col("fp").alias("first"), F.col("root").alias("to")), "first")
+        labels = relabelled(labels, stars.select(F.col("root").alias("a"), F.col("to").alias("b")))
+
+    # Where a bucket is still mixed, members of different components are compared.
+    members = held[0].union(held[1]).join(labels, "fp")
+    members = stored(members.join(mixed_buckets(members).select("key"), "key"), "mixed")
+    left = members.select("key", F.col("fp").alias("x"), F.col("root").alias("a"))
+    right = members.select("key", F.col("fp").alias("y"), F.col("root").alias("b"))
     more = left.join(right, "key").where((F.col("a") < F.col("b")) & near("x", "y")).select("a", "b").distinct()
-    merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    return roots.select(F.col("node").alias("fp"), "root").union(
-        # a fingerprint may link through the second step alone
-        merged.join(roots, merged["root"] == roots["node"], "left_anti").select(F.col("root").alias("fp"), "root")
-    ).join(merged, "root", "left").select("fp", F.coalesce("_to", "root").alias("root"))
+    return relabelled(labels, more)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the id, `fp` and `component_id`, the smallest id reachable over links."""
     marks = stored(fingerprints(docs, size, id_col, text_col), "fingerprints")
     lowest = marks.groupBy("fp").agg(F.min(id_col).alias("_low"))
-    roots = lowest.join(linked(lowest.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = stored(roots, "roots")
+    roots = stored(lowest.join(linked(lowest.select("fp")), "fp"), "roots")
     names = roots.groupBy("root").agg(F.min("_low").alias("component_id"))
     return marks.join(roots.join(names, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 

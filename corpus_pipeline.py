@@ -55,8 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = plain.select(doc_id, text, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("d")).alias("_row"))
     marks = stored(simhash.fingerprints(keyed, 4, doc_id, text, ["_row"]), "marks")
     lowest = marks.groupBy("fp").agg(F.min("_row").alias("_low"))
-    roots = lowest.join(simhash.linked(lowest.select("fp")), "fp", "left")
-    best = roots.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("_low").alias("_row"))
+    roots = lowest.join(simhash.linked(lowest.select("fp")), "fp")
+    best = roots.groupBy("root").agg(F.min("_low").alias("_row"))
     chosen = best.select(row_key(F.col("_row.id"), F.col("_row.d")).alias("_key"))
     kept = plain.withColumn("_key", row_key(F.col(doc_id), digest)).join(chosen, "_key")
     others = [F.col(c).asc_nulls_last() for c in plain.columns if c not in (doc_id, text)]
