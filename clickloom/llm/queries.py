@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, langid, licenses, packing, quality_rules, simhash, suffix_dedup, warc
+from clickloom.llm import crf, decontaminate, langid, licenses, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from clickloom.llm.common import shared_dir, table
 from clickloom.llm.sampling import crc_mod
 
@@ -155,3 +155,32 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_licenses"] = op8_licenses
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (crc_mod("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_matches",
+    )
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    return crf.score(docs, model).select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+QUERIES["op5_quality"] = op5_quality
