@@ -8,12 +8,13 @@ land wherever Spark can write; the separator it needs is a zero byte, which gzip
 takes for padding at the end of a file.
 
 Reading.  An archive is checked member by member, or record by record if it is
-not compressed: the gzip checksum, the version line, a whole header, the content
-length, the closing blank lines, and the block and payload digests.  After a
-failed check the reader searches for the next gzip member or version line that
-passes all checks, goes on from there, and reports the bytes between as a gap.
-A damaged archive therefore costs the damaged records only.  Archives are read
-one per task and whole; the writer starts a new one at `FILE_BYTES`.
+not compressed: the gzip checksum, the version line, a whole header with its
+mandatory fields, the content length, the closing blank lines, and the block and
+payload digests.  After a failed check the reader searches for the next gzip
+member or version line that passes all checks, goes on from there, and reports
+the bytes between as a gap.  A damaged archive therefore costs the damaged records
+only.  Archives are read whole, one at a time; the writer starts a new one at
+`FILE_BYTES`.
 
 Defined cases: a null payload is empty; rows with a null id are responses; rows
 with the smallest id are all responses if that id is repeated; null addresses are
@@ -40,6 +41,7 @@ HEADER_END = re.compile(rb"\r?\n\r?\n")
 PADDING = re.compile(rb"\0+")
 HEADER_BYTES = 1 << 16
 END = b"\r\n\r\n"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -149,7 +151,9 @@ def record_at(data: bytes, at: int) -> tuple[dict | str, int]:
         if not colon:
             return "header", at
         fields[name.strip().lower()] = value.strip()
-    length = fields.get("content-length", "")
+    if not MANDATORY <= fields.keys():
+        return "mandatory field", at
+    length = fields["content-length"]
     if not (length.isascii() and length.isdigit()):
         return "content length", at
     stop = end.end() + int(length)
