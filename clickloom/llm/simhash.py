@@ -11,10 +11,11 @@ some word is within one bit of both.  By pigeonhole, of at most four errors
 - some in c, none in a: b has at most two     -> a, and codewords of b
   or three in b and one in c                  -> a, and an exact half of c
 - the same with a and b exchanged
-- some in each: a and b have at most two, c at most two
-                                              -> codewords of a and b, and an exact third of c
+- some in each, one in c: a and b have at most two
+                                              -> codewords of a and b, and an exact half of c
+- one in a, one in b, two in c                -> exact halves of a and b, and an exact third of c
 
-so linked fingerprints share at least one of some 110 keys of 30 bits or more.
+so linked fingerprints share at least one of some 95 keys of 29 bits or more.
 Distances are verified.
 
 Hot buckets: equal fingerprints are merged before.  Each bucket first links its
@@ -146,8 +147,12 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay, long: bool, wide: bool) -> tuple[n
             add(5 + k, a << 9 | half)
             add(7 + k, b << 9 | half)
     if wide:
-        for k in range(3):
-            add(9 + k, c >> 6 * k & 0x3F, near_a, near_b)
+        for k in range(2):
+            add(9 + k, c >> 9 * k & 0x1FF, near_a, near_b)
+        for i in range(12):
+            # One error in a, one in b, two in c: halves of a and b and a third of c are exact.
+            left, right = a >> 12 * (i % 2) & 0xFFF, b >> 12 * (i // 2 % 2) & 0xFFF
+            add(11 + i, (left << 12 | right) << 6 | c >> 6 * (i // 4) & 0x3F)
     return np.concatenate(rows), np.concatenate(keys)
 
 
