@@ -168,7 +168,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, t
     marks = marks.where("_label in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
     chosen = labelled_sample(marks, "_label", "_id", per_label)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"))
-    return texts.join(chosen, "_id").select("_label", "_t").distinct()
+    # At most a few times per_label ids, so the documents need not move.
+    return texts.join(F.broadcast(chosen), "_id").select("_label", "_t").distinct()
 
 
 def train(
