@@ -49,8 +49,11 @@ def _set_parameter(page: Column, name: str, value: Column) -> Column:
     return F.concat(path, F.lit("?"), F.array_join(full, "&"))
 
 
-def canonical_product_page(page: Column, product_id: Column, id_length: int | None = 24) -> Column:
-    """'/p/<slug>?id=<product_id>' when the event names its product."""
+def canonical_product_page(page: Column, product_id: Column, id_length: int | None = None) -> Column:
+    """'/p/<slug>?id=<product_id>' when the event names its product.
+
+    ``id_length`` leaves ids of another length as they are.
+    """
     usable = F.coalesce(product_id, F.lit("")) != ""
     if id_length is not None:
         usable = usable & (F.length(product_id) == id_length)

@@ -1,6 +1,6 @@
 """Lenient casts: timestamps in mixed forms, amounts with commas, ids."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.schema import AMOUNT_KEYS
@@ -78,7 +78,13 @@ def count_if(condition: Column) -> Column:
 
 
 def money(col: Column) -> Column:
-    return col.cast("decimal(10,2)")
+    """Exact cents; a price beyond 10^26 counts as none, so that one bad row stops no job."""
+    return col.try_cast("decimal(28,2)")
+
+
+def one_per_id(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per key, so that a join with it multiplies nothing; of repeats the largest values."""
+    return rows.groupBy(key).agg(F.max(F.struct(*columns)).alias("_one")).select(key, "_one.*")
 
 
 def event_order() -> Column:

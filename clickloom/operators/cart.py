@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions import traffic
-from clickloom.functions.values import count_if, event_order, flag, money, percent, ratio
+from clickloom.functions.values import count_if, event_order, flag, money, one_per_id, percent, ratio
 from clickloom.operators.ordered import across_slots, in_slot, with_slot
 
 _OPEN = ("abandoned", "active")
@@ -113,7 +113,9 @@ def most_abandoned(carts: DataFrame, names: DataFrame, n: int = 20) -> DataFrame
         .orderBy(F.desc("times_abandoned"), F.desc("total_quantity"), "product_id")
         .limit(n)
     )
-    unique = names.groupBy("product_id").agg(F.max("product_name").alias("product_name"))
+    asked = top.select(F.col("product_id").alias("_asked"))
+    wanted = names.join(asked, F.col("product_id") == F.col("_asked"))
+    unique = wanted.groupBy("product_id").agg(F.max("product_name").alias("product_name"))
     return top.join(unique, "product_id", "left")
 
 
@@ -162,8 +164,9 @@ def recovery_opportunities(events: DataFrame, n: int = 100) -> DataFrame:
     """Users with more than one abandoned cart, most valuable first.
 
     A cart is abandoned when nobody bought in its session.  One aggregation
-    finds adds and purchases together, where an anti join would shuffle every
-    add by session.
+    finds adds and purchases per session and user; the sessions with a purchase
+    come from its rows and are taken out by a join, which Spark can split where
+    one session id holds many users.
     """
     kind = F.col("event_type")
     added = kind == "add_to_cart"
@@ -172,8 +175,9 @@ def recovery_opportunities(events: DataFrame, n: int = 100) -> DataFrame:
         F.max(F.when(added, F.col("ts"))).alias("last_activity"),
         F.bool_or(kind == "purchase").alias("bought"),
     )
-    bought = F.bool_or("bought").over(Window.partitionBy("session_id"))
-    left = carts.withColumn("bought", bought).where(~F.col("bought") & F.col("last_activity").isNotNull())
+    sold = carts.groupBy(F.coalesce("session_id", F.lit("")).alias("_sold")).agg(F.bool_or("bought").alias("_any")).where("_any")
+    adds = carts.where(F.col("last_activity").isNotNull())
+    left = adds.join(sold, F.coalesce("session_id", F.lit("")) == F.col("_sold"), "left").where(F.col("_any").isNull())
     users = left.groupBy("user_id").agg(
         F.count("*").alias("abandoned_carts"),
         F.round(F.avg("cart_value"), 4).alias("avg_cart_value"),
@@ -276,7 +280,7 @@ def cart_items(carts: DataFrame) -> DataFrame:
 
 def enriched_items(carts: DataFrame, products: DataFrame) -> DataFrame:
     """Cart items with their product's name, category and line value."""
-    details = products.select("product_id", "name", "category")
+    details = one_per_id(products, "product_id", ["name", "category"])
     quantity = F.greatest(F.lit(1), F.coalesce("quantity", F.lit(1)))
     return carts.join(details, "product_id", "left").select(
         "cart_id", "product_id", "name", "category", quantity.alias("quantity"), "price",

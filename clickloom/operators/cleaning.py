@@ -20,7 +20,7 @@ def validate(raw: DataFrame) -> DataFrame:
     reasons += [
         F.when(epoch.isNull(), F.lit("bad type timestamp")),
         F.when(~F.col("event_type").isin(*schema.EVENT_TYPES), F.lit("bad event_type")),
-        F.when(epoch <= 0, F.lit("bad timestamp")),
+        F.when((epoch <= 0) | values.epoch_time(epoch).isNull(), F.lit("bad timestamp")),
         F.when(~F.col("page").startswith("/"), F.lit("bad page")),
     ]
     return raw.withColumn("reject_reason", F.coalesce(*reasons))
@@ -41,7 +41,7 @@ def normalize_pages(events: DataFrame) -> DataFrame:
     )
 
 
-def canonical_pages(events: DataFrame, id_length: int | None = 24) -> DataFrame:
+def canonical_pages(events: DataFrame, id_length: int | None = None) -> DataFrame:
     """Product and category URLs that agree with the event's properties."""
     product = pages.canonical_product_page(F.col("page"), F.col("product_id"), id_length)
     return events.withColumn("page", product).withColumn(
@@ -54,11 +54,14 @@ def enrich(events: DataFrame, products: DataFrame, users: DataFrame) -> DataFram
 
     Plain left joins: Spark broadcasts a side that is small enough by its own
     size estimate and otherwise shuffles, so a large user table stays safe.
+    A repeated product or user is used once.
     """
-    details = products.select(
+    details = values.one_per_id(products, "product_id", ["name", "category", "price"]).select(
         "product_id", F.struct("name", "category", "price").alias("product_details")
     )
-    people = users.select("user_id", F.struct("username", "created_at").alias("user_details"))
+    people = values.one_per_id(users, "user_id", ["username", "created_at"]).select(
+        "user_id", F.struct("username", "created_at").alias("user_details")
+    )
     return events.join(details, "product_id", "left").join(people, "user_id", "left")
 
 

@@ -272,10 +272,10 @@ def entry_channels(events: DataFrame) -> DataFrame:
     )
 
 
-def _label(kind: Column) -> Column:
+def _label(kind: Column, seen: Column) -> Column:
     spaced = F.initcap(F.replace(kind, F.lit("_"), F.lit(" ")))
     return (
-        F.when((kind == "search") | kind.contains("view"), F.coalesce(F.col("path"), F.lit("Page")))
+        F.when((kind == "search") | kind.contains("view"), F.coalesce(seen, F.lit("Page")))
         .when(kind == "add_to_cart", F.lit("Add to Cart"))
         .when(kind == "checkout", F.lit("Checkout"))
         .when(kind == "purchase", F.lit("Purchase"))
@@ -295,7 +295,9 @@ def transitions(events: DataFrame) -> DataFrame:
     Neighbours inside a slot come from a window over the slot; the move into
     each slot comes from the last label of the slot before it.
     """
-    labelled = with_slot(events).withColumn("label", _label(F.lower(F.coalesce("event_type", F.lit("")))))
+    seen = F.coalesce(*[F.col(c) for c in ("label", "path") if c in events.columns])
+    kind = F.lower(F.coalesce("event_type", F.lit("")))
+    labelled = with_slot(events).withColumn("label", _label(kind, seen))
     labelled = labelled.where(F.col("label") != "").select("session_id", "_slot", "ts", "event_id", "label")
     inside = labelled.withColumn("source", F.lag("label").over(in_slot())).select(
         "session_id", "source", F.col("label").alias("target")

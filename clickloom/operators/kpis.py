@@ -336,9 +336,12 @@ def orders_from_purchases(events: DataFrame) -> DataFrame:
 
 def recent_counts(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Events in the last hour before ``as_of`` and the last five minutes before the newest."""
-    newest = events.agg(F.max("ts")).scalar()
+    # The newest time is one bounded value; as a constant it lets the second scan skip old partitions.
+    last = events.agg(F.max("ts")).first()[0]
+    newest = F.lit(last).cast("timestamp")
     hour_end = F.lit(as_of) if as_of is not None else newest
-    return events.agg(
+    start = F.least(newest - F.expr("interval 5 minutes"), hour_end - F.expr("interval 60 minutes"))
+    return events.where(F.col("ts") >= start).agg(
         count_if(
             (F.col("ts") >= hour_end - F.expr("interval 60 minutes")) & (F.col("ts") <= hour_end)
         ).alias("last_60_minutes"),

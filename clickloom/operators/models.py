@@ -30,10 +30,7 @@ SEED = 42
 
 @contextmanager
 def kept_in_memory(df: DataFrame):
-    """Persist a frame while several passes read it; blocks spill to disk.
-
-    It also pins the rows of each partition, which randomSplit relies on.
-    """
+    """Persist a frame while several passes read it; blocks spill to disk."""
     kept = lake.keep(df)
     try:
         yield kept
@@ -41,6 +38,13 @@ def kept_in_memory(df: DataFrame):
         kept.unpersist()
 
 
+def split_by_key(rows: DataFrame, keys: list[str], share: float) -> tuple[DataFrame, DataFrame]:
+    """Two parts by a hash of the key and the seed: a row stays in its part however often it is recomputed."""
+    spot = F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(10_000))
+    first = spot < int(share * 10_000)
+    return rows.where(first), rows.where(~first)
+
+
 def dense_index(ids: DataFrame, column: str, index: str, buckets: int = 4096) -> DataFrame:
     """Number distinct ids 0, 1, 2, … without passing them through one task.
 
@@ -90,8 +94,7 @@ def fit_als(
     ALS wants small integer ids.  Hashing ids into a range would merge
     different users and StringIndexer would hold every id on the driver, so the
     ids are numbered by dense_index().  The ratings and both id tables are
-    written once under ``path``: every later pass reads them, and the random
-    split always sees the same rows.
+    written once under ``path``, and every later pass reads them.
     """
     spark = ratings.sparkSession
     path = path or shared_dir(spark, "als")
@@ -109,7 +112,7 @@ def fit_als(
         coldStartStrategy="drop",
     )
     with kept_in_memory(indexed) as stable:
-        train, test = stable.randomSplit([0.8, 0.2], seed=SEED)
+        train, test = split_by_key(stable, ["user_idx", "product_idx"], 0.8)
         fitted = als.fit(train)
         rmse = RegressionEvaluator(metricName="rmse", labelCol="rating").evaluate(fitted.transform(test))
     fitted.write().overwrite().save(f"{path}/als")
@@ -246,8 +249,8 @@ def segment_label():
 
 def _fit_and_score(estimator, sessions: DataFrame, columns: list[str], path: str | None):
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    with kept_in_memory(sessions.select("label", *columns)) as stable:
-        train, test = stable.randomSplit([0.7, 0.3], seed=SEED)
+    with kept_in_memory(sessions.select("session_id", "label", *columns)) as stable:
+        train, test = split_by_key(stable, ["session_id"], 0.7)
         model = Pipeline(stages=[assembler, estimator]).fit(train)
         auc = BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(test))
     if path:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.values import count_if, ratio
+from clickloom.functions.values import count_if, one_per_id, ratio
 from clickloom.operators.baskets import top_partners
 from clickloom.operators.kpis import between
 
@@ -154,7 +154,7 @@ def popular_products(events: DataFrame, products: DataFrame, n: int = 10) -> Dat
         F.sum("n").alias("view_count"), F.count("*").alias("unique_viewers")
     )
     return (
-        viewed.join(products.select("product_id", "name", "category", "price"), "product_id")
+        viewed.join(one_per_id(products, "product_id", ["name", "category", "price"]), "product_id")
         .orderBy(F.desc("unique_viewers"), F.desc("view_count"), "product_id")
         .limit(n)
     )
@@ -252,9 +252,13 @@ def session_candidates(events: DataFrame, products: DataFrame, n: int = 12) -> D
 
 
 def keep_history(history: DataFrame, latest: DataFrame, n: int = 5) -> DataFrame:
-    """Append new recommendation lists and keep each user's newest ``n``."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"))
+    """Append new recommendation lists and keep each user's newest ``n``.
+
+    Lists of the same time go by the digest of their other columns.
+    """
     both = history.unionByName(latest)
+    rest = [F.col(f"`{c}`") for c in both.columns if c not in ("user_id", "created_at")]
+    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.xxhash64(*rest) if rest else F.lit(0))
     return both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -81,11 +81,17 @@ def weekly_cohorts(events: DataFrame, period_days: int = 7) -> DataFrame:
     return seen.groupBy("cohort", "period").agg(F.count("*").alias("users"))
 
 
-def weekly_cohort_matrix(events: DataFrame, period_days: int = 7, n_periods: int = 5) -> DataFrame:
-    """weekly_cohorts() with one column per period; empty cells are zero."""
-    long = weekly_cohorts(events, period_days).withColumn(
-        "period", F.concat(F.lit("p"), F.col("period").cast("string"))
-    )
+def weekly_cohort_matrix(
+    events: DataFrame, period_days: int = 7, n_periods: int | None = None
+) -> DataFrame:
+    """weekly_cohorts() with one column per period; empty cells are zero.
+
+    Without ``n_periods`` there is a column for every period up to the last one seen.
+    """
+    long = weekly_cohorts(events, period_days)
+    if n_periods is None:
+        n_periods = (long.agg(F.max("period")).first()[0] or 0) + 1
+    long = long.withColumn("period", F.concat(F.lit("p"), F.col("period").cast("string")))
     names = [f"p{i}" for i in range(n_periods)]
     return long.groupBy("cohort").pivot("period", names).agg(F.sum("users")).fillna(0, names)
 

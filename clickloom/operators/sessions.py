@@ -16,7 +16,8 @@ def sessionize(events: DataFrame, gap_seconds: int = 86_400) -> DataFrame:
     order each user's few slots (their first and last event) and join the visit
     number back on (user, slot).  The events themselves are never sorted, and a
     user with a third of all events is spread over that user's slots.  Events
-    without a time belong to no visit and are left out.
+    without a user share the visits of "unknown"; events without a time belong
+    to no visit and are left out.
     """
     width = gap_seconds * 1_000_000
     micros = F.unix_micros("ts")
@@ -29,12 +30,14 @@ def sessionize(events: DataFrame, gap_seconds: int = 86_400) -> DataFrame:
     breaks = F.when(F.col("_first") - previous > width, 1).otherwise(0)
     running = by_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = slots.withColumn("_break", breaks).select(
-        "user_id", "_slot", F.sum("_break").over(running).alias("_n")
+        F.col("user_id").alias("_user"), F.col("_slot").alias("_at"), F.sum("_break").over(running).alias("_n")
     )
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_slot") == F.col("_at"))
+    name = F.coalesce(F.col("user_id").cast("string"), F.lit("unknown"))
     return (
-        slotted.join(numbered, ["user_id", "_slot"])
-        .withColumn("session_id", F.concat_ws("-", "user_id", F.col("_n").cast("string")))
-        .drop("_slot", "_n")
+        slotted.join(numbered, same)
+        .withColumn("session_id", F.concat_ws("-", name, F.col("_n").cast("string")))
+        .drop("_slot", "_user", "_at", "_n")
     )
 
 

@@ -42,16 +42,28 @@ STRING_PROPERTIES = (
     "path",
 )
 
+# Fields that may carry an event's time, best first.
+TIME_FIELDS = ("occurred_at", "processed_at", "occurred_at_iso", "timestamp")
+
+# Properties that name the page a visitor saw, best first.
+LABEL_PROPERTIES = ("page", "title", "name")
+
+# Ids are text: numbers, object ids or whatever the tracker sends.
 RAW_EVENTS = T.StructType(
     [
-        T.StructField("event_id", T.LongType()),
+        T.StructField("event_id", T.StringType()),
+        T.StructField("_id", T.StringType()),
         T.StructField("user_id", T.StringType()),
         T.StructField("session_id", T.StringType()),
+        T.StructField("occurred_at", T.StringType()),
+        T.StructField("processed_at", T.StringType()),
+        T.StructField("occurred_at_iso", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("page", T.StringType()),
         T.StructField("event_type", T.StringType()),
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
         T.StructField("noisy", T.BooleanType()),
+        T.StructField("flag", T.StructType([T.StructField("noisy", T.BooleanType())])),
     ]
 )
 
@@ -75,6 +87,7 @@ EVENTS = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("search_term", T.StringType()),
         T.StructField("path", T.StringType()),
+        T.StructField("label", T.StringType()),
         T.StructField("noisy", T.BooleanType()),
     ]
 )
@@ -129,7 +142,8 @@ STREAM_MESSAGE = T.StructType(
             "event",
             T.StructType(
                 [
-                    T.StructField("event_id", T.LongType()),
+                    T.StructField("event_id", T.StringType()),
+                    T.StructField("_id", T.StringType()),
                     T.StructField("session_id", T.StringType()),
                     T.StructField("user_id", T.StringType()),
                     T.StructField("page", T.StringType()),

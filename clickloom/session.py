@@ -1,6 +1,6 @@
 """Session settings for local runs and advice for clusters."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,8 +17,13 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A hot user's session windows are merged before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Set by tests and local runs whose session names no spark.checkpoint.dir.
+local_folder: str | None = None
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "clickloom"):
     """A local[*] session for tests and the benchmark."""
@@ -40,10 +45,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession, prefix: str) -> str:
     """A fresh folder under spark.checkpoint.dir, the folder all executors share.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Without that setting a session in one process may use ``local_folder``;
+    anything else is an error, since executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.conf.get("spark.master", "").split("[")[0] == "local":
+        base = local_folder
     if not base:
-        return tempfile.mkdtemp(prefix=f"{prefix}-", dir="/tmp")
-    token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/{prefix}-{token}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

@@ -5,14 +5,20 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clickloom import schema
 from clickloom.functions import pages, traffic, values
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw events with the declared schema; no inference pass over the files."""
-    return spark.read.format(fmt).schema(schema.RAW_EVENTS).load(path)
+def read_events(
+    spark: SparkSession, path: str, fmt: str = "parquet", columns: StructType = schema.RAW_EVENTS
+) -> DataFrame:
+    """Raw events with the declared schema; no inference pass over the files.
+
+    Pass your own ``columns`` for Parquet whose ids are numbers.
+    """
+    return spark.read.format(fmt).schema(columns).load(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -23,16 +29,26 @@ def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
 def prepare(raw: DataFrame) -> DataFrame:
     """Typed events from raw ones: times parsed, ids defaulted, properties lifted.
 
+    The time is the first of TIME_FIELDS that parses, the id ``event_id`` or
+    ``_id``, and a noise flag may stand at the top or under ``flag``; fields
+    that ``raw`` does not have are passed over.
+
     Lifting the property map into columns lets later scans of a prepared table
     read only the properties a query names.
     """
     props = F.col("properties")
     product_ids = F.from_json(props["product_ids"], "array<string>")
+    times = [values.any_time(F.col(name)) for name in schema.TIME_FIELDS if name in raw.columns]
+    flags = [F.col(name) for name, own in (("noisy", "noisy"), ("flag.noisy", "flag")) if own in raw.columns]
+    ids = [name for name in ("event_id", "_id") if name in raw.columns]
+    event_id = F.col(ids[0])
+    if len(ids) > 1:  # two fields meet as text
+        event_id = F.coalesce(*[F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) for name in ids])
     return raw.select(
-        "event_id",
+        event_id.alias("event_id"),
         F.coalesce(F.nullif(F.col("user_id"), F.lit("")), F.lit("unknown")).alias("user_id"),
         F.coalesce(F.nullif(F.col("session_id"), F.lit("")), F.lit("unknown")).alias("session_id"),
-        values.any_time(F.col("timestamp")).alias("ts"),
+        F.coalesce(*times).alias("ts"),
         pages.normal_page(F.col("page")).alias("page"),
         traffic.canonical_event_type(F.col("event_type")).alias("event_type"),
         props["product_id"].alias("product_id"),
@@ -47,7 +63,8 @@ def prepare(raw: DataFrame) -> DataFrame:
         props["source"].alias("source"),
         props["search_term"].alias("search_term"),
         props["path"].alias("path"),
-        "noisy",
+        F.coalesce(*[F.nullif(F.trim(props[key]), F.lit("")) for key in schema.LABEL_PROPERTIES]).alias("label"),
+        (F.coalesce(*flags) if flags else F.lit(None).cast("boolean")).alias("noisy"),
     )
 
 

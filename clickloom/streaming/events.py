@@ -34,11 +34,17 @@ def text_source(spark: SparkSession, path: str, files_per_trigger: int | None =
 def decode(messages: DataFrame) -> DataFrame:
     """Event columns of JSON messages, plus the message text as ``raw``.
 
-    A message that is no JSON object or has no event gives null columns, which
-    validation then rejects.
+    The id is ``event_id``, else ``_id``, else a digest of the message, so that
+    only equal messages count as repeats.  A message that is no JSON object or
+    has no event gives null columns, which validation then rejects.
     """
     parsed = F.from_json("value", schema.STREAM_MESSAGE)
-    return messages.select(F.col("value").alias("raw"), parsed.alias("m")).select("raw", "m.event.*")
+    event = messages.select(F.col("value").alias("raw"), parsed.alias("m")).select(
+        "raw", F.col("m.event").isNotNull().alias("_there"), "m.event.*"
+    )
+    own = [F.nullif(F.trim(name), F.lit("")) for name in ("event_id", "_id")]
+    named = F.coalesce(*own, F.when(F.col("_there"), F.sha2("raw", 256)))
+    return event.withColumn("event_id", named).drop("_id", "_there")
 
 
 def checked(decoded: DataFrame) -> DataFrame:
@@ -85,11 +91,30 @@ def session_state(events: DataFrame, gap: str = "24 hours", delay: str | None =
     return visits.select("user_id", F.col("w.start").alias("first_event_at"), "last_event_at", "event_count")
 
 
-def session_totals(events: DataFrame) -> DataFrame:
-    """Running totals per tracker session id, for update mode."""
-    return events.groupBy("session_id").agg(
+SESSION_KEYS = ["session_id", "span_start"]
+SESSION_VALUES = ["first_event_at", "last_event_at", "event_count"]
+
+
+def session_totals(events: DataFrame, span: str = "1 day") -> DataFrame:
+    """Running totals per tracker session id and span of time, for update mode.
+
+    The watermark of ``events`` ends a span's state, so state stays bounded
+    while a session id may come back at any time; read_sessions() adds up.
+    """
+    totals = events.groupBy(F.window("ts", span).alias("w"), "session_id").agg(
         F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at"), F.count("*").alias("event_count")
     )
+    return totals.select("session_id", F.col("w.start").alias("span_start"), *SESSION_VALUES)
+
+
+def read_sessions(spark: SparkSession, table: str) -> DataFrame:
+    """One row per session of the table session_totals() keeps."""
+    spans = read_upserts(spark, table, SESSION_KEYS, SESSION_VALUES)
+    return spans.groupBy("session_id").agg(
+        F.min("first_event_at").alias("first_event_at"),
+        F.max("last_event_at").alias("last_event_at"),
+        F.sum("event_count").alias("event_count"),
+    )
 
 
 def upsert_sink(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):

@@ -46,6 +46,21 @@ add(
     lambda s, d: retention.weekly_cohorts(adapter.order_events(s, d)),
     ORDER_EVENTS_SQL + PERIODS + WEEKLY,
 )
+def _order_matrix(spark, sf_dir):
+    """Half-year periods over all years of orders; the cells of a row as one text."""
+    matrix = retention.weekly_cohort_matrix(adapter.order_events(spark, sf_dir), 182)
+    return matrix.select("cohort", F.concat_ws(",", *[c for c in matrix.columns if c != "cohort"]).alias("counts"))
+
+
+add(
+    "r3_cohort_matrix_orders",
+    _order_matrix,
+    ORDER_EVENTS_SQL + """, dy AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM ev),
+      f AS (SELECT user_id, d, min(d) OVER (PARTITION BY user_id) AS f FROM dy),
+      c AS (SELECT CAST(date_trunc('week', f) AS DATE) AS cohort, (d - f) // 182 AS p, count(DISTINCT user_id) AS n FROM f GROUP BY 1, 2)
+    SELECT strftime(k.cohort, '%Y-%m-%d') AS cohort, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY i) AS counts
+    FROM (SELECT DISTINCT cohort FROM c) k CROSS JOIN (SELECT unnest(range(max(p) + 1)) AS i FROM c) r LEFT JOIN c ON c.cohort = k.cohort AND c.p = i GROUP BY k.cohort""",
+)
 add(
     "r3_cohort_matrix",
     lambda s, d: retention.weekly_cohort_matrix(adapter.events(s, d)),

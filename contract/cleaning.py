@@ -19,6 +19,7 @@ add(
     lambda s, d: source.prepare(adapter.raw_events(s, d)).select(
         "event_id", "user_id", "session_id", "ts", "page", "event_type", "product_id", "category",
         F.round("price", 4).alias("price"), "quantity", F.round("amount", 4).alias("amount"), "referrer",
+        "product_name", "product_ids", "utm_source", "source", "search_term", "path", "label", "noisy",
     ),
     """SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, 's' || user_id AS session_id,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
@@ -28,7 +29,10 @@ add(
             WHEN event_type = 'click' THEN '/cart' WHEN event_type = 'error' THEN '/search' ELSE '/checkout' END AS page,
        event_type, CAST(k AS VARCHAR) AS product_id, 'cat' || (k % 8) AS category, round(value, 4) AS price,
        CAST(k % 3 + 1 AS BIGINT) AS quantity, round(value, 4) AS amount,
-       ['google', 'bing', 'facebook', 'twitter', 'ads', 'direct', 'blog.partner.com', ''][user_id % 8 + 1] AS referrer
+       ['google', 'bing', 'facebook', 'twitter', 'ads', 'direct', 'blog.partner.com', ''][user_id % 8 + 1] AS referrer,
+       CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS product_ids, CAST(NULL AS VARCHAR) AS utm_source,
+       CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS search_term, CAST(NULL AS VARCHAR) AS path,
+       CAST(NULL AS VARCHAR) AS label, CASE WHEN k = 98 THEN TRUE WHEN k % 2 = 0 THEN FALSE END AS noisy
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
 )
 
@@ -103,7 +107,6 @@ add(
     "f5_canonical_pages",
     lambda s, d: cleaning.canonical_pages(
         adapter.unsessioned(s, d).withColumn("page", F.regexp_replace("page", r"\?id=\d+$", "?ref=x&id=0")),
-        id_length=None,
     ).groupBy("page").agg(F.count("*").alias("events")),
     over_events(
         """SELECT CASE WHEN page LIKE '/p/%' THEN split_part(page, '?', 1) || '?ref=x&id=' || product_id
@@ -315,3 +318,49 @@ add(
     lambda s, d: adapter.products(s, d).select("product_id", pages.slug(F.col("name")).alias("slug")),
     "SELECT CAST(p_partkey AS VARCHAR) AS product_id, replace(p_name, ' ', '-') AS slug FROM part",
 )
+
+
+def _varied(spark, sf_dir):
+    """Raw events whose time, id, flag and label stand in different fields from row to row."""
+    raw = adapter.raw_events(spark, sf_dir)
+    when = [F.col("event_id") % 4 == i for i in range(4)]
+    seconds = F.col("timestamp").cast("long")
+    return raw.select(
+        F.when(~when[1], F.col("event_id").cast("string")).alias("event_id"),
+        F.when(when[1], F.concat(F.lit("x"), "event_id")).alias("_id"),
+        "user_id", "session_id",
+        F.when(when[0], F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("occurred_at"),
+        F.when(when[1], F.lit("no time")).alias("processed_at"),
+        F.when(when[2], F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")).alias("occurred_at_iso"),
+        F.when(when[1] | when[3], F.col("timestamp")).alias("timestamp"),
+        "page", "event_type",
+        F.map_concat("properties", F.create_map(
+            F.lit("product_name"), F.concat(F.lit("item-"), F.col("properties")["product_id"]),
+            F.lit("product_ids"), F.to_json(F.array(F.col("properties")["product_id"], F.lit("z"))),
+            F.lit("utm_source"), F.col("event_type"), F.lit("source"), F.lit("shop"), F.lit("search_term"), F.lit("red shoe"),
+            F.lit("path"), F.lit("/x"), F.lit("title"), F.concat(F.lit("T"), F.col("properties")["product_id"]), F.lit("name"), F.lit("N"),
+        )).alias("properties"),
+        F.struct(F.col("noisy")).alias("flag"),
+    )
+
+
+add(
+    "s1_varied_fields",
+    lambda s, d: source.prepare(_varied(s, d)).select(
+        "event_id", "ts", "product_name", "product_ids", "utm_source", "source", "search_term", "path", "label", "noisy"
+    ),
+    """SELECT CASE WHEN event_id % 4 = 1 THEN 'x' ELSE '' END || event_id AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+       'item-' || k AS product_name, k || ',z' AS product_ids, event_type AS utm_source, 'shop' AS source, 'red shoe' AS search_term,
+       '/x' AS path, 'T' || k AS label, CASE WHEN k = 98 THEN TRUE WHEN k % 2 = 0 THEN FALSE END AS noisy
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
+)
+add(
+    "e9_unknown_users",
+    lambda s, d: sessions.sessionize(
+        adapter.unsessioned(s, d).withColumn("user_id", F.when(F.col("user_id").cast("long") % 3 != 0, F.col("user_id")))
+    ).groupBy("session_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_id")),
+    """WITH b AS (SELECT event_id, ts, CASE WHEN user_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS u FROM events),
+    g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY u ORDER BY ts, event_id)) > 86400000000 THEN 1 ELSE 0 END AS brk FROM b),
+    n AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY u ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM g)
+    SELECT u || '-' || n AS session_id, count(*) AS events, min(event_id) AS first_id FROM n GROUP BY 1""",
+)

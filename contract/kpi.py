@@ -400,13 +400,13 @@ add(
 )
 add(
     "d3_realtime_window",
-    lambda s, d: activity.minute_totals(activity.minute_counts(adapter.events(s, d)), AS_OF, 180).where(
-        F.col("kind") == "event_type"
-    ),
+    lambda s, d: activity.minute_totals(activity.minute_counts(adapter.events(s, d)), AS_OF, 180),
     over_events(
-        """SELECT 'event_type' AS kind, event_type AS bucket, count(*) AS events FROM ev
-        WHERE date_trunc('minute', ts) >= TIMESTAMP '2024-01-30 09:00:00' AND date_trunc('minute', ts) <= TIMESTAMP '2024-01-30 12:00:00'
-        GROUP BY 2"""
+        """, x AS (SELECT *, date_trunc('minute', ts) AS m FROM ev
+          WHERE date_trunc('minute', ts) >= TIMESTAMP '2024-01-30 09:00:00' AND date_trunc('minute', ts) <= TIMESTAMP '2024-01-30 12:00:00')
+        SELECT 'page' AS kind, page AS bucket, count(*) AS events FROM x GROUP BY 2
+        UNION ALL SELECT 'event_type', event_type, count(*) FROM x GROUP BY 2
+        UNION ALL SELECT 'minute', strftime(m, '%Y-%m-%d %H:%M'), count(*) FROM x GROUP BY 2"""
     ),
 )
 NEW_FROM = datetime(2024, 1, 3)

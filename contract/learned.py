@@ -1,5 +1,7 @@
 """M rows: features, models, patterns."""
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickloom.operators import features, models
@@ -47,17 +49,86 @@ def _recommender(s, d):
     return models.fit_als(features.interactions(adapter.events(s, d)))
 
 
+# Trained models have no SQL form.  These queries return what must hold of a
+# model whatever its weights are, next to facts that SQL takes from the tables.
+RATED = ", rat AS (SELECT DISTINCT user_id, product_id FROM ev)"
+
+
 def _als_score(s, d):
-    _, rmse = _recommender(s, d)
-    return s.createDataFrame([(float(rmse),)], "rmse double")
+    """Sizes of the training tables, and whether the model beats the global mean by far less error."""
+    fitted, rmse = _recommender(s, d)
+    ratings = features.interactions(adapter.events(s, d))
+    spread = ratings.agg(F.stddev_pop("rating")).scalar()
+    counts = [F.count("*").alias("ratings"), F.countDistinct("user_id").alias("users"), F.countDistinct("product_id").alias("products")]
+    indexed = fitted.users.agg(F.countDistinct("user_idx")).scalar(), fitted.products.agg(F.countDistinct("product_idx")).scalar()
+    return ratings.agg(*counts).select(
+        "*", (F.lit(rmse) < 2 * spread).alias("rmse_in_range"), indexed[0].alias("user_numbers"), indexed[1].alias("product_numbers")
+    )
+
+
+add(
+    "m4_als_rmse",
+    _als_score,
+    over_events(
+        """SELECT count(*) AS ratings, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
+        count(*) > 0 AS rmse_in_range, count(DISTINCT user_id) AS user_numbers, count(DISTINCT product_id) AS product_numbers FROM rat""",
+        RATED,
+    ),
+)
+
+
+def _als_lists(s, d):
+    """Per user: ranks 1 to n, known products, none twice, scores falling."""
+    lists = models.als_top_n(_recommender(s, d)[0], 10, products=adapter.products(s, d))
+    known = features.interactions(adapter.events(s, d)).select("product_id", F.lit(True).alias("known")).distinct()
+    in_order = Window.partitionBy("user_id").orderBy("rank")
+    falls = F.coalesce(F.col("score") <= F.lag("score").over(in_order) + 1e-6, F.lit(True))
+    return lists.join(known, "product_id", "left").withColumn("falls", falls).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.countDistinct("product_id").alias("products"), F.max("rank").alias("last_rank"),
+        F.count("known").alias("known"), F.bool_and("falls").alias("in_order"),
+    )
 
 
-add("m4_als_rmse", _als_score)
 add(
     "m5_als_recommendations",
-    lambda s, d: models.als_top_n(_recommender(s, d)[0], 10, products=adapter.products(s, d)),
+    _als_lists,
+    over_events(
+        """, n AS (SELECT least(10, count(DISTINCT product_id)) AS n FROM rat)
+        SELECT DISTINCT user_id, n, n AS products, n AS last_rank, n AS known, n > 0 AS in_order FROM rat, n""",
+        RATED,
+    ),
+)
+
+
+def _similar(s, d):
+    """Lists of similar items: every similarity is the product of the two factors, and none outside is larger."""
+    fitted = _recommender(s, d)[0]
+    asked = ["1", "2", "10"]
+    lists = models.similar_items(fitted, asked, 10)
+    factors = fitted.als.itemFactors.join(fitted.products.withColumnRenamed("product_idx", "id"), "id").select(
+        "product_id", F.posexplode("features").alias("axis", "x")
+    )
+    other = factors.select(F.col("product_id").alias("similar_id"), "axis", F.col("x").alias("y"))
+    products = factors.where(F.col("product_id").isin(asked)).join(other, "axis").where("product_id <> similar_id").groupBy(
+        "product_id", "similar_id"
+    ).agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("product"))
+    both = products.join(lists, ["product_id", "similar_id"], "left")
+    return both.groupBy("product_id").agg(
+        F.count("rank").alias("n"),
+        F.bool_and(F.coalesce(F.abs(F.col("similarity") - F.col("product")) < 1e-9, F.lit(True))).alias("equal"),
+        (F.coalesce(F.max(F.when(F.col("rank").isNull(), F.col("product"))), F.lit(float("-inf"))) <= F.min("similarity") + 1e-9).alias("best"),
+    )
+
+
+add(
+    "m6_similar_items",
+    _similar,
+    over_events(
+        """, p AS (SELECT DISTINCT product_id FROM rat)
+        SELECT product_id, least(10, (SELECT count(*) FROM p) - 1) AS n, TRUE AS equal, TRUE AS best FROM p WHERE product_id IN ('1', '2', '10')""",
+        RATED,
+    ),
 )
-add("m6_similar_items", lambda s, d: models.similar_items(_recommender(s, d)[0], ["1", "2", "10"], 10))
 add(
     "m4_dense_ids",
     lambda s, d: models.dense_index(adapter.unsessioned(s, d), "user_id", "idx").agg(
@@ -103,34 +174,84 @@ add(
 )
 
 
+def _distances(model, table):
+    """Per user: the assigned segment, and the squared distance to every centre in the model's own space."""
+    centres = models.segment_centres(model, table.sparkSession).withColumnRenamed("segment", "other")
+    rows = model.transform(table).select("user_id", "segment", vector_to_array("features").alias("x"))
+    gaps = F.zip_with("x", "centre", lambda p, q: (p - q) * (p - q))
+    return rows.join(centres, F.lit(True)).select(
+        "user_id", "segment", "other", F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g).alias("far")
+    )
+
+
+def _nearest(model, table):
+    """One row per user: whether the assigned centre is the nearest."""
+    own = F.min(F.when(F.col("segment") == F.col("other"), F.col("far")))
+    return _distances(model, table).groupBy("user_id").agg(
+        F.countDistinct("segment").alias("segments"), (own <= F.min("far") * (1 + 1e-9) + 1e-9).alias("nearest")
+    )
+
+
 def _basic_segments(s, d):
+    """Users and events over all segments: each user is in exactly one."""
     table = features.user_features_basic(adapter.events(s, d))
     model = models.fit_segments(table, features.BASIC_FEATURES, k=3)
-    return models.segment_stats(model, table, ["total_events", "conversion_rate", "cart_rate"])
+    stats = models.segment_stats(model, table, ["total_events", "conversion_rate", "cart_rate"])
+    return stats.agg(
+        F.sum("users").alias("users"),
+        F.round(F.sum(F.col("avg_total_events") * F.col("users"))).cast("long").alias("events"),
+        (F.count("*") <= 3).alias("at_most_three"),
+    )
 
 
 def _assigned(s, d):
     table = features.user_features(adapter.events(s, d), END)
     model = models.fit_segments(table, features.FULL_FEATURES, k=5, scaled=True)
-    return models.assign_segments(model, table)
+    kept = models.assign_segments(model, table).groupBy("user_id").agg(F.count("*").alias("rows"))
+    return kept.join(_nearest(model, table), "user_id")
 
 
 def _labelled(s, d):
+    """Per user: the label of the segment, checked against the means of the segment's users."""
     table = features.customer_features(adapter.events(s, d))
     model, _, _ = models.best_segments(table, features.CUSTOMER_FEATURES)
-    return models.label_segments(model, table)
+    labels = models.label_segments(model, table)
+    members = model.transform(table).select("user_id", "segment", "total_spend", "purchase_frequency")
+    means = members.groupBy("segment").agg(F.avg("total_spend").alias("spend"), F.avg("purchase_frequency").alias("often"))
+    rich = (F.col("spend") > 1000) & (F.col("often") > 0.5)
+    told = members.select("user_id", "segment").join(labels, "segment").join(means, "segment")
+    return told.select("user_id", ((F.col("segment_label") == "High Value") == rich).alias("label_holds"))
 
 
 def _silhouettes(s, d):
     table = features.customer_features(adapter.events(s, d))
     _, best, scores = models.best_segments(table, features.CUSTOMER_FEATURES)
-    return s.createDataFrame([(k, float(v), k == best) for k, v in scores.items()], "k int, silhouette double, chosen boolean")
+    rows = [(k, -1 <= v <= 1, (k == best) <= (v == max(scores.values()))) for k, v in scores.items()]
+    tried = s.createDataFrame(rows, "k long, in_range boolean, chosen_is_best boolean")
+    return tried.join(table.agg(F.count("*").alias("users")), F.lit(True))
 
 
-add("m10_basic_segments", _basic_segments)
-add("m11_segment_count", _silhouettes)
-add("m12_labelled_segments", _labelled)
-add("m13_assigned_segments", _assigned)
+CUSTOMERS = ", cu AS (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) >= 5)"
+add(
+    "m10_basic_segments",
+    _basic_segments,
+    over_events("SELECT count(DISTINCT user_id) AS users, count(*) AS events, count(*) > 0 AS at_most_three FROM ev"),
+)
+add(
+    "m11_segment_count",
+    _silhouettes,
+    over_events(
+        "SELECT k, TRUE AS in_range, TRUE AS chosen_is_best, (SELECT count(*) FROM cu) AS users FROM range(2, 7) r(k)", CUSTOMERS
+    ),
+)
+add("m12_labelled_segments", _labelled, over_events("SELECT user_id, TRUE AS label_holds FROM cu", CUSTOMERS))
+add(
+    "m13_assigned_segments",
+    _assigned,
+    over_events(
+        "SELECT user_id, CAST(1 AS BIGINT) AS rows, count(DISTINCT user_id) AS segments, TRUE AS nearest FROM ev GROUP BY user_id"
+    ),
+)
 add(
     "m14_session_features",
     lambda s, d: features.session_features(adapter.events(s, d)),
@@ -148,39 +269,63 @@ add(
 
 
 def _tree(s, d):
+    """Features with their importance in range, and the sessions and purchases learned from."""
     sessions = features.session_features(adapter.events(s, d))
-    return models.fit_tree(sessions, features.SESSION_FEATURES)[1].select(
-        "auc", "depth", "nodes", F.inline("importances")
-    )
+    _, report = models.fit_tree(sessions, features.SESSION_FEATURES)
+    rows = report.select("auc", "depth", "nodes", F.inline("importances"))
+    whole = F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-6
+    sound = F.col("auc").between(0, 1) & (F.col("depth") <= 5) & (F.col("nodes") <= 63) & F.col("importance").between(0, 1)
+    seen = sessions.agg(F.count("*").alias("sessions"), F.sum("label").cast("long").alias("purchases"))
+    checked = rows.select("feature", (sound & (whole | (F.col("nodes") == 1))).alias("sound"))
+    return checked.join(seen, F.lit(True))
 
 
 def _logistic(s, d):
+    """Per session: the label, a probability in range, and the prediction that follows from it."""
     sessions = features.session_features(adapter.events(s, d))
     columns = features.SESSION_FEATURES + ["has_history"]
     model, _ = models.fit_logistic(sessions, columns)
-    return models.purchase_probability(model, sessions)
+    told = models.purchase_probability(model, sessions)
+    return told.select(
+        "session_id", "label",
+        (F.col("probability").between(0, 1) & (F.col("prediction") == F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))).alias("sound"),
+    )
 
 
-add("m15_purchase_tree", _tree)
-add("m16_purchase_probability", _logistic)
+SOLD = ", x AS (SELECT session_id, max((event_type = 'purchase')::INT)::DOUBLE AS label FROM ev GROUP BY 1)"
+add(
+    "m15_purchase_tree",
+    _tree,
+    over_events(
+        """SELECT unnest(['duration', 'page_views', 'product_views', 'cart_adds']) AS feature, TRUE AS sound,
+        count(*) AS sessions, CAST(sum(label) AS BIGINT) AS purchases FROM x""",
+        SOLD,
+    ),
+)
+add("m16_purchase_probability", _logistic, over_events("SELECT session_id, label, TRUE AS sound FROM x", SOLD))
 PAGES = """, pg AS (SELECT DISTINCT session_id, CASE WHEN page LIKE '%/p/%' THEN '/product' WHEN page LIKE '%/category%' THEN '/category'
     ELSE split_part(page, '?', 1) END AS item FROM ev),
   ok AS (SELECT session_id FROM pg GROUP BY 1 HAVING count(*) >= 2),
-  bk AS (SELECT pg.* FROM pg SEMI JOIN ok USING (session_id)), nb AS (SELECT count(*) AS t FROM ok)"""
+  bk AS (SELECT pg.* FROM pg SEMI JOIN ok USING (session_id)), nb AS (SELECT count(*) AS t FROM ok),
+  -- every item set as a bit mask over the few page families
+  it AS (SELECT item, 1::BIGINT << (row_number() OVER (ORDER BY item) - 1) AS bit FROM (SELECT DISTINCT item FROM bk)),
+  ms AS (SELECT session_id, CAST(sum(bit) AS BIGINT) AS m FROM bk JOIN it USING (item) GROUP BY 1),
+  st AS (SELECT unnest(range(1, CAST(sum(bit) AS BIGINT) + 1)) AS m FROM it),
+  fq AS (SELECT st.m, count(*) AS n, (SELECT string_agg(item, ',' ORDER BY item) FROM it WHERE (st.m & it.bit) > 0) AS items
+    FROM st JOIN ms ON (ms.m & st.m) = st.m GROUP BY st.m HAVING count(*) >= (SELECT ceil(0.1 * t) FROM nb))"""
 
 
 def _page_patterns(s, d):
     kept = features.page_baskets(adapter.events(s, d))
     model = models.fit_patterns(kept, 0.1, 0.3)
-    return models.frequent_patterns(model, kept, n=None).where(F.size(F.split("items", ",")) == 2)
+    return models.frequent_patterns(model, kept, n=None)
 
 
 add(
     "m17_page_patterns",
     _page_patterns,
     over_events(
-        """SELECT a.item || ',' || b.item AS items, count(*) AS frequency, round(count(*)::DOUBLE / max(t), 4) AS support
-        FROM bk a JOIN bk b ON a.session_id = b.session_id AND a.item < b.item, nb GROUP BY 1 HAVING count(*) >= ceil(0.1 * max(t))""",
+        "SELECT items, n AS frequency, round(n::DOUBLE / t, 4) AS support FROM fq, nb WHERE bit_count(m) >= 2",
         PAGES,
     ),
 )
@@ -188,20 +333,17 @@ add(
 
 def _page_rules(s, d):
     model = models.fit_patterns(features.page_baskets(adapter.events(s, d)), 0.1, 0.3)
-    rules = models.association_rules(model)
-    return rules.where(F.size("antecedent") == 1)
+    return models.association_rules(model)
 
 
 add(
     "m17_page_rules",
     _page_rules,
     over_events(
-        """, one AS (SELECT item, count(*) AS n FROM bk GROUP BY 1),
-        two AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM bk a JOIN bk b ON a.session_id = b.session_id AND a.item <> b.item GROUP BY 1, 2)
-        SELECT two.a AS antecedent, two.b AS consequent, round(two.n::DOUBLE / x.n, 6) AS confidence,
-        round((two.n::DOUBLE / x.n) / (y.n::DOUBLE / t), 6) AS lift, round(two.n::DOUBLE / t, 6) AS support
-        FROM two JOIN one x ON x.item = two.a JOIN one y ON y.item = two.b, nb
-        WHERE two.n >= ceil(0.1 * t) AND two.n::DOUBLE / x.n >= 0.3""",
+        """SELECT l.items AS antecedent, r.items AS consequent, round(w.n::DOUBLE / l.n, 6) AS confidence,
+        round((w.n::DOUBLE / l.n) / (r.n::DOUBLE / t), 6) AS lift, round(w.n::DOUBLE / t, 6) AS support
+        FROM fq w JOIN fq r ON bit_count(r.m) = 1 AND (w.m & r.m) = r.m JOIN fq l ON l.m = w.m - r.m, nb
+        WHERE w.n::DOUBLE / l.n >= 0.3""",
         PAGES,
     ),
 )

@@ -128,33 +128,45 @@ add(
 )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as topic messages; searches are cut short so they cannot be parsed."""
+# Ids a tracker may send: a number, an object id, or none.
+IDS = {
+    "event_id": ["event_id"],
+    "_id": ["lower(lpad(hex(event_id), 24, '0')) AS _id"],
+    "none": [],
+}
+
+
+def messages(spark: SparkSession, sf_dir: str, ids: str = "event_id", far: bool = False) -> DataFrame:
+    """The events as topic messages; searches are cut short so they cannot be parsed.
+
+    ``far`` gives every seventh event a time no calendar has.
+    """
     events = adapter.unsessioned(spark, sf_dir)
+    seconds = F.unix_micros("ts") / 1e6
     body = F.struct(
-        "event_id",
+        *[F.expr(x) for x in IDS[ids]],
         F.concat(F.lit("s"), "user_id").alias("session_id"),
         "user_id",
         "page",
         "event_type",
         F.create_map(F.lit("product_id"), F.col("product_id")).alias("properties"),
-        (F.unix_micros("ts") / 1e6).alias("timestamp"),
+        (F.when(F.col("event_id") % 7 == 3, F.lit(1e17)).otherwise(seconds) if far else seconds).alias("timestamp"),
     )
     text = F.to_json(F.struct(body.alias("event"), F.create_map(F.lit("v"), F.lit("1")).alias("metadata")))
     broken = F.col("event_type") == "search"
     return events.select(F.when(broken, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
-def _topic(spark: SparkSession, sf_dir: str, repeats: int = 1) -> str:
+def _topic(spark: SparkSession, sf_dir: str, repeats: int = 1, ids: str = "event_id") -> str:
     """Message files in place of a topic; ``repeats`` sends every message again."""
     path = shared_dir(spark, "topic")
     for _ in range(repeats):
-        messages(spark, sf_dir).write.mode("append").text(path)
+        messages(spark, sf_dir, ids).write.mode("append").text(path)
     return path
 
 
-def _minute_stream(spark: SparkSession, sf_dir: str, repeats: int = 1) -> DataFrame:
-    topic = _topic(spark, sf_dir, repeats)
+def _minute_stream(spark: SparkSession, sf_dir: str, repeats: int = 1, ids: str = "event_id") -> DataFrame:
+    topic = _topic(spark, sf_dir, repeats, ids)
     table, state = shared_dir(spark, "minutes"), shared_dir(spark, "state")
     stream.run_minute_job(stream.text_source(spark, topic), table, state).awaitTermination()
     return stream.read_minutes(spark, table)
@@ -166,7 +178,7 @@ def _visit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stream.accepted(stream.decode(stream.text_source(spark, topic)))
     totals = stream.session_totals(events)
     stream.upsert_sink(totals, table, state).awaitTermination()
-    return stream.read_upserts(spark, table, ["session_id"], ["first_event_at", "last_event_at", "event_count"])
+    return stream.read_sessions(spark, table)
 
 
 def _enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +186,7 @@ def _enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, state = shared_dir(spark, "enriched"), shared_dir(spark, "state")
     events = stream.accepted(stream.decode(stream.text_source(spark, topic)))
     rich = stream.enrich(events, adapter.products(spark, sf_dir), adapter.users(spark, sf_dir)).select(
-        "event_id", "product_details.name", "user_details.username"
+        F.col("event_id").cast("long").alias("event_id"), "product_details.name", "user_details.username"
     )
     query = rich.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
     query.trigger(availableNow=True).start().awaitTermination()
@@ -186,14 +198,22 @@ MINUTES = f"""SELECT {ts_text("date_trunc('minute', ts)")} AS window_start,
   FROM alle WHERE event_type <> 'search' GROUP BY 1, 2, 3, 4"""
 add(
     "w1_decoded_messages",
-    lambda s, d: stream.checked(stream.decode(messages(s, d))).select("event_id", "user_id", "page", "reject_reason"),
+    lambda s, d: stream.checked(stream.decode(messages(s, d, far=True))).select(
+        F.col("event_id").cast("long").alias("event_id"), "user_id", "page", "reject_reason"
+    ),
     over_events(
         """SELECT CASE WHEN event_type <> 'search' THEN event_id END AS event_id, CASE WHEN event_type <> 'search' THEN user_id END AS user_id,
-        CASE WHEN event_type <> 'search' THEN page END AS page, CASE WHEN event_type = 'search' THEN 'missing user_id' END AS reject_reason FROM alle"""
+        CASE WHEN event_type <> 'search' THEN page END AS page, CASE WHEN event_type = 'search' THEN 'missing user_id' WHEN event_id % 7 = 3 THEN 'bad timestamp' END AS reject_reason FROM alle"""
     ),
 )
 add("w2_minute_counts", _minute_stream, over_events(MINUTES))
 add("w7_exactly_once", lambda s, d: _minute_stream(s, d, repeats=2), over_events(MINUTES))
+add("w7_object_ids", lambda s, d: _minute_stream(s, d, repeats=2, ids="_id"), over_events(MINUTES))
+add(
+    "w7_without_ids",
+    lambda s, d: _minute_stream(s, d, repeats=2, ids="none"),
+    over_events(MINUTES.replace("FROM alle", "FROM (SELECT DISTINCT user_id, page, event_type, product_id, ts FROM alle)")),
+)
 add(
     "w5_enriched_stream",
     _enriched_stream,
@@ -214,11 +234,13 @@ add(
 LIVE = datetime(2024, 1, 30, 12)
 add(
     "w8_realtime_totals",
-    lambda s, d: activity.minute_totals(_minute_stream(s, d), LIVE, 720).where(F.col("kind") == "page"),
+    lambda s, d: activity.minute_totals(_minute_stream(s, d), LIVE, 720),
     over_events(
-        """SELECT 'page' AS kind, page AS bucket, count(*) AS events FROM alle WHERE event_type <> 'search'
-        AND date_trunc('minute', ts) >= TIMESTAMP '2024-01-30 00:00:00' AND date_trunc('minute', ts) <= TIMESTAMP '2024-01-30 12:00:00'
-        GROUP BY 2"""
+        """, x AS (SELECT *, date_trunc('minute', ts) AS m FROM alle WHERE event_type <> 'search'
+          AND date_trunc('minute', ts) >= TIMESTAMP '2024-01-30 00:00:00' AND date_trunc('minute', ts) <= TIMESTAMP '2024-01-30 12:00:00')
+        SELECT 'page' AS kind, page AS bucket, count(*) AS events FROM x GROUP BY 2
+        UNION ALL SELECT 'event_type', event_type, count(*) FROM x GROUP BY 2
+        UNION ALL SELECT 'minute', strftime(m, '%Y-%m-%d %H:%M'), count(*) FROM x GROUP BY 2"""
     ),
 )
 

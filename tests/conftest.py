@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import clickloom.session  # noqa: E402
 from clickloom import schema  # noqa: E402
 from clickloom.session import local_session  # noqa: E402
 
@@ -13,7 +14,8 @@ DAY = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    clickloom.session.local_folder = str(tmp_path_factory.mktemp("shared"))
     session = local_session(4, shuffle_partitions=4, app="tests")
     yield session
     session.stop()

@@ -166,3 +166,9 @@ def test_combined_names_every_kind(make_events):
 def test_dates_are_utc(make_events):
     events = make_events([{"ts": datetime(2024, 1, 1, 23, 59)}])
     assert traffic.hourly_traffic(events).first().hour == 23
+
+
+def test_cohort_matrix_has_every_period(spark, make_events):
+    rows = [row for week in range(11) for row in days("u", 7 * week)]
+    matrix = retention.weekly_cohort_matrix(make_events(rows)).collect()
+    assert [[r[f"p{i}"] for i in range(11)] for r in matrix] == [[1] * 11]

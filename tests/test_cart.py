@@ -146,3 +146,16 @@ def test_cart_items_explode(spark):
     flat = cart.cart_items(carts)
     assert flat.count() == 2
     assert records(cart.cart_totals(flat)) == [(1, 3, 10.0)]
+
+
+def test_a_huge_price_stops_nothing(spark, make_events):
+    rows = [{"event_type": "add_to_cart", "price": p, "session_id": f"s{i}"} for i, p in enumerate((2e8, 1e30, 5.0))]
+    assert {r.value_range: r.sessions for r in cart.value_buckets(make_events(rows)).collect()} == {"Under $50": 1, "Over $200": 1}
+
+
+def test_recovery_with_one_session_of_many_users(spark, make_events):
+    rows = [{"event_type": "add_to_cart", "user_id": f"u{i % 20}", "session_id": "unknown", "price": float(i)} for i in range(60)]
+    rows += [{"event_type": "add_to_cart", "user_id": "u1", "session_id": s, "price": 9.0} for s in ("a", "b", "c")]
+    rows.append({"event_type": "purchase", "user_id": "u7", "session_id": "c"})
+    got = {r.user_id: r.abandoned_carts for r in cart.recovery_opportunities(make_events(rows)).collect()}
+    assert got == {"u1": 3}

@@ -135,3 +135,18 @@ def test_enrichment_keeps_every_event(spark, make_events):
 def test_canonical_ids(spark):
     df = spark.createDataFrame([("A" * 24,), ("x",)], "ref string")
     assert records(cleaning.canonical_ids(df, "ref").orderBy(F.desc("ref"))) == [("a" * 24,), (None,)]
+
+
+def test_events_without_a_user_share_the_unknown_visits(spark, make_events):
+    rows = [{"user_id": None, "ts": at(m)} for m in (0, 10, 5000)] + [{"user_id": "u", "ts": at(0)}, {"user_id": "v", "ts": None}]
+    got = sessions.sessionize(make_events(rows).drop("session_id")).groupBy("session_id").count()
+    assert sorted(records(got)) == [("u-0", 1), ("unknown-0", 2), ("unknown-1", 1)]
+
+
+def test_enrichment_uses_a_repeated_product_once(spark, make_events):
+    products = spark.createDataFrame([("1", "a", "c", 1.0, []), ("1", "b", "c", 2.0, [])], schema.PRODUCTS)
+    users = spark.createDataFrame([("u1", "ann", DAY), ("u1", "ann", DAY)], schema.USERS)
+    got = cleaning.enrich(make_events([{"product_id": "1"}, {"product_id": "2"}]), products, users)
+    assert sorted(records(got.select("product_id", "product_details.name", "user_details.username"))) == [
+        ("1", "b", "ann"), ("2", None, "ann"),
+    ]

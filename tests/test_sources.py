@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.sources import adapter, lake, watermarks
@@ -122,6 +123,11 @@ class SharedFolder:
         return self.folder if key == "spark.checkpoint.dir" else default
 
 
+def test_shared_dir_needs_a_shared_folder(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SharedFolder(spark, None), "x")
+
+
 def test_shared_dir_follows_the_session(spark, tmp_path):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
     assert shared_dir(SharedFolder(spark, f"{tmp_path}/"), "x").startswith(f"{tmp_path}/x-")

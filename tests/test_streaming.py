@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from clickloom import schema
 from clickloom.operators import activity
 from clickloom.streaming import events as stream
@@ -76,7 +79,7 @@ def test_enrichment_and_visits(spark, tmp_path):
     rich = stream.enrich(accepted(), products, users).select("event_id", "product_details.name", "user_details.username")
     query = rich.writeStream.format("memory").queryName("rich").trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "s1")).start().awaitTermination()
-    assert sorted(records(spark.table("rich"))) == [(1, "shoe", "ann"), (2, "shoe", "ann"), (3, None, None)]
+    assert sorted(records(spark.table("rich"))) == [("1", "shoe", "ann"), ("2", "shoe", "ann"), ("3", None, None)]
 
     visits = stream.session_state(accepted(), "30 minutes", delay=None)
     query = visits.writeStream.format("memory").queryName("visits").outputMode("append").trigger(availableNow=True)
@@ -84,8 +87,35 @@ def test_enrichment_and_visits(spark, tmp_path):
     assert records(spark.table("visits").select("user_id", "event_count")) == [("u", 2)]
 
 
-def test_kafka_source_is_declared(spark):
-    try:
+def test_kafka_source_names_its_connector(spark):
+    """The connector is not on the local classpath, so Spark must ask for that one."""
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
         stream.kafka_source(spark, "localhost:1", "events", per_trigger=10)
-    except Exception as error:  # the connector is not on the local classpath
-        assert "kafka" in str(error).lower()
+
+
+def test_ids_of_every_shape_count_once(spark, tmp_path):
+    """No id, an object id, a text id, a number; each message twice."""
+    lines = [message(None, i / 100) for i in range(5)]
+    lines += [message(None, i / 100, _id=f"{i:024x}") for i in range(10, 15)]
+    lines += [message(f"{i:024X}", i / 100) for i in range(20, 25)]
+    lines += [message(i, i / 100) for i in range(30, 35)]
+    lines += [message("", 0.36, _id={"$oid": "f" * 24}), message("  ", 0.37)]
+    send(tmp_path / "topic", "a", lines + lines)
+    assert run(spark, tmp_path) == [(at(0), "/home", 22)]
+
+
+def test_unusable_times_are_refused(spark):
+    lines = [(message(1, 0),), (message(2, 0).replace(str(at(0).timestamp()), "1e17"),), (message(3, 0).replace(str(at(0).timestamp()), "-5"),)]
+    decoded = stream.decode(spark.createDataFrame(lines, "value string"))
+    assert [r.reject_reason for r in stream.checked(decoded).collect()] == [None, "bad timestamp", "bad timestamp"]
+    assert stream.refused(decoded).count() == 2
+
+
+def test_session_totals_come_back_after_the_watermark(spark, tmp_path):
+    """Spans of a session end with the watermark; the table adds them up."""
+    topic, table, state = (str(tmp_path / n) for n in ("topic", "table", "state"))
+    for part, minutes in enumerate(([0, 5], [3000], [6000, 6001])):
+        send(tmp_path / "topic", f"f{part}", [message(f"{part}-{m}", m) for m in minutes])
+        totals = stream.session_totals(stream.accepted(stream.decode(stream.text_source(spark, topic))))
+        stream.upsert_sink(totals, table, state).awaitTermination()
+    assert records(stream.read_sessions(spark, table)) == [("s", at(0), at(6001), 5)]
