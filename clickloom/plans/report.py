@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.operators import activity, cart, journey, kpis, retention, traffic
+from clickloom.operators import activity, cart, features, journey, kpis, models, recommend, retention, traffic
 from clickloom.sources import lake
 
 
@@ -78,6 +78,29 @@ register("journey_funnel")(lambda t: journey.ordered_funnel(t.events))
 register("journey_paths")(lambda t: journey.common_paths(t.events))
 
 
+def _segmentation(tables: Tables) -> DataFrame:
+    table = features.user_features_basic(tables.events)
+    model = models.fit_segments(table, features.BASIC_FEATURES, k=3)
+    return models.segment_stats(model, table, features.BASIC_FEATURES)
+
+
+def _purchase(tables: Tables) -> DataFrame:
+    sessions = features.session_features(tables.events)
+    return models.fit_tree(sessions, features.SESSION_FEATURES)[1]
+
+
+def _patterns(tables: Tables) -> DataFrame:
+    return models.association_rules(models.fit_patterns(features.page_baskets(tables.events), 0.1, 0.3))
+
+
+register("conversion")(lambda t: journey.event_funnel(t.events))
+register("conversion_sessions")(lambda t: journey.session_funnel(t.events))
+register("segmentation")(_segmentation)
+register("purchase")(_purchase)
+register("patterns")(_patterns)
+register("recommendations")(lambda t: recommend.popular_products(t.events, t.products))
+
+
 def build_report(tables: Tables, names: list[str] | None = None) -> Report:
     """The named analyses; one that fails is recorded and the rest go on."""
     report = Report()

@@ -1,6 +1,7 @@
 """S and W rows: lake, results, state, streaming jobs."""
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from clickloom.session import shared_dir
 from clickloom.sources import adapter, lake, watermarks
 from clickloom.sources import events as source
 from clickloom.streaming import events as stream
-from contract.common import END, MIDDLE, USERS_SQL, PRODUCTS_SQL, add, over_events, ts_text
+from contract.common import END, MIDDLE, PRODUCTS_SQL, SQL, USERS_SQL, add, over_events, ts_text
 
 FROM, TO = datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18)
 FLAT = ["event_id", "user_id", "ts", "page", "event_type", "product_id", "amount"]
@@ -113,6 +114,57 @@ add(
         round(count(*) FILTER (WHERE p = 0) * 100.0::DOUBLE / count(*), 2) AS abandonment_rate FROM x WHERE a > 0"""
     ),
 )
+# Each analysis of the report, the query whose SQL gives its rows, and a column to add up.
+REPORT = {
+    "totals": ("a1_event_totals", None), "top_pages": ("a2_top_pages", None), "sessions": ("a4_session_stats", None),
+    "time": ("a8_time_distribution", None), "seo_traffic": ("t4_traffic_by_channel", "visits"),
+    "seo_landing": ("t5_landing_pages", None), "seo_bounce": ("t7_bounce_by_channel", None),
+    "seo_conversion": ("t8_conversion_by_channel", None), "cart_abandonment": ("c1_abandonment", "total_sessions"),
+    "cart_sizes": ("c12_cart_sizes", "carts"), "cart_value": ("c7_abandoned_value", None),
+    "retention": ("r2_overall_retention", None), "retention_weekly": ("r3_weekly_cohorts", "users"),
+    "retention_signup": ("r1_signup_cohorts", "cohort_size"), "journey_funnel": ("j1_ordered_funnel", None),
+    "journey_paths": ("j6_common_paths", None), "conversion": ("j3_event_funnel", None),
+    "conversion_sessions": ("j4_session_funnel", None), "patterns": ("m17_page_rules", None),
+    "recommendations": ("p6_popular_products", "view_count"),
+}
+
+
+def _full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every analysis, written and read back: rows, and the sum of one column."""
+    path = shared_dir(spark, "report")
+    events = adapter.events(spark, sf_dir)
+    tables = report.Tables(
+        events, adapter.users(spark, sf_dir), adapter.products(spark, sf_dir), adapter.carts(spark, sf_dir), adapter.orders(spark, sf_dir)
+    )
+    built = report.build_report(tables)
+    failed = built.write(path, "parquet")
+    out = []
+    for name, frame in built.frames.items():
+        column = {"segmentation": "users"}.get(name) or REPORT.get(name, (None, None))[1]
+        total = F.sum(column).cast("long") if column else F.lit(None).cast("long")
+        written = spark.read.schema(frame.schema).parquet(f"{path}/{name}")
+        out.append(written.agg(F.count("*").alias("rows"), total.alias("total")).select(F.lit(name).alias("analysis"), "rows", "total"))
+    if failed:
+        raise ValueError(f"analyses failed: {failed}")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _full_report_sql() -> str:
+    parts = [
+        f"SELECT '{name}' AS analysis, count(*) AS rows, CAST({f'sum({column})' if column else 'NULL'} AS BIGINT) AS total FROM ({SQL[query]}) q"
+        for name, (query, column) in REPORT.items()
+    ]
+    users = over_events("SELECT least(3, count(DISTINCT user_id)) AS n, count(DISTINCT user_id) AS u FROM ev")
+    parts.append(f"SELECT 'segmentation', n, u FROM ({users}) q")
+    parts.append(f"SELECT 'purchase', count(*), NULL FROM ({over_events('SELECT max(event_id) FROM ev')}) q")
+    return " UNION ALL ".join(parts)
+
+
+def add_full_report() -> None:
+    """After all other queries, whose SQL it uses."""
+    add("s11_full_report", _full_report, _full_report_sql())
+
+
 add(
     "s13_compaction",
     _compacted,
@@ -157,9 +209,16 @@ def messages(spark: SparkSession, sf_dir: str, ids: str = "event_id", far: bool
     return events.select(F.when(broken, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
+# Topics written in this application; queries that read the same one share it.
+_TOPICS: dict[tuple, str] = {}
+
+
 def _topic(spark: SparkSession, sf_dir: str, repeats: int = 1, ids: str = "event_id") -> str:
     """Message files in place of a topic; ``repeats`` sends every message again."""
-    path = shared_dir(spark, "topic")
+    key = (spark.sparkContext.applicationId, sf_dir, repeats, ids)
+    if key in _TOPICS:
+        return _TOPICS[key]
+    path = _TOPICS[key] = shared_dir(spark, "topic")
     for _ in range(repeats):
         messages(spark, sf_dir, ids).write.mode("append").text(path)
     return path
