@@ -52,6 +52,11 @@ def rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def session_pages(events: DataFrame) -> DataFrame:
+    """One row per session and page, with its events: the form of a session's pages that has no upper size."""
+    return events.groupBy("session_id", "page").agg(F.count("*").alias("events"))
+
+
 def backfill(events: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Sessions rebuilt from the last ``days`` of events."""
     start = as_of - timedelta(days=days)
@@ -132,13 +137,22 @@ def audit(sessions: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def summary(events: DataFrame, sample: int = 10) -> DataFrame:
-    """Count, time span and the first few page names of every session."""
-    return rollup(events).select(
-        "session_id",
-        "event_count",
-        "first_event_at",
-        "last_event_at",
-        F.slice("pages", 1, sample).alias("sample_pages"),
+    """Count, time span and the first few page names of every session.
+
+    Only the first names are ever brought together, however many pages the
+    session of unknown visitors has.
+    """
+    spans = events.groupBy("session_id").agg(
+        F.count("*").alias("event_count"), F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at")
+    )
+    in_order = Window.partitionBy("session_id").orderBy("page")
+    named = session_pages(events).where(F.col("page").isNotNull())
+    first = named.withColumn("_nth", F.row_number().over(in_order)).where(F.col("_nth") <= sample)
+    names = first.groupBy(F.col("session_id").alias("_session")).agg(F.sort_array(F.collect_list("page")).alias("_pages"))
+    same = F.col("session_id").eqNullSafe(F.col("_session"))
+    none = F.array().cast("array<string>")
+    return spans.join(names, same, "left").select(
+        "session_id", "event_count", "first_event_at", "last_event_at", F.coalesce("_pages", none).alias("sample_pages")
     )
 
 

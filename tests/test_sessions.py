@@ -150,3 +150,10 @@ def test_enrichment_uses_a_repeated_product_once(spark, make_events):
     assert sorted(records(got.select("product_id", "product_details.name", "user_details.username"))) == [
         ("1", "b", "ann"), ("2", None, "ann"),
     ]
+
+
+def test_summary_samples_pages_of_a_huge_session(spark, make_events):
+    rows = [{"session_id": "unknown", "page": f"/p/{i % 400:03d}"} for i in range(800)] + [{"session_id": "a", "page": None}]
+    got = {r.session_id: (r.event_count, r.sample_pages) for r in sessions.summary(make_events(rows)).collect()}
+    assert got == {"unknown": (800, [f"/p/{i:03d}" for i in range(10)]), "a": (1, [])}
+    assert sessions.session_pages(make_events(rows)).count() == 401
