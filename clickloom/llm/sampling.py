@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 
 def crc_mod(id_col: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
