@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,25 @@ def over_texts(df: DataFrame, text: str, keep: list[str], run: Callable, schema:
     return chosen.mapInArrow(task, schema)
 
 
+#: Bits of a bitmap.
+BITS = 1 << 26
+
+
+def bitmap(spots: DataFrame) -> bytes:
+    """A bitmap with the bits in column `h` (0 to BITS - 1) set: 8 MB, whatever the input.
+
+    It only keeps rows without a partner out of a shuffle; a full one lets all pass.
+    """
+    words = (
+        spots.groupBy(F.shiftright("h", 6).alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+        .toPandas()
+    )
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.tobytes()
+
+
 def kind(df: DataFrame, col: str) -> str:
     """The SQL type of a column."""
     return df.schema[col].dataType.simpleString()

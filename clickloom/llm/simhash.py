@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, kind, over_texts, stored
+from clickloom.llm.common import BITS, LOWER, bitmap, kind, over_texts, stored
 from clickloom.llm.graph import components
 
 MOST = 4
@@ -156,16 +156,25 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay, long: bool, wide: bool) -> tuple[n
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(labels: DataFrame, long: bool, wide: bool) -> DataFrame:
-    """(key, fp, root) for the keys of distinct fingerprints."""
+def keyed(labels: DataFrame, long: bool, wide: bool, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, fp, root) for the keys of distinct fingerprints; most of those outside `wanted` (key) are left out."""
+    bits = None
+    if wanted is not None:
+        spot = F.col("key").bitwiseXOR(F.shiftright("key", 23)).bitwiseXOR(F.shiftright("key", 40)).bitwiseAND(F.lit(BITS - 1))
+        bits = labels.sparkSession.sparkContext.broadcast(bitmap(wanted.select(spot.alias("h"))))
 
     def run(batches):
         golay = Golay()
+        words = None if bits is None else np.frombuffer(bits.value, np.int64)
         for batch in batches:
             values, roots = np.asarray(batch.column("fp")), np.asarray(batch.column("root"))
             for at in range(0, len(values), 2000):
                 part, own = np.ascontiguousarray(values[at : at + 2000]), roots[at : at + 2000]
                 rows, keys = fuzzy_keys(part, golay, long, wide)
+                if words is not None:
+                    h = (keys ^ keys >> 23 ^ keys >> 40) & (BITS - 1)
+                    here = words[h >> 6] >> (h & 63) & 1 == 1
+                    rows, keys = rows[here], keys[here]
                 columns = [pa.array(keys), pa.array(part[rows]), pa.array(own[rows])]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "root"])
 
@@ -195,9 +204,8 @@ def linked(fps: DataFrame) -> DataFrame:
     labels = stored(fps.select("fp", F.col("fp").alias("root")), "labels")
     held = []
     for long, wide in ((True, False), (False, True)):
-        rows = keyed(labels, long, wide)
-        mixed = stored(mixed_buckets(rows), "buckets")
-        members = stored(rows.join(mixed, "key"), "members")
+        mixed = stored(mixed_buckets(keyed(labels, long, wide)), "buckets")
+        members = stored(keyed(labels, long, wide, mixed).join(mixed, "key"), "members")
         held.append(members.select("key", "fp"))
         stars = members.where(near("fp", "first")).join(labels.select(F.col("fp").alias("first"), F.col("root").alias("to")), "first")
         labels = relabelled(labels, stars.select(F.col("root").alias("a"), F.col("to").alias("b")))

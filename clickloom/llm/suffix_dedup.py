@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import as_bytes, kind, over_texts, slices, stored
+from clickloom.llm.common import BITS, bitmap, kind, over_texts, slices, stored
 
 LENGTH, SPREAD = 400, 112
 #: Bytes of an initial bucket; depth of the refined ones.
 Q, DEPTH = 16, 256
-#: Windows handled at a time, and bits of the bitmap.
-BLOCK, BITS = 1 << 20, 1 << 26
+#: Windows handled at a time.
+BLOCK = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -299,20 +299,6 @@ def settle_windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["ref"])
 
 
-def bitmap(ids: DataFrame) -> bytes:
-    """BITS bits with those of the digests `t` set: bounded, whatever the input."""
-    spot = F.conv(F.hex(F.substring("t", 1, 4)), 16, 10).cast("long") % BITS
-    words = (
-        ids.select(spot.alias("h"))
-        .groupBy(F.shiftright("h", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
-        .toPandas()
-    )
-    out = np.zeros(BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return out.tobytes()
-
-
 def listed(bits: bytes, key: bytes) -> bool:
     h = int.from_bytes(key[:4], "big") % BITS
     return bits[h >> 3] >> (h & 7) & 1 == 1
@@ -320,7 +306,8 @@ def listed(bits: bytes, key: bytes) -> bool:
 
 def with_digest(docs: DataFrame, text_col: str, keep: list[str], wanted: DataFrame, drop_rest: bool) -> DataFrame:
     """Kept columns, digest `t` and `_text`; texts outside the bitmap of `wanted` have no digest, or are left out."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    spot = F.conv(F.hex(F.substring("t", 1, 4)), 16, 10).cast("long") % BITS
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(spot.alias("h"))))
     names = [*keep, "t", "_text"]
 
     def run(slices):
