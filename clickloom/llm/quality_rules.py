@@ -7,15 +7,17 @@ with a share of at least `COMMON` of a language's words; the rest is one bin).
 The language whose reference is nearest counts, so a missing or wrong language
 tag does no harm.  A histogram is judged only if the document is long enough.
 
-References are exact sums over all documents.  A word with a share of COMMON in
-the corpus has it in some slice, so slices pass on only such words, and a second
-pass counts these.
+References are exact sums over all documents.  Slices pass on words with half of
+COMMON of their own words.  Those of a common word add up to half of COMMON of the
+corpus at least, since what is not passed on is less than the other half; so a
+bounded number of candidates is left, and a second pass counts these.
 
 Defined cases: a null text has no words and fails the base rules; without any
 language tag there are no references, and only the base rules decide; repeated
 rows are judged alike; an empty table gives no rows; extra columns are ignored.
 """
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import kind, over_texts
+from clickloom.llm.common import kind, over_texts, stored
 from clickloom.llm.decontaminate import words_of
 
 #: Least share of a common word.
@@ -101,15 +103,14 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").alias("_t"))
     rows = rows.where("_lang is not null")
 
-    def emit(sums, n):
-        keys = [(lang, k, v) for lang, own in sums.items() for k, v in own.items()]
-        langs, words, counts = zip(*keys) if keys else ((), (), ())
-        columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", n])
+    names = ["lang", "what", "word", "n"]
+    schema = "lang string, what string, word binary, n long"
 
-    def first(slices):
-        from collections import Counter
+    def emit(rows):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.binary(), pa.int64()))]
+        return [pa.RecordBatch.from_arrays(columns, names=names)] if rows else []
 
+    def first(slices):
         classes = Classes()
         for batch in slices:
             words, kinds = {}, {}
@@ -117,43 +118,44 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                 if text:
                     words.setdefault(lang, Counter()).update(words_of(text))
                     kinds[lang] = kinds.get(lang, 0) + classes.count(text)
-            out = {}
+            rows = []
             for lang, own in words.items():
                 total = own.total()
-                out[lang] = {b"w" + w: n for w, n in own.items() if n >= common * total}
-                # Two sums under names that no word has: all words, and each class.
-                out[lang] |= {b"n": total} | {b"c%d" % i: int(n) for i, n in enumerate(kinds[lang])}
-            yield emit(out, "n")
-
-    found = over_texts(rows, "_t", ["_lang"], first, "lang string, word binary, n long")
-    totals, kinds, candidates = {}, {}, set()
-    for r in found.groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
-        word = bytes(r.word)
-        if word == b"n":
+                rows += [(lang, "word", w, n) for w, n in own.items() if n >= common / 2 * total]
+                rows.append((lang, "total", b"", total))
+                rows += [(lang, "class", b"%d" % i, int(n)) for i, n in enumerate(kinds[lang])]
+            yield from emit(rows)
+
+    found = over_texts(rows, "_t", ["_lang"], first, schema)
+    counted = stored(found.groupBy("lang", "what", "word").agg(F.sum("n").alias("n")), "shares")
+    totals, kinds = {}, {}
+    for r in counted.where("what <> 'word'").collect():
+        if r.what == "total":
             totals[r.lang] = r.n
-        elif word[:1] == b"c":
-            kinds.setdefault(r.lang, np.zeros(len(KINDS)))[int(word[1:])] = r.n
         else:
-            candidates.add(word[1:])
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+            kinds.setdefault(r.lang, np.zeros(len(KINDS)))[int(bytes(r.word))] = r.n
 
-    def second(slices):
-        from collections import Counter
+    def least(share):
+        out = F.lit(0.0)
+        for lang in totals:
+            out = F.when(F.col("lang") == lang, F.lit(share * totals[lang])).otherwise(out)
+        return out
+
+    # At most 2 / common words of a language can pass.
+    likely = counted.where(F.col("what") == "word").where(F.col("n") >= least(common / 2)).select("word").distinct()
+    wanted = {bytes(r.word) for r in likely.collect()}
 
-        wanted = shared.value
+    def second(slices):
         for batch in slices:
             out = {}
             for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
                 if text:
                     out.setdefault(lang, Counter()).update(w for w in words_of(text) if w in wanted)
-            yield emit(out, "n")
+            yield from emit([(lang, "word", w, n) for lang, own in out.items() for w, n in own.items()])
 
-    exact = over_texts(rows, "_t", ["_lang"], second, "lang string, word binary, n long")
+    exact = over_texts(rows, "_t", ["_lang"], second, schema)
     languages = sorted(totals)
-    least = F.lit(0)
-    for lang in languages:
-        least = F.when(F.col("lang") == lang, F.lit(common * totals[lang])).otherwise(least)
-    kept = exact.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    kept = exact.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least(common)).collect()
     words = {w: i for i, w in enumerate(sorted({bytes(r.word) for r in kept}))}
     shares = np.zeros((len(languages), len(words)))
     for r in kept:
