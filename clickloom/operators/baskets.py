@@ -15,11 +15,22 @@ LIGHT = 256
 
 
 def _light_pairs(members: DataFrame) -> DataFrame:
-    """(product, partner, times) for every pair inside a small basket."""
+    """(product, partner, times) summed over small baskets.
+
+    Each pair leaves its basket once, smaller id first; the sums are mirrored
+    after counting, so half as many rows are shuffled.
+    """
     packed = members.groupBy("basket_id").agg(F.collect_list(F.struct("product_id", "times")).alias("items"))
-    one = packed.select("items", F.explode("items.product_id").alias("product_id"))
-    both = one.select("product_id", F.inline("items").alias("partner_id", "times"))
-    return both.where(F.col("product_id") != F.col("partner_id"))
+    one = packed.select("items", F.inline("items").alias("a", "a_times"))
+    both = one.select("a", "a_times", F.inline("items").alias("b", "b_times")).where(F.col("a") < F.col("b"))
+    counted = both.groupBy("a", "b").agg(F.sum("a_times").alias("a_times"), F.sum("b_times").alias("b_times"))
+
+    def side(product: str, partner: str):
+        return F.struct(
+            F.col(product).alias("product_id"), F.col(partner).alias("partner_id"), F.col(f"{partner}_times").alias("times")
+        )
+
+    return counted.select(F.inline(F.array(side("a", "b"), side("b", "a"))))
 
 
 def top_partners(
