@@ -9,11 +9,13 @@ What has no exact complement goes by best fit.  Each step uses up a length, so
 there are at most a few thousand patterns; documents are then dealt to patterns
 by their rank among documents of equal length.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are
-packed once each; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null or empty text is the end token alone; an added token of the
+tokenizer's file that stands in a text becomes its own id; repeated rows are packed
+once each; an empty table gives no rows; extra columns are ignored.
 """
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,15 @@ def load_bpe(path: str):
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["content"]}
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in blanks or stand as whole words only are not supported")
     # Byte-level vocabularies write a byte as a printable character: itself, or the next one from U+0100.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 class WordIds(dict):
@@ -50,6 +54,9 @@ class WordIds(dict):
     def __init__(self, encoding):
         super().__init__()
         self.encode = encoding.encode_ordinary
+        #: Added tokens with their packed ids, and the pattern that cuts a text at them, the longest first.
+        self.added = {t: np.array([encoding.encode_single_token(t)], "<u4").tobytes() for t in encoding.special_tokens_set}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def __missing__(self, word: str) -> bytes:
         out = np.array(self.encode(word), "<u4").tobytes()
@@ -59,8 +66,15 @@ class WordIds(dict):
         return out
 
 
+def text_ids(text: str, words: WordIds) -> bytes:
+    """Ids of a text and of the added tokens in it, as `tokenizers` gives them by default."""
+    if not any(map(text.__contains__, words.added)):
+        return packed_ids(text, words)
+    return b"".join(words.added[p] if i % 2 else packed_ids(p, words) for i, p in enumerate(words.cut.split(text)))
+
+
 def packed_ids(text: str, words: WordIds) -> bytes:
-    """Ids of a text.  Pre-tokens never cross a single blank before a non-blank, so such words stand alone."""
+    """Ids of a text, added tokens read as plain characters.  Pre-tokens never cross a single blank before a non-blank, so such words stand alone."""
     parts = text.split(" ")
     if len(parts) > 2 and all(p and not p[0].isspace() for p in parts[1:]):
         get = words.__getitem__
@@ -96,7 +110,7 @@ def token_pieces(
         for batch in slices:
             which, piece, starts, lengths, crcs, nths, ids = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column("_text").to_pylist()):
-                data = (packed_ids(text.decode("utf-8", "replace"), words) if text else b"") + end
+                data = (text_ids(text.decode("utf-8", "replace"), words) if text else b"") + end
                 n = len(data) // 4
                 cut = n % capacity or capacity
                 edges = [0, *range(cut, n + 1, capacity)]

@@ -57,6 +57,16 @@ def test_pieces_and_places(spark, reference):
     assert packing.pack(docs(spark, []), PATH).count() == 0
 
 
+def test_added_tokens_in_texts_keep_their_ids(spark):
+    t = tokenizers.Tokenizer.from_file(PATH)
+    end = "<|endoftext|>"
+    texts = [end, end * 3, f"a b {end} c d", f" {end}\n\n{end}  x", f"a{end}b c{end}", f"a  {end} b", "<|endoftext| > <|endoftext", f"x <{end}> y"]
+    got = packing.pack(docs(spark, list(enumerate(texts))), PATH, keep_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist()[:-1] for r in got} == {
+        i: t.encode(text, add_special_tokens=False).ids for i, text in enumerate(texts)
+    }
+
+
 def test_exact_combinations():
     rng = np.random.default_rng(3)
     for _ in range(200):
