@@ -10,8 +10,8 @@ there are at most a few thousand patterns; documents are then dealt to patterns
 by their rank among documents of equal length.
 
 Defined cases: a null or empty text is the end token alone; an added token of the
-tokenizer's file that stands in a text becomes its own id; repeated rows are packed
-once each; an empty table gives no rows; extra columns are ignored.
+tokenizer's file that stands in a text becomes its own id; runs of whitespace may have
+any length; repeated rows are packed once each; an empty table gives no rows; extra columns are ignored.
 """
 
 import json
@@ -30,6 +30,12 @@ REMEMBERED = 400_000
 #: The pre-token pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The characters that \s means in PATTERN, and the run of them from which a text is cut before tiktoken's regex sees it:
+#: that regex keeps a state for each character of a run and fails at about a million.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE_RUN = 10_000
+SPACE_RUN = re.compile(f"[{SPACES}]*+")
+
 
 def load_bpe(path: str):
     """The byte-level BPE of a tokenizers JSON file; ids equal those of `tokenizers`."""
@@ -53,11 +59,21 @@ class WordIds(dict):
 
     def __init__(self, encoding):
         super().__init__()
-        self.encode = encoding.encode_ordinary
+        self.short, self.whole = encoding.encode_ordinary, encoding._encode_single_piece
         #: Added tokens with their packed ids, and the pattern that cuts a text at them, the longest first.
         self.added = {t: np.array([encoding.encode_single_token(t)], "<u4").tobytes() for t in encoding.special_tokens_set}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; what PATTERN takes of a long whitespace run (all but the last character before others) goes past it."""
+        out, at = [], 0
+        for start, stop in long_runs(text):
+            stop -= stop < len(text)
+            out += self.short(text[at:start])
+            out += self.whole(text[start:stop])
+            at = stop
+        return out + self.short(text[at:])
+
     def __missing__(self, word: str) -> bytes:
         out = np.array(self.encode(word), "<u4").tobytes()
         if len(self) >= REMEMBERED:
@@ -66,6 +82,19 @@ class WordIds(dict):
         return out
 
 
+def long_runs(text: str):
+    """(start, stop) of whitespace runs of SAFE_RUN characters or more; each holds a place that SAFE_RUN divides."""
+    stop = 0
+    if len(text) < SAFE_RUN:
+        return
+    for i in range(0, len(text), SAFE_RUN):
+        if i >= stop and text[i] in SPACES:
+            low = max(stop, i - SAFE_RUN)
+            start, stop = low + len(text[low:i].rstrip(SPACES)), SPACE_RUN.match(text, i).end()
+            if stop - start >= SAFE_RUN:
+                yield start, stop
+
+
 def text_ids(text: str, words: WordIds) -> bytes:
     """Ids of a text and of the added tokens in it, as `tokenizers` gives them by default."""
     if not any(map(text.__contains__, words.added)):

@@ -67,6 +67,31 @@ def test_added_tokens_in_texts_keep_their_ids(spark):
     }
 
 
+def test_long_whitespace_runs(reference):
+    words = packing.WordIds(packing.load_bpe(PATH))
+    run = 2_000_000
+    for text in (" " * run + "a", "a b\n" + "\n" * run + "c", "a" + " \n" * run, "x\t" * 3 + "\u3000" * run + " y z"):
+        got = np.frombuffer(packing.text_ids(text, words), "<u4")
+        assert np.array_equal(got, np.array(reference(text), "<u4"))
+
+
+def test_runs_are_cut_where_the_pattern_cuts(reference, monkeypatch):
+    rng = np.random.default_rng(4)
+    signs = [*packing.SPACES, *"\x1c\x1f\u180e\u200b\ufeff", *"aé1.'日"]
+    p = np.array([8] * len(packing.SPACES) + [1] * (len(signs) - len(packing.SPACES)))
+    texts = ["".join(rng.choice(signs, rng.integers(1, 60), p=p / p.sum())) for _ in range(400)]
+    texts += [c * n + tail for c in packing.SPACES for n in (1, 2, 3, 4, 7) for tail in ("", "a", ".", " a")]
+    for safe in (1, 2, 3, 5):
+        monkeypatch.setattr(packing, "SAFE_RUN", safe)
+        words = packing.WordIds(packing.load_bpe(PATH))
+        for text in texts:
+            runs = [m.span() for m in packing.re.finditer(f"[{packing.SPACES}]+", text) if m.end() - m.start() >= safe]
+            assert list(packing.long_runs(text)) == runs
+            # A single blank before a letter belongs to it: only runs of two are cut.
+            if safe > 1:
+                assert np.frombuffer(packing.packed_ids(text, words), "<u4").tolist() == reference(text), repr(text)
+
+
 def test_exact_combinations():
     rng = np.random.default_rng(3)
     for _ in range(200):
