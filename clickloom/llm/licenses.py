@@ -5,7 +5,9 @@ document streams through it: at every word the automaton knows the longest run o
 words ending there that occurs in some template (the matching statistic).  Runs
 that cannot be extended and have `LEAST_MATCH` words are chained, per template, if
 they follow each other in both the document and the template; a chain that covers
-enough of its template is a licence span.  Phrases are found on the way, since a
+enough of its template is a licence span.  Templates with near neighbours (other
+versions, NC, ND, SA) have telling words, which one match must hold in full, and of
+chains over the same words only the one that covers most stays.  Phrases are found on the way, since a
 phrase ends at a word exactly if its state is that word's state or above it.
 
 Defined cases: null and empty texts have no words, places or labels; repeated
@@ -24,7 +26,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Public licence notices (fixed values), each with its label.
+#: Public licence notices (fixed values), each with its label and, if neighbours differ in few words, its telling words.
 TEMPLATES = [
     (
         "mit",
@@ -60,17 +62,69 @@ TEMPLATES = [
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
         "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "terms of the GNU General Public License",
+    ),
+    *(
+        (
+            "lgpl",
+            f"This {noun} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+            f"Public License as published by the Free Software Foundation; either version {version} of the License, or (at your "
+            f"option) any later version. This {noun} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+            "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "terms of the GNU Lesser General Public License",
+        )
+        for noun in ("library", "program")
+        for version in ("2.1", "3")
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "terms of the GNU Affero General Public License",
+    ),
+    ("gpl", "licensed under the GNU General Public License", "GNU General Public License"),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "GNU Lesser General Public License"),
+    ("agpl", "licensed under the GNU Affero General Public License", "GNU Affero General Public License"),
+    *(
+        (f"gpl-{n}", f"licensed under the GNU General Public License, {version}", f"GNU General Public License {version}")
+        for n in (1, 2, 3)
+        for version in (f"version {n}", f"v{n}", f"v. {n}")
+    ),
+    *(
+        (
+            f"mpl-{version[0]}",
+            f"This Source Code Form is subject to the terms of the Mozilla Public License, {v} {version}.",
+            f"Mozilla Public License {v} {version}",
+        )
+        for version in ("2.0", "1.1", "1.0")
+        for v in ("v.", "version")
     ),
-    ("gpl-3", "licensed under the GNU General Public License, version 3"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     (
         "unlicense",
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
         "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
         "purpose, commercial or non-commercial, and by any means.",
     ),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    # Each kind under its names, with each version and without one.
+    *(
+        (label, f"This work is licensed under a Creative Commons Attribution{name} {kind} License.", f"Attribution{name} {kind[:3] or 'License'}")
+        for label, names in {
+            "cc-by": [""],
+            "cc-by-sa": ["-ShareAlike", "-Share Alike"],
+            "cc-by-nc": ["-NonCommercial", "-Non-Commercial"],
+            "cc-by-nd": ["-NoDerivatives", "-NoDerivs", "-No Derivatives", "-No Derivative Works"],
+            "cc-by-nc-sa": [f"-{nc}-{sa}" for nc in ("NonCommercial", "Non-Commercial") for sa in ("ShareAlike", "Share Alike")],
+            "cc-by-nc-nd": [
+                f"-{nc}-{nd}"
+                for nc in ("NonCommercial", "Non-Commercial")
+                for nd in ("NoDerivatives", "NoDerivs", "No Derivatives", "No Derivative Works")
+            ],
+        }.items()
+        for name in names
+        for kind in ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic", "1.0 Generic", "")
+    ),
 ]
 #: Words of a match that is chained, words between matches of a chain, and the share of a template that labels.
 LEAST_MATCH, MOST_GAP, LEAST_SHARE = 5, 24, 0.6
@@ -135,11 +189,17 @@ class Automaton:
 class Scanner:
     """The automaton of phrases and templates, and what a document's walk through it finds."""
 
-    def __init__(self, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None):
+    def __init__(self, phrases: dict[str, str] | None = None, templates: list[tuple] | None = None):
         phrases = PHRASES if phrases is None else phrases
         self.templates = TEMPLATES if templates is None else templates
         self.labels = list(phrases.values())
-        texts = [words_of(text.encode()) for _, text in self.templates]
+        texts = [words_of(text.encode()) for _, text, *_ in self.templates]
+        # For each template, where its telling words start and stop; (0, 0) if it has none.
+        self.telling = []
+        for text, (_, _, *told) in zip(texts, self.templates):
+            own = words_of(told[0].encode()) if told else []
+            at = next(i for i in range(len(text) + 1) if text[i : i + len(own)] == own)
+            self.telling.append((at, at + len(own)))
         spoken = [words_of(p.encode()) for p in phrases]
         self.sizes = [len(t) for t in texts]
         self.auto = auto = Automaton(texts + spoken)
@@ -182,27 +242,41 @@ class Scanner:
         return places, self.chained(matches)
 
     def chained(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Chains of matches that advance in document and template alike."""
-        open_: dict[int, list[int]] = {}
+        """Chains of matches that advance in document and template alike, the best of those over the same words."""
+        # A chain is its first word, stop, words covered, stop in the template, whether it told, and its runs of words.
+        open_: dict[int, list] = {}
         done = []
         for first, n, state in matches:
             for t, end in self.auto.ends[state]:
                 if t >= len(self.templates):
                     continue
                 start = end - n
+                low, high = self.telling[t]
+                told = low == high or start <= low and high <= end
                 chain = open_.get(t)
                 if chain:
                     # Words that the chain has already, in the document or in the template.
                     skip = max(0, chain[1] - first, chain[3] - start)
                     if skip < n and first + skip - chain[1] <= MOST_GAP and start + skip - chain[3] <= MOST_GAP:
                         chain[1], chain[2], chain[3] = first + n, chain[2] + n - skip, end
+                        chain[4] |= told
+                        chain[5].append((first + skip, first + n))
                         continue
                     if first < chain[1]:
                         continue
-                    done.append((t, *chain[:3]))
-                open_[t] = [first, first + n, n, end]
-        done += [(t, *chain[:3]) for t, chain in open_.items()]
-        return sorted(c for c in done if c[3] >= LEAST_SHARE * self.sizes[c[0]])
+                    done.append((t, chain))
+                open_[t] = [first, first + n, n, end, told, [(first, first + n)]]
+        done += open_.items()
+        able = [(t, c) for t, c in done if c[4] and c[2] >= LEAST_SHARE * self.sizes[t]]
+        able.sort(key=lambda x: (-x[1][2], -x[1][2] / self.sizes[x[0]], x[1][0], x[0]))
+        best, taken = [], set()
+        for t, chain in able:
+            own = {i for a, b in chain[5] for i in range(a, b)}
+            # A few words at the edge may belong to two notices; half of a notice may not.
+            if 2 * len(own & taken) < len(own):
+                best.append((t, *chain[:3]))
+                taken |= own
+        return sorted(best)
 
 
 SPANS = pa.list_(

@@ -148,6 +148,33 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_neighbouring_licenses_keep_their_own_labels():
+    scanner = licenses.Scanner()
+
+    def labels(text):
+        return ",".join(sorted({scanner.templates[t][0] for t, *_ in scanner.scan(licenses.words_of(text.encode()))[1]}))
+
+    for _, text, *_ in licenses.TEMPLATES:
+        assert len(scanner.scan(licenses.words_of(text.encode()))[1]) == 1
+    gpl = "licensed under the GNU General Public License"
+    assert labels(gpl + ", version 2") == labels(gpl + " v2") == "gpl-2" and labels(gpl) == "gpl"
+    assert labels(gpl + ", version 3 or later") == labels("under the GNU General Public License, version 3") == "gpl-3"
+    assert labels(f"{gpl}, version 2. The rest is {gpl}, version 3.") == "gpl-2,gpl-3"
+    cc = "This work is licensed under a Creative Commons Attribution"
+    assert labels(cc + "-NonCommercial 4.0 International License") == "cc-by-nc"
+    assert labels(cc + "-NonCommercial-ShareAlike 4.0 International License") == "cc-by-nc-sa"
+    assert labels(cc + "-NonCommercial-NoDerivs 3.0 United States License") == "cc-by-nc-nd"
+    assert labels(cc + "-NoDerivatives 4.0 International License") == "cc-by-nd"
+    assert labels(cc + "-ShareAlike 3.0 Unported License") == "cc-by-sa" and labels(cc + "-Other 4.0 International License") == ""
+    assert labels(cc + " 4.0 International License") == labels(cc + " 3.0 License") == labels(cc + " License") == "cc-by"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, "
+    assert labels(mpl + "v. 2.0") == labels(mpl + "version 2.0") == "mpl-2" and labels(mpl + "v. 1.1") == "mpl-1"
+    long = next(text for label, text, *_ in licenses.TEMPLATES if label == "gpl")
+    assert labels(long) == labels(long.replace("version 3", "version 2")) == "gpl"
+    assert labels(long.replace("GNU General", "GNU Lesser General")) == "lgpl"
+    assert labels(long.replace("GNU General", "GNU Affero General")) == "agpl"
+
+
 # quality classifier
 
 
