@@ -18,8 +18,9 @@ only.  Archives are read whole, one at a time; the writer starts a new one at
 
 Defined cases: a null payload is empty; rows with a null id are responses; rows
 with the smallest id are all responses if that id is repeated; null addresses are
-left out of the header; line ends in addresses are percent-encoded; an empty
-table gives no archives and no rows; extra columns are ignored.
+left out of the header; line ends in addresses are percent-encoded; headers may have
+any length, and only line feeds (with or without a carriage return) end their lines,
+so addresses keep all other characters; an empty table gives no archives and no rows; extra columns are ignored.
 """
 
 import base64
@@ -39,7 +40,6 @@ START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
 VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
 HEADER_END = re.compile(rb"\r?\n\r?\n")
 PADDING = re.compile(rb"\0+")
-HEADER_BYTES = 1 << 16
 END = b"\r\n\r\n"
 MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 
@@ -142,27 +142,31 @@ def record_at(data: bytes, at: int) -> tuple[dict | str, int]:
     version = VERSION.match(data, at)
     if not version:
         return "version line", at
-    end = HEADER_END.search(data, at, at + HEADER_BYTES)
-    if not end:
-        return "header", at
-    fields = {}
-    for line in data[version.end() : end.start()].decode("utf-8", "replace").splitlines():
-        name, colon, value = line.partition(":")
+    # Line by line up to the empty one: a bad line ends the search, so it never goes far in damaged data.
+    fields, begin = {}, version.end()
+    while True:
+        stop = data.find(b"\n", begin)
+        if stop < 0:
+            return "header", at
+        line, begin = data[begin:stop].removesuffix(b"\r"), stop + 1
+        if not line:
+            break
+        name, colon, value = line.partition(b":")
         if not colon:
             return "header", at
-        fields[name.strip().lower()] = value.strip()
+        fields[name.strip().lower().decode("utf-8", "replace")] = value.strip(b" \t\r").decode("utf-8", "replace")
     if not MANDATORY <= fields.keys():
         return "mandatory field", at
     length = fields["content-length"]
     if not (length.isascii() and length.isdigit()):
         return "content length", at
-    stop = end.end() + int(length)
+    stop = begin + int(length)
     if data[stop : stop + 4] != END:
         return "record end", at
-    block = data[end.end() : stop]
+    block = data[begin:stop]
     if not matches(fields.get("warc-block-digest"), block):
         return "block digest", at
-    head, payload = HEADER_END.search(block, 0, HEADER_BYTES), block
+    head, payload = HEADER_END.search(block), block
     http = "application/http" in fields.get("content-type", "") and head
     if http:
         payload = block[head.end() :]

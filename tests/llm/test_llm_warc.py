@@ -44,6 +44,23 @@ def test_round_trip(spark, tmp_path, least, monkeypatch):
     assert len(files) > 3 and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1") for f in files)
 
 
+def test_long_addresses_and_odd_line_ends_come_back(spark, tmp_path):
+    urls = ["http://h/" + "x" * 100_000, "http://h/\u2028a\u2029b\x85c", "http://h/end\u2028", "http://h/é" * 20_000]
+    frame = spark.createDataFrame([(i, url, f"<p>{i}</p>") for i, url in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    assert rows_of(warc.read_archives(spark, str(tmp_path / "w")), "kind", "page", "url") == [("response", str(i), url) for i, url in enumerate(urls)]
+
+
+def test_long_http_headers():
+    block = b"HTTP/1.1 200 OK\r\nX-Long: " + b"x" * 100_000 + b"\r\n\r\nbody"
+    head = (
+        f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
+        f"WARC-Payload-Digest: sha1:{warc.sha1_base32(b'body')}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    ).encode()
+    (a, b, got), = warc.salvage(head + block + warc.END)
+    assert got["payload"] == b"body"
+
+
 def test_no_pages(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
