@@ -10,7 +10,8 @@ to the shared folder and reads it back as the next one's documents.
 - repeated_passages: bytes of passages that stand elsewhere too are cut from the
   texts.  A character goes only if all its bytes do; n_chars follows the text.
 - decontamination: documents that hold a window of a benchmark item go.
-- packing: pieces of token sequences with their place.
+- packing: pieces of token sequences with their place and their token ids
+  (`ids`, little-endian 32-bit).
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,7 +84,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [

@@ -4,7 +4,7 @@ from llm_cases import docs, odd_texts, plain_words, prose
 from pyspark.sql import functions as F
 from test_llm_duplicates import brute_fingerprint, brute_roots
 
-from clickloom.llm import langid, queries, suffix_dedup
+from clickloom.llm import langid, packing, queries, suffix_dedup
 from clickloom.llm.common import stored
 
 TABLES = "/root/testdata/sf0.001"
@@ -42,6 +42,16 @@ def test_stages_on_odd_tables(spark):
     assert corpus_pipeline.best_fit_packing(spark, frame.where("false"), TABLES).count() == 0
 
 
+def test_packing_returns_the_token_ids(spark):
+    texts = [(i, prose(i, 900)) for i in range(4)] + [(8, None)]
+    words = packing.WordIds(packing.load_bpe(queries.public_path("byte_bpe_50k.json")))
+    rows = corpus_pipeline.best_fit_packing(spark, docs(spark, texts), TABLES).collect()
+    for i, text in texts:
+        own = sorted((r.piece, r.length, bytes(r.ids)) for r in rows if r.doc_id == i)
+        assert b"".join(x for *_, x in own) == packing.text_ids(text or "", words) + b"\2\0\0\0"
+        assert all(len(x) == 4 * n for _, n, x in own)
+
+
 def test_run_equals_its_stages(spark):
     source = spark.read.parquet(f"{TABLES}/documents.parquet")
     steps, current = {}, source
