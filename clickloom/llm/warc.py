@@ -12,8 +12,11 @@ not compressed: the gzip checksum, the version line, a whole header with its
 mandatory fields, the content length, the closing blank lines, and the block and
 payload digests.  After a failed check the reader searches for the next gzip
 member or version line that passes all checks, goes on from there, and reports
-the bytes between as a gap.  A damaged archive therefore costs the damaged records
-only.  Archives are read whole, one at a time; the writer starts a new one at
+the bytes between as a gap.  A gzip member that is damaged or cut short gives the
+whole records before the damage; if only its checksum fails and no record in it does,
+nothing tells where the damage is and all of it is a gap.  A gap inside a member has
+its place in the inflated bytes too.  A damaged archive therefore costs the damaged
+records only.  Archives are read whole, one at a time; the writer starts a new one at
 `FILE_BYTES`.
 
 Defined cases: a null payload is empty; rows with a null id are responses; rows
@@ -122,19 +125,33 @@ def write_archives(
     made.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
-def member_at(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The inflated gzip member at a place and where it ends; None if it is damaged."""
-    inflate, out, view = zlib.decompressobj(31), [], memoryview(data)
+class Reason(str):
+    """A failed check; `inside` is (offset, length) in the inflated member, if the gap lies in one."""
+
+    inside: tuple[int, int] | None = None
+
+
+def member_at(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member at a place, where that ends, and `whole`, `cut`, `damaged` or `checksum`."""
+    inflate, out, view, begin = zlib.decompressobj(31), [], memoryview(data), at
     try:
         while not inflate.eof:
             if at >= len(data):
-                return None, at
+                return b"".join(out), at, "cut"
             piece = view[at : at + (1 << 16)]
             out.append(inflate.decompress(piece))
             at += len(piece)
     except zlib.error:
-        return None, at
-    return b"".join(out), at - len(inflate.unused_data)
+        # Once more up to this piece, and then byte by byte up to the damage.
+        inflate = zlib.decompressobj(31)
+        out = [inflate.decompress(view[begin:at])]
+        try:
+            while True:
+                out.append(inflate.decompress(view[at : at + 1]))
+                at += 1
+        except zlib.error as error:
+            return b"".join(out), at, "checksum" if "incorrect" in str(error) else "damaged"
+    return b"".join(out), at - len(inflate.unused_data), "whole"
 
 
 def record_at(data: bytes, at: int) -> tuple[dict | str, int]:
@@ -190,20 +207,30 @@ def salvage(data: bytes):
 
     def step(at: int):
         if data[at : at + 2] == b"\x1f\x8b":
-            inner, stop = member_at(data, at)
-            if inner is None:
-                return "gzip member", at
+            inner, stop, state = member_at(data, at)
             found = list(salvage(inner))
+            good = [x for *_, x in found if isinstance(x, dict)]
+            if state in ("damaged", "checksum"):
+                # Without a failed record or a digest, nothing tells that a record is intact.
+                proven = all((x["fields"].get("warc-block-digest") or "").lower().startswith("sha1:") for x in good)
+                if not proven or state == "checksum" and len(good) == len(found):
+                    return "gzip member", at
             # A member with nothing valid in it is damaged as a whole.
-            return ([(at, stop, x) for _, _, x in found], stop) if any(isinstance(x, dict) for *_, x in found) else ("member content", at)
+            if not good:
+                return "member content" if state == "whole" else "gzip member", at
+            for k, (a, b, x) in enumerate(found):
+                if isinstance(x, str):
+                    found[k] = a, b, Reason(x)
+                    found[k][2].inside = a, b - a
+            return [(at, stop, x) for *_, x in found], stop, state
         got, stop = record_at(data, at)
-        return (got, stop) if isinstance(got, str) else ([(at, stop, got)], stop)
+        return (got, stop) if isinstance(got, str) else ([(at, stop, got)], stop, "whole")
 
     while at < len(data):
         if lost is None and data[at] == 0:  # padding
             at = PADDING.match(data, at).end()
             continue
-        got, stop = step(at)
+        got, stop, *state = step(at)
         if isinstance(got, str):
             if lost is None:
                 lost, why = at, got
@@ -215,13 +242,16 @@ def salvage(data: bytes):
             lost = None
         yield from got
         at = stop
+        if state != ["whole"]:  # the rest of the member, which may be empty
+            lost, why = stop, "gzip member"
     if lost is not None:
         yield lost, len(data), why
 
 
 READ = (
     "file string, offset long, length long, kind string, page string, url string, refers_to string, "
-    "payload_digest string, payload_bytes long, payload binary, reason string"
+    "payload_digest string, payload_bytes long, payload binary, reason string, "
+    "inside_offset long, inside_length long"
 )
 
 
@@ -236,7 +266,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for start, stop, got in salvage(data.as_py()):
                     row = dict.fromkeys(names) | {"file": file, "offset": start, "length": stop - start}
                     if isinstance(got, str):
-                        row |= {"kind": "gap", "reason": got}
+                        row |= {"kind": "gap", "reason": str(got)}
+                        row["inside_offset"], row["inside_length"] = getattr(got, "inside", None) or (None, None)
                     else:
                         fields = got["fields"]
                         row |= {

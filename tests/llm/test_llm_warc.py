@@ -118,6 +118,30 @@ def test_cut_inserted_and_foreign_bytes():
     assert summary(b"") == [] and [x for *_, x in summary(wrong + plain)][-1] == 1
 
 
+def test_damaged_members_give_the_records_before_the_damage():
+    r = random.Random(3)
+    parts = [record(i, 3000) for i in range(6)]
+    whole, after = member(b"".join(parts)), member(record(9))
+    half = summary(whole[: len(whole) // 2])
+    kept = [x for *_, x in half if isinstance(x, int)]
+    assert kept == list(range(len(kept))) and len(kept) >= 2 and half[-1][1] == len(whole) // 2
+    for _ in range(40):
+        at = r.randrange(len(whole) // 2, len(whole) - 8)
+        hurt = whole[:at] + bytes(x ^ 255 for x in whole[at : at + 4]) + whole[at + 4 :]
+        got = summary(hurt + after)
+        kept = [x for *_, x in got if isinstance(x, int)]
+        assert kept[:2] == [0, 1] and kept[-1] == 9 and any(isinstance(x, str) for *_, x in got)
+    # Only the checksum is wrong: any record's header may be damaged.
+    assert [x for *_, x in summary(whole[:-8] + b"oops" + whole[-4:] + after)] == ["gzip member", 9]
+
+
+def test_gaps_inside_members_have_their_place(spark, tmp_path):
+    first, bad, last = record(0), record(1)[:-9], record(2)
+    (tmp_path / "a.warc.gz").write_bytes(member(first + bad + last))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(x.page, x.inside_offset, x.inside_length) for x in rows] == [("0", None, None), (None, len(first), len(bad)), ("2", None, None)]
+
+
 def test_gaps_are_rows(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(member(record(0)) + b"\x1f\x8b\x08oops" + member(record(1)))
     (tmp_path / "b.warc").write_bytes(record(2) + record(3)[:-9])
