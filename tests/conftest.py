@@ -1,16 +1,9 @@
-import os
-import sys
-from datetime import datetime, timedelta
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-import clickloom.session  # noqa: E402
-from clickloom import schema  # noqa: E402
-from clickloom.session import local_session  # noqa: E402
-
-DAY = datetime(2024, 1, 1)
+import clickloom.session
+from clickloom import schema
+from clickloom.session import local_session
+from frames import at
 
 
 @pytest.fixture(scope="session")
@@ -21,10 +14,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def at(minutes: float) -> datetime:
-    return DAY + timedelta(minutes=minutes)
-
-
 @pytest.fixture(scope="session")
 def make_events(spark):
     """Prepared events from dicts; everything not named gets a neutral value."""
@@ -45,7 +34,3 @@ def make_events(spark):
 @pytest.fixture(scope="session")
 def tables():
     return "/root/testdata/sf0.001"
-
-
-def records(df):
-    return [tuple(r) for r in df.collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clickloom import schema
 from clickloom.operators import recommend, retention, traffic
-from conftest import DAY, at, records
+from frames import DAY, at, records
 
 
 def days(user, *numbers, **more):

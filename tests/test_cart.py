@@ -6,7 +6,7 @@ import pytest
 
 from clickloom import schema
 from clickloom.operators import baskets, cart
-from conftest import at, records
+from frames import at, records
 from test_journey import by_session, random_rows
 
 

@@ -1,5 +1,10 @@
 """A cross-section of the registered queries against their SQL; check.py runs them all."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -33,3 +38,15 @@ def test_query_equals_sql(spark, con, tables, name):
 def test_entry_and_keys(spark):
     assert contract.entry(spark).count() == 6
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("gone", [["corpus_pipeline.py"], []])
+def test_entry_without_the_text_folders(tmp_path, gone):
+    """Without the text operators (and their pipeline) all other queries are registered."""
+    home = Path(contract.__file__).parent
+    left_out = shutil.ignore_patterns("llm", ".git", "__pycache__", *gone)
+    shutil.copytree(home, tmp_path / "copy", ignore=left_out)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True)
+    rest = {n for n in contract.queries() if n != "pipeline" and not n.startswith("op")}
+    assert set(found.stdout.split()) == rest and len(rest) > 180

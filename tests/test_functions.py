@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import pages, traffic, values
 from clickloom.sources import events as source
-from conftest import records
+from frames import records
 
 
 def one(spark, column, **fields):

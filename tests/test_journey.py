@@ -5,7 +5,7 @@ import pytest
 
 from clickloom.operators import journey
 from clickloom.sources import adapter
-from conftest import at, records
+from frames import at, records
 
 KINDS = ["pageview", "pageview", "search", "add_to_cart", "remove_from_cart", "checkout", "purchase"]
 PAGES = {"search": "/search", "add_to_cart": "/cart", "remove_from_cart": "/cart", "checkout": "/checkout", "purchase": "/checkout"}

@@ -7,7 +7,7 @@ from clickloom import schema
 from clickloom.operators import activity, kpis
 from clickloom.plans import report
 from clickloom.sources import adapter
-from conftest import DAY, at, records
+from frames import DAY, at, records
 
 
 def orders(spark, rows):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from clickloom import schema
 from clickloom.operators import features, models
 from clickloom.sources import adapter
-from conftest import at, records
+from frames import at, records
 
 
 def test_interaction_weights(make_events):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from clickloom import schema
 from clickloom.operators import cleaning, sessions
 from clickloom.sources import adapter
-from conftest import DAY, at, records
+from frames import DAY, at, records
 
 
 def test_sessionize_matches_a_scan_in_time_order(spark, make_events):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from clickloom.sources import adapter, lake, watermarks
 from clickloom.sources import events as source
 from clickloom.session import shared_dir
-from conftest import DAY, at, records
+from frames import DAY, at, records
 
 
 def test_lake_prunes_folders_and_honours_the_hour(spark, make_events, tmp_path):

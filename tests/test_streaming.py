@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from clickloom import schema
 from clickloom.operators import activity
 from clickloom.streaming import events as stream
-from conftest import DAY, at, records
+from frames import DAY, at, records
 
 
 def message(i, minutes, kind="pageview", page="/home", **more):
