@@ -59,8 +59,8 @@ def over_texts(df: DataFrame, text: str, keep: list[str], run: Callable, schema:
 BITS = 1 << 26
 
 
-def bitmap(spots: DataFrame) -> bytes:
-    """A bitmap with the bits in column `h` (0 to BITS - 1) set: 8 MB, whatever the input.
+def bitmap(spots: DataFrame, size: int = BITS) -> bytes:
+    """A bitmap of `size` bits with those in column `h` (0 to size - 1) set: 8 MB by default, whatever the input.
 
     It only keeps rows without a partner out of a shuffle; a full one lets all pass.
     """
@@ -69,7 +69,7 @@ def bitmap(spots: DataFrame) -> bytes:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
         .toPandas()
     )
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     return out.tobytes()
 

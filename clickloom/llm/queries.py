@@ -84,10 +84,11 @@ QUERIES["op7_simhash"] = op7_simhash
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), shorter=suffix_dedup.SHORT)
     return cut.select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"), "n_shorter",
+    )
 
 
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup

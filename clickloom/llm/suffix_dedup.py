@@ -1,33 +1,44 @@
 """Removal of long repeated passages by bucket-pointer refinement over Spark.
 
-A byte goes if a string of `LENGTH` bytes that covers it also starts elsewhere.
-
-Initial buckets hold positions with equal 16-byte strings.  A bucket's identifier
-is a content name, so every task gives a string the same one and no global sort
-is needed to know it.  Buckets of twice the depth are refined from the
-identifiers at the position and at the offset behind it, and identifiers of one
-depth are reused for all refinements of the next (16, 32, ... 256 bytes).
-
-Not all positions enter the shuffle.  Windows of LENGTH bytes are led by the
-smallest initial bucket among their first `SPREAD` positions; windows with the
-same leader form a range.  Equal windows have equal leaders at equal offsets, so
-they meet in the bucket of their leader at depth LENGTH - SPREAD.  There a range
-is refined by the identifier of all its bytes:
-
-- alone in its leader's bucket: no window repeats;
-- some range with the same bytes: all its windows repeat;
-- other ranges in the bucket: refined once more, window by window.
-
-Equal ranges and windows are merged inside each slice before the shuffle, so no
-bucket has more rows than there are slices, however often a passage occurs.
-Texts meet their results by a digest; a bitmap of bounded size keeps most texts
-without repeats out of that shuffle (a full bitmap only costs time).
+A byte goes if a string of `length` bytes that covers it also starts elsewhere.
+
+Candidates.  Windows of `length` bytes are led by the smallest hashed q-gram among
+their first `spread_of(length)` positions; windows with the same leader form a
+range.  Equal windows have equal leaders at equal offsets, so they meet in the
+bucket of the string that all windows of a range share.  A first pass counts these
+buckets; ranges alone in theirs have no window that repeats and go no further (a
+bitmap of bounded size tells them apart; a full one only costs time).
+
+Refinement inside a slice.  Positions start in buckets of equal 8-byte strings;
+a bucket's pointer is the place where it starts in sorted order.  A bucket is
+refined by sorting its positions on the pointers at the offset behind the bytes
+it already covers; the updated pointers serve all refinements of the next round,
+so that the depth doubles (8, 16, 32, ...), and positions alone in their bucket
+are settled.  The pointers at the two ends of a range tell exactly which ranges of
+the slice have the same bytes.
+
+Refinement across slices.  Pointers mean nothing in another slice, so one range of
+each kind goes on under a 128-bit BLAKE2b digest of its bytes:
+
+- the same digest twice: all windows repeat;
+- else other ranges in the bucket of the leader: refined once more, by sorting on
+  the digests of the single windows;
+- else no window repeats.
+
+Equal ranges and windows are merged inside each slice before a shuffle, so no key
+has more rows than there are slices, however often a passage occurs; whether a
+bucket holds several kinds of ranges is a map-side combined count.  Texts meet
+their results by a digest; texts without repeats take no part in that join.
 
 Defined cases: null and empty texts have no bytes; repeated rows repeat each
 other's text like any other copy; an empty table gives no rows; extra columns
-are ignored or, with `keep`, carried along.
+are ignored or, with `keep`, carried along.  Nothing depends on the order of rows,
+so there are no ties to break.  A very long text is scanned in blocks and refined
+in pieces of `PIECE` bytes; its maximal runs are one array, as the text is one value.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,16 +46,22 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.common import BITS, bitmap, kind, over_texts, slices, stored
 
-LENGTH, SPREAD = 400, 112
-#: Bytes of an initial bucket; depth of the refined ones.
-Q, DEPTH = 16, 256
-#: Windows handled at a time.
-BLOCK = 1 << 20
+#: Bytes of a repeat; of the shorter repeats that `shorter` counts (over 50 words have more).
+LENGTH, SHORT = 400, 200
+#: Bytes of an initial bucket.
+Q = 8
+#: Windows handled at a time; bytes of a text that travel together.
+BLOCK = PIECE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
+def spread_of(length: int) -> int:
+    """Windows that may share a leader; ranges have fewer than 128 of them."""
+    return min(112, length // 2)
+
+
 def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The identifier of (bucket, bucket at a later offset)."""
+    """A hash of two 8-byte words; it only chooses leaders, so it may collide."""
     z = x * np.uint64(0x9E3779B97F4A7C15)
     z += y * np.uint64(0xC2B2AE3D27D4EB4F)
     z ^= z >> np.uint64(29)
@@ -53,15 +70,9 @@ def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
-def refined(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the initial buckets and of those of DEPTH bytes, at all positions."""
-    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    first = name = mix(words[:-8], words[8:])
-    depth = Q
-    while depth < DEPTH:
-        name = mix(name[:-depth], name[depth:])
-        depth *= 2
-    return first, name
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position as a number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
 
 
 def window_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -75,43 +86,47 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def blocks(texts: list[bytes]):
-    """(bytes, pieces) with about BLOCK windows; a piece is (text, offset in it, place in the bytes, windows)."""
+def blocks(texts: list[bytes], length: int, block: int):
+    """(bytes, pieces) with about `block` windows; a piece is (text, offset in it, place in the bytes, windows)."""
     parts, pieces, size = [], [], 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text) - LENGTH + 1, BLOCK):
-            n = min(BLOCK, len(text) - LENGTH + 1 - at)
-            parts.append(text[at : at + n + LENGTH - 1])
+        for at in range(0, len(text) - length + 1, block):
+            n = min(block, len(text) - length + 1 - at)
+            parts.append(text[at : at + n + length - 1])
             pieces.append((i, at, size, n))
-            size += n + LENGTH - 1
-            if size >= BLOCK:
+            size += n + length - 1
+            if size >= block:
                 yield np.frombuffer(b"".join(parts), np.uint8), pieces
                 parts, pieces, size = [], [], 0
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), pieces
 
 
-def ranges(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Ranges of windows with the same leader: text, first and last window, leader's place, both identifiers."""
-    out = {k: [] for k in ("text", "first", "last", "lead", "bucket", "whole")}
-    for data, pieces in blocks(texts):
-        initial, name = refined(data)
-        ordered = (initial & ~PLACE) | np.arange(len(initial), dtype=np.uint64)
-        leader = (window_minima(ordered, SPREAD) & PLACE).astype(np.int64)
+def ranges(texts: list[bytes], length: int, block: int = BLOCK) -> dict[str, np.ndarray]:
+    """Ranges of windows with the same leader: text, first and last window, leader's place, bucket."""
+    import xxhash
+
+    spread = spread_of(length)
+    out = {k: [] for k in ("text", "first", "last", "lead")}
+    for data, pieces in blocks(texts, length, block):
+        words = words_at(data)
+        hashed = mix(words[:-8], words[8:])
+        ordered = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
+        leader = (window_minima(ordered, spread) & PLACE).astype(np.int64)
         at = np.concatenate([np.arange(p, p + n) for _, _, p, n in pieces])
         lead = leader[at]
         cut = np.flatnonzero(np.concatenate(([True], (lead[1:] != lead[:-1]) | (at[1:] != at[:-1] + 1))))
         first, last, lead = at[cut], at[np.append(cut[1:], len(at)) - 1], lead[cut]
         text, offset, place, _ = np.array(pieces, np.int64).T
         own = np.searchsorted(place, first, "right") - 1
-        # The leader's bucket has LENGTH - SPREAD = 288 bytes; a range has LENGTH + last - first, three buckets at most.
-        bucket = mix(name[lead], name[lead + LENGTH - SPREAD - DEPTH])
-        whole = mix(mix(name[first], name[first + LENGTH - DEPTH]), name[last + LENGTH - DEPTH])
-        whole = mix(whole, ((lead - first) << 16 | last - first).astype(np.uint64))
         move = offset[own] - place[own]
-        for k, v in zip(out, (text[own], first + move, last + move, lead + move, bucket, whole)):
+        for k, v in zip(out, (text[own], first + move, last + move, lead + move)):
             out[k].append(v)
-    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+    r = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+    shared = length - spread  # bytes behind the leader that every window of its range holds
+    named = (xxhash.xxh3_64_intdigest(texts[i][a : a + shared]) for i, a in zip(r["text"].tolist(), r["lead"].tolist()))
+    r["bucket"] = np.fromiter(named, np.uint64, len(r["lead"])).view(np.int64)
+    return r
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -123,6 +138,67 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
+def pointers(data: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket pointers of all positions: equal if and only if the `depth` bytes there are equal.
+
+    `depth` is Q times a power of two.  Positions whose bytes end sooner have a pointer of some bucket.
+    """
+    word = words_at(data)
+    active = np.argsort(word)
+    starts = runs(word[active])
+    pointer = np.empty(len(word), np.int64)
+    pointer[active] = np.repeat(starts[:-1], np.diff(starts))
+    covered = Q
+    while covered < depth:
+        size = np.diff(starts)
+        active = active[np.repeat(size > 1, size)]
+        active = active[active + covered < len(pointer)]
+        key = pointer[active] << 32 | pointer[active + covered]
+        order = np.argsort(key)
+        active, key = active[order], key[order]
+        bucket = key >> 32
+        starts = runs(key)
+        # A part of a bucket points to its own start; the bucket's first part keeps the old pointer.
+        by_bucket = runs(bucket)
+        base = np.repeat(by_bucket[:-1], np.diff(by_bucket))[starts[:-1]]
+        pointer[active] = np.repeat(bucket[starts[:-1]] + starts[:-1] - base, np.diff(starts))
+        covered *= 2
+    return pointer
+
+
+def equal_ranges(texts: list[bytes], r: dict[str, np.ndarray], length: int, block: int = BLOCK) -> np.ndarray:
+    """For each range the index of one with the same bytes; ranges of different blocks are not compared."""
+    depth = Q
+    while 2 * depth <= length:
+        depth *= 2
+    n = len(r["text"])
+    same = np.arange(n)
+    start = 0
+    while start < n:
+        parts, place, size, i = [], [], 0, start
+        stop, text = 0, -1  # the bytes taken so far of the present text
+        while i < n and size < block:
+            own, first, end = r["text"][i], r["first"][i], r["last"][i] + length
+            if own != text or first > stop:
+                parts.append(texts[own][first:end])
+                place.append(size)
+                size += end - first
+            else:
+                place.append(size - (stop - first))
+                parts.append(texts[own][stop:end])
+                size += end - stop
+            text, stop, i = own, end, i + 1
+        pointer = pointers(np.frombuffer(b"".join(parts) + b"\0" * Q, np.uint8), depth)
+        at = np.array(place)
+        wide = (r["last"] - r["first"])[start:i] + length
+        keys = [pointer[at + np.minimum(k, wide - depth)] for k in range(0, length + 128, depth)] + [wide]
+        order = np.lexsort(keys)
+        starts = runs(*(k[order] for k in keys))
+        same[start + order] = start + np.repeat(order[starts[:-1]], np.diff(starts))
+        start = i
+    return same
+
+
 def merged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of [first, stop) as maximal runs."""
     if not len(first):
@@ -136,20 +212,24 @@ def merged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def digest(text: bytes) -> bytes:
-    import xxhash
+    """A text's identity: 128 bits that nobody can aim at."""
+    return hashlib.blake2b(text, digest_size=16).digest()
 
-    return xxhash.xxh3_128_digest(text)
+
+def identifiers(strings) -> np.ndarray:
+    """The digests of byte strings as two columns of numbers."""
+    return np.frombuffer(b"".join(digest(s) for s in strings), "<i8").reshape(-1, 2)
 
 
 def whole_runs(batches, key: str):
-    """Record batches of sorted rows as dicts of arrays, cut only where `key` changes."""
+    """Record batches of sorted rows as tables, cut only where `key` changes."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table])
         column = table.column(key).to_numpy()
-        if column[0] == column[-1]:
+        if not len(column) or column[0] == column[-1]:
             held = table
             continue
         cut = int(np.searchsorted(column, column[-1]))
@@ -159,196 +239,256 @@ def whole_runs(batches, key: str):
         yield held
 
 
-RANGE = "bucket long, whole long, t binary, first long, last long, lead long, n int"
+class Marks:
+    """A bitmap as a filter: keys that are in it, and a few others."""
+
+    def __init__(self, bits: bytes):
+        self.words = np.frombuffer(bits, np.uint8)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        spot = keys & np.int64(len(self.words) * 8 - 1)
+        return (self.words[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+
+    def has(self, key: bytes) -> bool:
+        return bool(self(np.frombuffer(key[:8], ">i8").astype(np.int64))[0])
+
+
+def marks(keys: DataFrame, col: str):
+    """A broadcast bitmap of a long column, 16 bits a key and 16 MB at most."""
+    n, size = keys.count(), 1 << 20
+    while size < 16 * n and size < 2 * BITS:
+        size *= 2
+    spots = keys.select(F.col(col).bitwiseAND(F.lit(size - 1)).alias("h"))
+    return keys.sparkSession.sparkContext.broadcast(bitmap(spots, size))
+
+
+def text_key(col: str = "t"):
+    """The leading 8 bytes of a digest as a number, as Marks.has() reads them."""
+    high = F.conv(F.hex(F.substring(col, 1, 4)), 16, 10).cast("long")
+    low = F.conv(F.hex(F.substring(col, 5, 4)), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
 
+def long_texts(batch, length: int, chosen) -> list[bytes]:
+    """The texts of a batch that have a window and, if some are chosen, may be among them."""
+    texts = [t for t in batch.column("_text").to_pylist() if t is not None and len(t) >= length]
+    if chosen is None:
+        return texts
+    of = Marks(chosen.value)
+    return [t for t in texts if of.has(digest(t))]
 
-def range_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row per distinct range and slice; n = 0 marks bytes [first, last) found to repeat within the slice."""
-    names = ["bucket", "whole", "t", "first", "last", "lead", "n"]
+
+def repeated_buckets(docs: DataFrame, text_col: str, length: int, chosen=None) -> DataFrame:
+    """The buckets of leaders that hold more than one range."""
 
     def run(slices):
         for batch in slices:
-            texts = [t for t in batch.column("_text").to_pylist() if t is not None and len(t) >= LENGTH]
-            if not texts:
+            found, count = np.unique(ranges(long_texts(batch, length, chosen), length)["bucket"], return_counts=True)
+            columns = [pa.array(found), pa.array(np.minimum(count, 2).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n"])
+
+    counted = over_texts(docs, text_col, [], run, "bucket long, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return counted.where("n > 1").select("bucket")
+
+
+RANGE = "bucket long, whole long, check long, t binary, first long, last long, n int"
+
+
+def range_rows(docs: DataFrame, text_col: str, length: int, wanted, chosen=None) -> DataFrame:
+    """A row per distinct range of the wanted buckets and slice; n = 0 marks bytes [first, last) that repeat within it."""
+    names = [part.split()[0] for part in RANGE.split(", ")]
+
+    def run(slices):
+        of = Marks(wanted.value)
+        for batch in slices:
+            texts = long_texts(batch, length, chosen)
+            r = ranges(texts, length)
+            keep = of(r["bucket"])
+            r = {k: v[keep] for k, v in r.items()}
+            if not len(r["text"]):
                 continue
-            r = ranges(texts)
-            order = np.lexsort((r["whole"], r["bucket"]))
-            r = {k: v[order] for k, v in r.items()}
-            starts = runs(r["bucket"], r["whole"])
-            count = np.diff(starts)
-            again = np.repeat(count > 1, count)
+            same = equal_ranges(texts, r, length)
+            rep, which, count = np.unique(same, return_inverse=True, return_counts=True)
+            spots = zip(*(r[k][rep].tolist() for k in ("text", "first", "last")))
+            name = identifiers(texts[i][a : b + length] for i, a, b in spots)
+            # Equal ranges of different blocks meet by their digests.
+            order = np.lexsort((name[:, 1], name[:, 0]))
+            starts = runs(name[order, 0], name[order, 1])
+            total = np.add.reduceat(count[order], starts[:-1])
+            again = np.empty(len(rep), bool)
+            again[order] = np.repeat(total > 1, np.diff(starts))
+            again = again[which]
+            one = order[starts[:-1]]
             ids = pa.array([digest(t) for t in texts], pa.binary())
-            rep = starts[:-1]
-            columns = [pa.array(r[k][rep].view(np.int64)) for k in ("bucket", "whole")]
-            columns += [ids.take(pa.array(r["text"][rep]))]
-            columns += [pa.array(r[k][rep]) for k in ("first", "last", "lead")]
-            columns += [pa.array(np.minimum(count, 2).astype(np.int32))]
+            at = rep[one]
+            columns = [pa.array(r["bucket"][at]), pa.array(name[one, 0]), pa.array(name[one, 1]), ids.take(pa.array(r["text"][at]))]
+            columns += [pa.array(r["first"][at]), pa.array(r["last"][at]), pa.array(np.minimum(total, 2).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             # What repeats here is settled; the runs of each text go on as they are.
-            text, first, stop = (x[again] for x in (r["text"], r["first"], r["last"] + LENGTH))
+            text, first, stop = (x[again] for x in (r["text"], r["first"], r["last"] + length))
             step = int(stop.max(initial=0)) + 1
             first, stop = merged(first + text * step, stop + text * step)
             text = first // step
-            zero = np.zeros(len(text), np.int64)
-            anywhere = r["whole"][: len(text)].view(np.int64)  # there are at least as many ranges as runs
-            columns = [pa.array(anywhere), pa.array(zero), ids.take(pa.array(text))]
-            columns += [pa.array(x) for x in (first % step, stop % step, zero)] + [pa.array(zero.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            key = name[np.zeros(len(text), np.int64), 0] + np.arange(len(text))  # any, to spread the rows
+            columns = [pa.array(key)] * 3 + [ids.take(pa.array(text)), pa.array(first % step), pa.array(stop % step)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(text), np.int32))], names=names)
 
     return over_texts(docs, text_col, [], run, RANGE)
 
 
-def settle_ranges(batches):
-    """Of rows sorted by bucket and whole: n = 0 for repeated bytes, n > 0 for ranges to be refined."""
-    for part in whole_runs(batches, "bucket"):
-        done = part.column("n").to_numpy() == 0
-        settled = part.filter(pa.array(done))
-        part = part.filter(pa.array(~done))
-        bucket, whole = part.column("bucket").to_numpy(), part.column("whole").to_numpy()
-        n = part.column("n").to_numpy()
-        if not len(n):
-            yield from settled.to_batches()
-            continue
-        starts = runs(bucket, whole)
-        rep = starts[:-1]
-        total = np.add.reduceat(n, rep)
-        again = np.repeat(total > 1, np.diff(starts)) & (n == 1)
-        # Rows with n = 2 were settled inside their slice.
-        found = part.filter(pa.array(again))
-        found = found.set_column(4, "last", pa.array(found.column("last").to_numpy() + LENGTH))
-        found = found.set_column(6, "n", pa.array(np.zeros(found.num_rows, np.int32)))
-        by_bucket = runs(bucket[rep])
-        several = np.repeat(np.diff(by_bucket) > 1, np.diff(by_bucket))
-        left = part.take(pa.array(rep[several]))
-        left = left.set_column(6, "n", pa.array(np.minimum(total[several], 2).astype(np.int32)))
-        for out in (settled, found, left):
-            yield from out.to_batches()
-
-
-def window_rows(joined: DataFrame) -> DataFrame:
-    """A row per window of the ranges to refine: (bucket, window, ref, weight).
+def settle_ranges(length: int):
+    """Of rows sorted by bucket and digest: n = 0 for repeated bytes, and one row for each range with its n."""
+
+    def run(batches):
+        for part in whole_runs(batches, "whole"):
+            n = part.column("n").to_numpy()
+            yield from part.filter(pa.array(n == 0)).to_batches()
+            part = part.filter(pa.array(n > 0))
+            if not part.num_rows:
+                continue
+            n = part.column("n").to_numpy()
+            starts = runs(*(part.column(c).to_numpy() for c in ("whole", "check")))
+            total = np.add.reduceat(n, starts[:-1])
+            # Rows with n = 2 were settled inside their slice.
+            found = part.filter(pa.array(np.repeat(total > 1, np.diff(starts)) & (n == 1)))
+            found = found.set_column(5, "last", pa.array(found.column("last").to_numpy() + length))
+            found = found.set_column(6, "n", pa.array(np.zeros(found.num_rows, np.int32)))
+            left = part.take(pa.array(starts[:-1]))
+            left = left.set_column(6, "n", pa.array(np.minimum(total, 2).astype(np.int32)))
+            for out in (found, left):
+                yield from out.to_batches()
+
+    return run
+
+
+def text_pieces(docs: DataFrame, text_col: str, length: int, wanted) -> DataFrame:
+    """(t, piece, _text): the wanted texts, once a slice, in pieces that hold the ranges that start in them."""
+
+    def run(slices):
+        of = Marks(wanted.value)
+        for batch in slices:
+            texts = {digest(t): t for t in batch.column("_text").to_pylist() if t is not None and len(t) >= length}
+            for key, text in texts.items():
+                if of.has(key):
+                    at = range(0, len(text), PIECE)
+                    rows = [[key] * len(at), [k // PIECE for k in at], [text[k : k + PIECE + length + 128] for k in at]]
+                    columns = [pa.array(v, f) for v, f in zip(rows, (pa.binary(), pa.int64(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["t", "piece", "_text"])
+
+    return over_texts(docs, text_col, [], run, "t binary, piece long, _text binary")
+
+
+WINDOW = "window long, check long, ref long, weight int"
+
+
+def window_rows(joined: DataFrame, length: int) -> DataFrame:
+    """A row per window of the ranges to refine: (digest in two halves, ref, weight).
 
     ref = range id << 8 | window in the range, or -1 where the range is settled;
     weight 2 stands for several, weight 0 for a window found to repeat here.
     """
-    names = ["bucket", "window", "ref", "weight"]
+    names = ["window", "check", "ref", "weight"]
+
+    def table_of(parts):
+        name, ref, weight = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((name[:, 1], name[:, 0]))
+        name, ref, weight = name[order], ref[order], weight[order]
+        starts = runs(name[:, 0], name[:, 1])
+        rep, count = starts[:-1], np.diff(starts)
+        total = np.minimum(np.add.reduceat(weight, rep), 2).astype(np.int32)
+        own = np.where(count > 1, -1, ref[rep])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[rep, 0], name[rep, 1], own, total)], names=names)
+        again = np.repeat(count > 1, count) & (ref >= 0)
+        columns = (name[again, 0], name[again, 1], ref[again], np.zeros(int(again.sum()), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     def run(batches):
         for batch in slices(batches):
-            texts = batch.column("_text").to_pylist()
-            todo = batch.column("todo").to_pylist()
-            parts, places, size = [], [], 0
-            held = []
-
-            def flush(parts=parts, places=places):
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                _, name = refined(data)
-                at, bucket, ref, weight, turn = [], [], [], [], []
-                for place, w in places:
-                    k = w["last"] - w["first"] + 1
-                    at.append(np.arange(place, place + k))
-                    bucket.append(np.full(k, w["bucket"], np.int64))
-                    ref.append((w["id"] << 8) + np.arange(k) if w["n"] == 1 else np.full(k, -1, np.int64))
-                    weight.append(np.full(k, w["n"], np.int32))
-                    turn.append(w["lead"] - w["first"] - np.arange(k))
-                at, bucket, ref, weight, turn = map(np.concatenate, (at, bucket, ref, weight, turn))
-                window = mix(mix(name[at], name[at + LENGTH - DEPTH]), turn.astype(np.uint64)).view(np.int64)
-                held.append((bucket, window, ref, weight))
-
-            for text, items in zip(texts, todo):
+            parts, held = [], 0
+            rows = zip(batch.column("_text").to_pylist(), batch.column("piece").to_pylist(), batch.column("todo").to_pylist())
+            for text, piece, items in rows:
                 for w in items:
-                    own = text[w["first"] : w["last"] + LENGTH]
-                    parts.append(own)
-                    places.append((size, w))
-                    size += len(own)
-                if size >= BLOCK:
-                    flush()
-                    parts.clear()
-                    places.clear()
-                    size = 0
+                    first, k = w["first"] - piece * PIECE, w["last"] - w["first"] + 1
+                    name = identifiers(text[a : a + length] for a in range(first, first + k))
+                    ref = (w["id"] << 8) + np.arange(k) if w["n"] == 1 else np.full(k, -1, np.int64)
+                    parts.append((name, ref, np.full(k, w["n"], np.int32)))
+                    held += k
+                    if held >= BLOCK:
+                        yield from table_of(parts)
+                        parts, held = [], 0
             if parts:
-                flush()
-            if not held:
-                continue
-            bucket, window, ref, weight = map(np.concatenate, zip(*held))
-            order = np.lexsort((window, bucket))
-            bucket, window, ref, weight = (x[order] for x in (bucket, window, ref, weight))
-            starts = runs(bucket, window)
-            rep, count = starts[:-1], np.diff(starts)
-            total = np.minimum(np.add.reduceat(weight, rep), 2).astype(np.int32)
-            own = np.where(count > 1, -1, ref[rep])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[rep], window[rep], own, total)], names=names)
-            again = np.repeat((count > 1), count) & (ref >= 0)
-            columns = (window[again], window[again], ref[again], np.zeros(int(again.sum()), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+                yield from table_of(parts)
 
-    return joined.mapInArrow(run, "bucket long, window long, ref long, weight int")
+    return joined.mapInArrow(run, WINDOW)
 
 
 def settle_windows(batches):
-    """Of rows sorted by bucket and window: the refs of windows that repeat."""
-    for part in whole_runs(batches, "bucket"):
-        bucket, window, ref, weight = (part.column(c).to_numpy() for c in ("bucket", "window", "ref", "weight"))
+    """Of rows sorted by digest: the refs of windows that repeat."""
+    for part in whole_runs(batches, "window"):
+        window, check, ref, weight = (part.column(c).to_numpy() for c in ("window", "check", "ref", "weight"))
         out = [ref[weight == 0]]
         live = weight > 0
-        bucket, window, ref, weight = (x[live] for x in (bucket, window, ref, weight))
+        window, check, ref, weight = (x[live] for x in (window, check, ref, weight))
         if len(ref):
-            starts = runs(bucket, window)
+            starts = runs(window, check)
             total = np.repeat(np.add.reduceat(weight, starts[:-1]), np.diff(starts))
             out.append(ref[(total > 1) & (ref >= 0)])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["ref"])
 
 
-def listed(bits: bytes, key: bytes) -> bool:
-    h = int.from_bytes(key[:4], "big") % BITS
-    return bits[h >> 3] >> (h & 7) & 1 == 1
+SPANS = "array<struct<first: bigint, stop: bigint>>"
+SPANS_KIND = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
 
 
-def with_digest(docs: DataFrame, text_col: str, keep: list[str], wanted: DataFrame, drop_rest: bool) -> DataFrame:
-    """Kept columns, digest `t` and `_text`; texts outside the bitmap of `wanted` have no digest, or are left out."""
-    spot = F.conv(F.hex(F.substring("t", 1, 4)), 16, 10).cast("long") % BITS
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(spot.alias("h"))))
-    names = [*keep, "t", "_text"]
+def maximal(batches):
+    """Texts with their spans merged to maximal runs."""
+    for batch in batches:
+        out = []
+        for own in batch.column("spans").to_pylist():
+            first, stop = merged(*np.array([(s["first"], s["stop"]) for s in own], np.int64).T)
+            out.append([{"first": a, "stop": b} for a, b in zip(first.tolist(), stop.tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, SPANS_KIND)], names=["t", "spans"])
 
-    def run(slices):
-        for batch in slices:
-            keys = []
-            for text in batch.column("_text").to_pylist():
-                key = digest(text) if text is not None and len(text) >= LENGTH else None
-                keys.append(key if key and listed(bits.value, key) else None)
-            keys = pa.array(keys, pa.binary())
-            columns = [*(batch.column(c) for c in keep), keys, batch.column("_text")]
-            out = pa.RecordBatch.from_arrays(columns, names=names)
-            yield out.filter(keys.is_valid()) if drop_rest else out
 
-    fields = "".join(f"`{c}` {kind(docs, c)}, " for c in keep)
-    return over_texts(docs, text_col, keep, run, f"{fields}t binary, _text binary")
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(t, spans): for texts with repeats, their digest and the covered byte runs [first, stop)."""
-    rows = range_rows(docs, text_col).repartition("bucket").sortWithinPartitions("bucket", "whole")
-    found = rows.mapInArrow(settle_ranges, RANGE).withColumn("id", F.monotonically_increasing_id())
-    found = stored(found, "ranges")
-    todo = (
-        found.where("n > 0")
-        .groupBy("t")
-        .agg(F.collect_list(F.struct("id", "bucket", "first", "last", "lead", "n")).alias("todo"))
+def repeated_spans(
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, within: DataFrame | None = None
+) -> DataFrame:
+    """(t, spans): for texts with repeats of `length` bytes, their digest and the covered maximal runs [first, stop).
+
+    `within`, the spans of shorter repeats, leaves out texts that have no such run long enough.
+    """
+    if length < 64:
+        raise ValueError("repeats of fewer than 64 bytes have no leaders")
+    chosen = None
+    if within is not None:
+        long = within.where(F.exists("spans", lambda s: s["stop"] - s["first"] >= length))
+        chosen = marks(long.select(text_key().alias("h")), "h")
+    buckets = stored(repeated_buckets(docs, text_col, length, chosen), "buckets")
+    rows = range_rows(docs, text_col, length, marks(buckets, "bucket"), chosen)
+    rows = rows.repartition("whole", "check").sortWithinPartitions("whole", "check")
+    found = stored(rows.mapInArrow(settle_ranges(length), RANGE).withColumn("id", F.monotonically_increasing_id()), "ranges")
+    left = found.where("n > 0")
+    mixed = left.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
+    todo = stored(
+        left.join(mixed, "bucket")
+        .groupBy("t", F.expr(f"first div {PIECE}").alias("piece"))
+        .agg(F.collect_list(F.struct("id", "first", "last", "n")).alias("todo")),
+        "todo",
     )
-    texts = with_digest(docs, text_col, [], todo.select("t"), True)
-    windows = window_rows(texts.join(todo, "t").select("_text", "todo"))
-    windows = windows.repartition("bucket", "window").sortWithinPartitions("bucket", "window")
+    pieces = text_pieces(docs, text_col, length, marks(todo.select(text_key().alias("h")), "h"))
+    windows = window_rows(pieces.join(todo, ["t", "piece"]).select("_text", "piece", "todo"), length)
+    windows = windows.repartition("window").sortWithinPartitions("window", "check")
     refs = windows.mapInArrow(settle_windows, "ref long")
     single = (
         refs.select(F.shiftright("ref", 8).alias("id"), F.col("ref").bitwiseAND(F.lit(255)).alias("k"))
         .join(found.where("n = 1").select("id", "t", F.col("first").alias("_from")), "id")
         .groupBy("id", "t", "_from")
         .agg(F.collect_set("k").alias("k"))
-        .select("t", F.expr("transform(k, x -> named_struct('first', _from + x, 'stop', _from + x + %d))" % LENGTH).alias("s"))
+        .select("t", F.expr(f"transform(k, x -> named_struct('first', _from + x, 'stop', _from + x + {length}))").alias("s"))
     )
     ranges_ = found.where("n = 0").select("t", F.array(F.struct("first", F.col("last").alias("stop"))).alias("s"))
     spans = ranges_.union(single).groupBy("t").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    return stored(spans, "spans")
+    return stored(spans.mapInArrow(maximal, f"t binary, spans {SPANS}"), "spans")
 
 
 def whole_characters(text: bytes, first: int, stop: int) -> tuple[int, int]:
@@ -361,39 +501,67 @@ def whole_characters(text: bytes, first: int, stop: int) -> tuple[int, int]:
 
 
 def remove_repeats(
-    docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, characters: bool = False
+    docs: DataFrame,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    characters: bool = False,
+    length: int = LENGTH,
+    shorter: int | None = None,
 ) -> DataFrame:
-    """Kept columns, n_bytes, n_removed, spans (maximal removed runs) and `kept`, the remaining bytes.
+    """Kept columns, n_bytes, n_removed, n_shorter, spans (maximal removed runs) and `kept`, the remaining bytes.
 
     With `characters` a run is narrowed to whole characters, so `kept` is text again.
+    n_shorter counts the bytes covered by repeats of `shorter` bytes, which stay
+    (null without `shorter`).
     """
     keep = keep or ["doc_id"]
-    spans = repeated_spans(docs, text_col)
-    joined = with_digest(docs, text_col, keep, spans.select("t"), False).join(spans, "t", "left")
-    names = [*keep, "n_bytes", "n_removed", "spans", "kept"]
-    kind_of = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
+    brief = repeated_spans(docs, text_col, shorter) if shorter else None
+    spans = repeated_spans(docs, text_col, length, brief)
+    if brief is not None:
+        covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+        spans = brief.select("t", covered.alias("short")).join(spans, "t", "left")
+    else:
+        spans = spans.select("t", F.lit(None).cast("long").alias("short"), "spans")
+    spans = stored(spans, "spans")
+    wanted = marks(spans.select(text_key().alias("h")), "h")
+    fields = "".join(f"`{c}` {kind(docs, c)}, " for c in keep)
+    none = 0 if shorter else None
 
-    def run(batches):
+    def branch(listed: bool):
+        """Rows whose text may have repeats, with its digest, or the others."""
+
+        def run(slices):
+            of = Marks(wanted.value)
+            for batch in slices:
+                texts = batch.column("_text").to_pylist()
+                keys = [digest(t) if t else None for t in texts]
+                mine = [(k is not None and of.has(k)) == listed for k in keys]
+                columns = [*(batch.column(c) for c in keep), pa.array(keys, pa.binary()), batch.column("_text")]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "t", "_text"]).filter(pa.array(mine, pa.bool_()))
+
+        return over_texts(docs, text_col, keep, run, f"{fields}t binary, _text binary")
+
+    names = [*keep, "n_bytes", "n_removed", "n_shorter", "spans", "kept"]
+
+    def cut(batches):
         for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
-            sizes, removed, all_spans, kept = [], [], [], []
-            for text, own in zip(texts, batch.column("spans").to_pylist()):
+            sizes, removed, brief, all_spans, kept = [], [], [], [], []
+            for text, short, own in zip(texts, batch.column("short").to_pylist(), batch.column("spans").to_pylist()):
                 text = text or b""
-                gone = []
-                if own:
-                    first, stop = merged(*np.array([(s["first"], s["stop"]) for s in own], np.int64).T)
-                    gone = list(zip(first.tolist(), stop.tolist()))
-                    if characters:
-                        gone = [whole_characters(text, a, b) for a, b in gone]
+                gone = [(s["first"], s["stop"]) for s in own or ()]
+                if characters:
+                    gone = [whole_characters(text, a, b) for a, b in gone]
                 ends = [0, *(x for run in gone for x in run), len(text)]
                 sizes.append(len(text))
                 removed.append(sum(b - a for a, b in gone))
+                brief.append(none if short is None else short)
                 all_spans.append([{"first": a, "stop": b} for a, b in gone])
                 kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])) if gone else text)
-            columns = [*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
-            columns += [pa.array(all_spans, kind_of), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (sizes, removed, brief))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, SPANS_KIND), pa.array(kept, pa.binary())], names=names)
 
-    fields = "".join(f"`{c}` {kind(docs, c)}, " for c in keep)
-    schema = f"{fields}n_bytes long, n_removed long, spans array<struct<first: bigint, stop: bigint>>, kept binary"
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "_text", "spans").mapInArrow(run, schema)
+    own = [F.col(f"`{c}`") for c in keep]
+    hit = branch(True).join(spans, "t", "left").select(*own, "_text", "short", "spans")
+    rest = branch(False).select(*own, "_text", F.lit(None).cast("long").alias("short"), F.lit(None).cast(SPANS).alias("spans"))
+    return hit.union(rest).mapInArrow(cut, f"{fields}n_bytes long, n_removed long, n_shorter long, spans {SPANS}, kept binary")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from llm_cases import LOWER, docs, odd_texts, prose, rows_of
 
@@ -126,15 +127,52 @@ def repeat_cases():
     return texts
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("length", [suffix_dedup.LENGTH, suffix_dedup.SHORT])
+def test_repeats_equal_brute_force(spark, length):
     texts = repeat_cases()
-    want = brute_repeats(texts, suffix_dedup.LENGTH)
-    for block in (1 << 20, 700):  # long texts are handled in blocks
-        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-        got = suffix_dedup.remove_repeats(docs(spark, texts)).collect()
-        rows = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got]
-        assert sorted(rows, key=repr) == want
-    assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
+    want = brute_repeats(texts, length)
+    got = suffix_dedup.remove_repeats(docs(spark, texts), length=length, shorter=100).collect()
+    rows = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got]
+    assert sorted(rows, key=repr) == want
+    shorter = sorted(((d, removed) for d, _, removed, *_ in brute_repeats(texts, 100)), key=repr)
+    assert sorted(((r.doc_id, r.n_shorter) for r in got), key=repr) == shorter
+    assert suffix_dedup.remove_repeats(docs(spark, []), length=length).count() == 0
+
+
+def test_texts_are_compared_by_their_bytes(spark):
+    """Two heads with one value under the mixing function, and 384 bytes that both texts share."""
+    r = random.Random(0)
+    tail = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(384))
+    heads = ["xq bjygftecztwld", "vimxfckn*0{O7)?^"]
+    assert len({suffix_dedup.mix(*np.frombuffer(h.encode(), "<u8").reshape(2, 1))[0] for h in heads}) == 1
+    got = suffix_dedup.remove_repeats(docs(spark, [(i, h + tail) for i, h in enumerate(heads)]), shorter=384).collect()
+    assert [(r.n_removed, r.n_shorter) for r in got] == [(0, 384)] * 2
+
+
+def test_pointers_tell_equal_strings():
+    r = random.Random(3)
+    text = "".join(r.choice("ab") for _ in range(300)).encode() * 3 + b"ab" * 200 + bytes(8)
+    data = np.frombuffer(text, np.uint8)
+    for depth in (8, 16, 64, 128):
+        found = suffix_dedup.pointers(data, depth)[: len(text) - 8 - depth + 1]
+        strings = [text[i : i + depth] for i in range(len(found))]
+        kinds = dict(zip(strings, found.tolist()))
+        assert [kinds[s] for s in strings] == found.tolist() and len(set(kinds.values())) == len(kinds)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700, 1])
+def test_ranges_in_blocks(block):
+    """Whatever the blocks, ranges tile the windows, and equal ones of a block are found."""
+    texts = [(t or "").encode() for _, t in repeat_cases()]
+    texts = [t for t in texts if len(t) >= 400]
+    r = suffix_dedup.ranges(texts, 400, max(block, 700))
+    tiles = list(zip(*(r[k].tolist() for k in ("text", "first", "last"))))
+    assert [(i, w) for i, a, b in tiles for w in range(a, b + 1)] == [(i, w) for i, t in enumerate(texts) for w in range(len(t) - 399)]
+    strings = [texts[i][a : b + 400] for i, a, b in tiles]
+    same = suffix_dedup.equal_ranges(texts, r, 400, block)
+    assert all(strings[i] == strings[k] for i, k in enumerate(same))
+    if block == 1 << 20:
+        assert len(set(same.tolist())) == len(set(strings)) < len(strings)
 
 
 def test_whole_characters():

@@ -4,7 +4,7 @@ from llm_cases import docs, odd_texts, plain_words, prose
 from pyspark.sql import functions as F
 from test_llm_duplicates import brute_fingerprint, brute_roots
 
-from clickloom.llm import langid, packing, queries, suffix_dedup
+from clickloom.llm import langid, packing, queries
 from clickloom.llm.common import stored
 
 TABLES = "/root/testdata/sf0.001"
@@ -64,7 +64,7 @@ def test_run_equals_its_stages(spark):
     assert sorted(steps["near_duplicates"]) == sorted(i for _, i in near)
 
     texts = {d: t.encode() for d, t in steps["near_duplicates"].items()}
-    n = suffix_dedup.LENGTH
+    n = corpus_pipeline.PASSAGE
     seen = {}
     for t in texts.values():
         for i in range(len(t) - n + 1):
