@@ -84,10 +84,10 @@ QUERIES["op7_simhash"] = op7_simhash
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), shorter=suffix_dedup.SHORT)
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), brief=suffix_dedup.BRIEF)
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"), "n_shorter",
+        F.sha2("kept", 256).alias("kept_sha256"), "n_shared",
     )
 
 

@@ -41,23 +41,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import BITS, bitmap, kind, over_texts, slices, stored
+from clickloom.llm.common import kind, over_texts, slices, stored
+from clickloom.llm.marks import Marks, marks
 
-#: Bytes of a repeat; of the shorter repeats that `shorter` counts (over 50 words have more).
-LENGTH, SHORT = 400, 200
+#: Bytes of a repeat; bytes at a leader that tell whether shorter passages are shared.
+LENGTH, BRIEF = 400, 100
 #: Bytes of an initial bucket.
 Q = 8
 #: Windows handled at a time; bytes of a text that travel together.
-BLOCK = PIECE = 1 << 20
+BLOCK, PIECE = 1 << 19, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
 def spread_of(length: int) -> int:
     """Windows that may share a leader; ranges have fewer than 128 of them."""
-    return min(112, length // 2)
+    return min(112, length // 3)
 
 
 def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -103,9 +105,7 @@ def blocks(texts: list[bytes], length: int, block: int):
 
 
 def ranges(texts: list[bytes], length: int, block: int = BLOCK) -> dict[str, np.ndarray]:
-    """Ranges of windows with the same leader: text, first and last window, leader's place, bucket."""
-    import xxhash
-
+    """Ranges of windows with the same leader: text, first and last window, leader's place."""
     spread = spread_of(length)
     out = {k: [] for k in ("text", "first", "last", "lead")}
     for data, pieces in blocks(texts, length, block):
@@ -122,11 +122,15 @@ def ranges(texts: list[bytes], length: int, block: int = BLOCK) -> dict[str, np.
         move = offset[own] - place[own]
         for k, v in zip(out, (text[own], first + move, last + move, lead + move)):
             out[k].append(v)
-    r = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-    shared = length - spread  # bytes behind the leader that every window of its range holds
-    named = (xxhash.xxh3_64_intdigest(texts[i][a : a + shared]) for i, a in zip(r["text"].tolist(), r["lead"].tolist()))
-    r["bucket"] = np.fromiter(named, np.uint64, len(r["lead"])).view(np.int64)
-    return r
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+
+
+def buckets(texts: list[bytes], r: dict[str, np.ndarray], size: int) -> np.ndarray:
+    """Hashes of the `size` bytes at the leaders; they only choose candidates."""
+    import xxhash
+
+    named = (xxhash.xxh3_64_intdigest(texts[i][a : a + size]) for i, a in zip(r["text"].tolist(), r["lead"].tolist()))
+    return np.fromiter(named, np.uint64, len(r["lead"])).view(np.int64)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -239,29 +243,6 @@ def whole_runs(batches, key: str):
         yield held
 
 
-class Marks:
-    """A bitmap as a filter: keys that are in it, and a few others."""
-
-    def __init__(self, bits: bytes):
-        self.words = np.frombuffer(bits, np.uint8)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        spot = keys & np.int64(len(self.words) * 8 - 1)
-        return (self.words[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-
-    def has(self, key: bytes) -> bool:
-        return bool(self(np.frombuffer(key[:8], ">i8").astype(np.int64))[0])
-
-
-def marks(keys: DataFrame, col: str):
-    """A broadcast bitmap of a long column, 16 bits a key and 16 MB at most."""
-    n, size = keys.count(), 1 << 20
-    while size < 16 * n and size < 2 * BITS:
-        size *= 2
-    spots = keys.select(F.col(col).bitwiseAND(F.lit(size - 1)).alias("h"))
-    return keys.sparkSession.sparkContext.broadcast(bitmap(spots, size))
-
-
 def text_key(col: str = "t"):
     """The leading 8 bytes of a digest as a number, as Marks.has() reads them."""
     high = F.conv(F.hex(F.substring(col, 1, 4)), 16, 10).cast("long")
@@ -269,40 +250,41 @@ def text_key(col: str = "t"):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def long_texts(batch, length: int, chosen) -> list[bytes]:
-    """The texts of a batch that have a window and, if some are chosen, may be among them."""
-    texts = [t for t in batch.column("_text").to_pylist() if t is not None and len(t) >= length]
-    if chosen is None:
-        return texts
-    of = Marks(chosen.value)
-    return [t for t in texts if of.has(digest(t))]
+def long_texts(batch, length: int) -> list[bytes]:
+    """The texts of a batch that have a window."""
+    return [t for t in batch.column("_text").to_pylist() if t is not None and len(t) >= length]
 
 
-def repeated_buckets(docs: DataFrame, text_col: str, length: int, chosen=None) -> DataFrame:
-    """The buckets of leaders that hold more than one range."""
+def repeated_buckets(docs: DataFrame, text_col: str, length: int, sizes: list[int]) -> DataFrame:
+    """(size, bucket): of the strings of the given sizes at leaders, the buckets with several ranges."""
 
     def run(slices):
         for batch in slices:
-            found, count = np.unique(ranges(long_texts(batch, length, chosen), length)["bucket"], return_counts=True)
-            columns = [pa.array(found), pa.array(np.minimum(count, 2).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n"])
+            texts = long_texts(batch, length)
+            r = ranges(texts, length)
+            for size in sizes:
+                found, count = np.unique(buckets(texts, r, size), return_counts=True)
+                columns = [pa.array(np.full(len(found), size, np.int32)), pa.array(found), pa.array(np.minimum(count, 2).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["size", "bucket", "n"])
 
-    counted = over_texts(docs, text_col, [], run, "bucket long, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1").select("bucket")
+    counted = over_texts(docs, text_col, [], run, "size int, bucket long, n int").groupBy("size", "bucket").agg(F.sum("n").alias("n"))
+    return counted.where("n > 1").select("size", "bucket")
 
 
 RANGE = "bucket long, whole long, check long, t binary, first long, last long, n int"
 
 
-def range_rows(docs: DataFrame, text_col: str, length: int, wanted, chosen=None) -> DataFrame:
+def range_rows(docs: DataFrame, text_col: str, length: int, wanted) -> DataFrame:
     """A row per distinct range of the wanted buckets and slice; n = 0 marks bytes [first, last) that repeat within it."""
     names = [part.split()[0] for part in RANGE.split(", ")]
 
     def run(slices):
         of = Marks(wanted.value)
         for batch in slices:
-            texts = long_texts(batch, length, chosen)
+            texts = long_texts(batch, length)
             r = ranges(texts, length)
+            # Every window of a range holds the bytes behind its leader up to this size.
+            r["bucket"] = buckets(texts, r, length - spread_of(length))
             keep = of(r["bucket"])
             r = {k: v[keep] for k, v in r.items()}
             if not len(r["text"]):
@@ -450,21 +432,62 @@ def maximal(batches):
         yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, SPANS_KIND)], names=["t", "spans"])
 
 
-def repeated_spans(
-    docs: DataFrame, text_col: str = "text", length: int = LENGTH, within: DataFrame | None = None
-) -> DataFrame:
+SHARED = "whole long, check long, t binary, lead long, n int"
+
+
+def shared_places(docs: DataFrame, text_col: str, length: int, brief: int, wanted) -> DataFrame:
+    """(t, n_shared): for texts with a leader whose `brief` bytes stand elsewhere too, the number of such leaders."""
+    names = [part.split()[0] for part in SHARED.split(", ")]
+
+    def run(slices):
+        of = Marks(wanted.value)
+        for batch in slices:
+            texts = long_texts(batch, length)
+            r = ranges(texts, length)
+            _, once = np.unique(r["text"] << 40 | r["lead"], return_index=True)  # a leader may have a range in two blocks
+            r = {k: v[once] for k, v in r.items()}
+            keep = of(buckets(texts, r, brief))
+            text, lead = r["text"][keep], r["lead"][keep]
+            if not len(text):
+                continue
+            name = identifiers(texts[i][a : a + brief] for i, a in zip(text.tolist(), lead.tolist()))
+            order = np.lexsort((name[:, 1], name[:, 0]))
+            starts = runs(name[order, 0], name[order, 1])
+            count = np.diff(starts)
+            n = np.empty(len(order), np.int32)
+            n[order] = np.repeat(np.where(count > 1, 0, 1), count)
+            ids = pa.array([digest(t) for t in texts], pa.binary())
+            columns = [pa.array(name[:, 0]), pa.array(name[:, 1]), ids.take(pa.array(text)), pa.array(lead), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            # What stands here more than once is settled; one row stands for it in other slices.
+            one = order[starts[:-1][count > 1]]
+            columns = [pa.array(name[one, 0]), pa.array(name[one, 1]), pa.nulls(len(one), pa.binary()), pa.array(lead[one])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(one), 2, np.int32))], names=names)
+
+    def settle(batches):
+        for part in whole_runs(batches, "whole"):
+            n = part.column("n").to_numpy()
+            starts = runs(*(part.column(c).to_numpy() for c in ("whole", "check")))
+            total = np.repeat(np.add.reduceat(n, starts[:-1]), np.diff(starts))
+            yield from part.filter(pa.array((n == 1) & (total > 1))).select(["t", "lead"]).to_batches()
+
+    rows = stored(over_texts(docs, text_col, [], run, SHARED), "shared")
+    open_ = rows.where("n > 0").repartition("whole", "check").sortWithinPartitions("whole", "check")
+    found = open_.mapInArrow(settle, "t binary, lead long").union(rows.where("n = 0").select("t", "lead"))
+    return found.distinct().groupBy("t").agg(F.count("*").alias("n_shared"))
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, wanted=None) -> DataFrame:
     """(t, spans): for texts with repeats of `length` bytes, their digest and the covered maximal runs [first, stop).
 
-    `within`, the spans of shorter repeats, leaves out texts that have no such run long enough.
+    `wanted` is a bitmap of the buckets that hold several ranges, if it is known.
     """
     if length < 64:
         raise ValueError("repeats of fewer than 64 bytes have no leaders")
-    chosen = None
-    if within is not None:
-        long = within.where(F.exists("spans", lambda s: s["stop"] - s["first"] >= length))
-        chosen = marks(long.select(text_key().alias("h")), "h")
-    buckets = stored(repeated_buckets(docs, text_col, length, chosen), "buckets")
-    rows = range_rows(docs, text_col, length, marks(buckets, "bucket"), chosen)
+    if wanted is None:
+        size = length - spread_of(length)
+        wanted = marks(stored(repeated_buckets(docs, text_col, length, [size]), "buckets"), "bucket")
+    rows = range_rows(docs, text_col, length, wanted)
     rows = rows.repartition("whole", "check").sortWithinPartitions("whole", "check")
     found = stored(rows.mapInArrow(settle_ranges(length), RANGE).withColumn("id", F.monotonically_increasing_id()), "ranges")
     left = found.where("n > 0")
@@ -506,62 +529,73 @@ def remove_repeats(
     keep: list[str] | None = None,
     characters: bool = False,
     length: int = LENGTH,
-    shorter: int | None = None,
+    brief: int | None = None,
 ) -> DataFrame:
-    """Kept columns, n_bytes, n_removed, n_shorter, spans (maximal removed runs) and `kept`, the remaining bytes.
+    """Kept columns, n_bytes, n_removed, n_shared, spans (maximal removed runs) and `kept`, the remaining bytes.
 
     With `characters` a run is narrowed to whole characters, so `kept` is text again.
-    n_shorter counts the bytes covered by repeats of `shorter` bytes, which stay
-    (null without `shorter`).
+    n_shared looks at shorter passages, which stay: the number of leaders, of which
+    any 128 bytes hold one, whose `brief` bytes also start elsewhere (null without
+    `brief`).  Any passage of 128 + `brief` bytes that stands twice in texts of
+    `length` bytes or more counts.
     """
     keep = keep or ["doc_id"]
-    brief = repeated_spans(docs, text_col, shorter) if shorter else None
-    spans = repeated_spans(docs, text_col, length, brief)
-    if brief is not None:
-        covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
-        spans = brief.select("t", covered.alias("short")).join(spans, "t", "left")
+    if brief:
+        sizes = [length - spread_of(length), brief]
+        repeated = stored(repeated_buckets(docs, text_col, length, sizes), "buckets")
+        long, short = (marks(repeated.where(F.col("size") == n), "bucket") for n in sizes)
+        spans = repeated_spans(docs, text_col, length, long)
+        spans = stored(shared_places(docs, text_col, length, brief, short).join(spans, "t", "full"), "shared")
     else:
-        spans = spans.select("t", F.lit(None).cast("long").alias("short"), "spans")
-    spans = stored(spans, "spans")
+        spans = repeated_spans(docs, text_col, length).select("t", F.lit(None).cast("long").alias("n_shared"), "spans")
     wanted = marks(spans.select(text_key().alias("h")), "h")
     fields = "".join(f"`{c}` {kind(docs, c)}, " for c in keep)
-    none = 0 if shorter else None
-
-    def branch(listed: bool):
-        """Rows whose text may have repeats, with its digest, or the others."""
-
-        def run(slices):
-            of = Marks(wanted.value)
-            for batch in slices:
-                texts = batch.column("_text").to_pylist()
-                keys = [digest(t) if t else None for t in texts]
-                mine = [(k is not None and of.has(k)) == listed for k in keys]
-                columns = [*(batch.column(c) for c in keep), pa.array(keys, pa.binary()), batch.column("_text")]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "t", "_text"]).filter(pa.array(mine, pa.bool_()))
+    none = 0 if brief else None
+    result = f"{fields}n_bytes long, n_removed long, n_shared long, spans {SPANS}, kept binary"
+    names = [*keep, "n_bytes", "n_removed", "n_shared", "spans", "kept"]
+
+    def cut(batch, texts, n_shared, spans):
+        sizes, removed, shared, all_spans, kept = [], [], [], [], []
+        for text, n, own in zip(texts, n_shared, spans):
+            text = text or b""
+            gone = [(s["first"], s["stop"]) for s in own or ()]
+            if characters:
+                gone = [whole_characters(text, a, b) for a, b in gone]
+            ends = [0, *(x for run in gone for x in run), len(text)]
+            sizes.append(len(text))
+            removed.append(sum(b - a for a, b in gone))
+            shared.append(none if n is None else n)
+            all_spans.append([{"first": a, "stop": b} for a, b in gone])
+            kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])) if gone else text)
+        columns = [*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (sizes, removed, shared))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, SPANS_KIND), pa.array(kept, pa.binary())], names=names)
+
+    def listed(batch, wanted):
+        """The rows whose text may have repeats, and the others, with the digests of the texts."""
+        of = Marks(wanted.value)
+        keys = [digest(t) if t else None for t in batch.column("_text").to_pylist()]
+        mine = pa.array([k is not None and of.has(k) for k in keys], pa.bool_())
+        return pa.array(keys, pa.binary()), mine
 
-        return over_texts(docs, text_col, keep, run, f"{fields}t binary, _text binary")
+    def meet(slices):
+        for batch in slices:
+            keys, mine = listed(batch, wanted)
+            columns = [*(batch.column(c) for c in keep), keys, batch.column("_text")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "t", "_text"]).filter(mine)
 
-    names = [*keep, "n_bytes", "n_removed", "n_shorter", "spans", "kept"]
+    def pass_by(slices):
+        """Texts without repeats go past the join."""
+        for batch in slices:
+            _, mine = listed(batch, wanted)
+            batch = batch.filter(pc.invert(mine))
+            texts = batch.column("_text").to_pylist()
+            yield cut(batch, texts, [None] * len(texts), [None] * len(texts))
 
-    def cut(batches):
+    def after(batches):
         for batch in slices(batches):
-            texts = batch.column("_text").to_pylist()
-            sizes, removed, brief, all_spans, kept = [], [], [], [], []
-            for text, short, own in zip(texts, batch.column("short").to_pylist(), batch.column("spans").to_pylist()):
-                text = text or b""
-                gone = [(s["first"], s["stop"]) for s in own or ()]
-                if characters:
-                    gone = [whole_characters(text, a, b) for a, b in gone]
-                ends = [0, *(x for run in gone for x in run), len(text)]
-                sizes.append(len(text))
-                removed.append(sum(b - a for a, b in gone))
-                brief.append(none if short is None else short)
-                all_spans.append([{"first": a, "stop": b} for a, b in gone])
-                kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])) if gone else text)
-            columns = [*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (sizes, removed, brief))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, SPANS_KIND), pa.array(kept, pa.binary())], names=names)
-
-    own = [F.col(f"`{c}`") for c in keep]
-    hit = branch(True).join(spans, "t", "left").select(*own, "_text", "short", "spans")
-    rest = branch(False).select(*own, "_text", F.lit(None).cast("long").alias("short"), F.lit(None).cast(SPANS).alias("spans"))
-    return hit.union(rest).mapInArrow(cut, f"{fields}n_bytes long, n_removed long, n_shorter long, spans {SPANS}, kept binary")
+            yield cut(batch, *(batch.column(c).to_pylist() for c in ("_text", "n_shared", "spans")))
+
+    wanted = marks(spans.select(text_key().alias("h")), "h")
+    hit = over_texts(docs, text_col, keep, meet, f"{fields}t binary, _text binary").join(spans, "t", "left")
+    hit = hit.select(*(F.col(f"`{c}`") for c in keep), "_text", "n_shared", "spans").mapInArrow(after, result)
+    return hit.union(over_texts(docs, text_col, keep, pass_by, result))

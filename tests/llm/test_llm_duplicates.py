@@ -127,15 +127,14 @@ def repeat_cases():
     return texts
 
 
-@pytest.mark.parametrize("length", [suffix_dedup.LENGTH, suffix_dedup.SHORT])
+@pytest.mark.parametrize("length", [400, 200])
 def test_repeats_equal_brute_force(spark, length):
     texts = repeat_cases()
     want = brute_repeats(texts, length)
-    got = suffix_dedup.remove_repeats(docs(spark, texts), length=length, shorter=100).collect()
+    got = suffix_dedup.remove_repeats(docs(spark, texts), length=length).collect()
     rows = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got]
     assert sorted(rows, key=repr) == want
-    shorter = sorted(((d, removed) for d, _, removed, *_ in brute_repeats(texts, 100)), key=repr)
-    assert sorted(((r.doc_id, r.n_shorter) for r in got), key=repr) == shorter
+    assert {r.n_shared for r in got} == {None}
     assert suffix_dedup.remove_repeats(docs(spark, []), length=length).count() == 0
 
 
@@ -145,8 +144,25 @@ def test_texts_are_compared_by_their_bytes(spark):
     tail = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(384))
     heads = ["xq bjygftecztwld", "vimxfckn*0{O7)?^"]
     assert len({suffix_dedup.mix(*np.frombuffer(h.encode(), "<u8").reshape(2, 1))[0] for h in heads}) == 1
-    got = suffix_dedup.remove_repeats(docs(spark, [(i, h + tail) for i, h in enumerate(heads)]), shorter=384).collect()
-    assert [(r.n_removed, r.n_shorter) for r in got] == [(0, 384)] * 2
+    got = suffix_dedup.remove_repeats(docs(spark, [(i, h + tail) for i, h in enumerate(heads)]), brief=100).collect()
+    assert [r.n_removed for r in got] == [0, 0] and all(r.n_shared > 0 for r in got)
+
+
+def test_places_of_shorter_passages(spark):
+    """Leaders whose next bytes stand elsewhere, in distinct texts counted by brute force."""
+    texts = repeat_cases() + [(120 + k, prose(500 + k, 90) + prose(77, 45) + prose(600 + k, 60 + k)) for k in range(6)]
+    texts += [(130, prose(900, 300)), (131, prose(901, 300))]
+    data = [(t or "").encode() for _, t in texts]
+    long = [t for t in data if len(t) >= 400]
+    r = suffix_dedup.ranges(long, 400)
+    leads = [{int(a) for a in r["lead"][r["text"] == i]} for i in range(len(long))]
+    at = Counter(t[a : a + 100] for t, own in zip(long, leads) for a in own)
+    want = {t: sum(at[t[a : a + 100]] > 1 for a in own) for t, own in zip(long, leads)}
+    got = suffix_dedup.remove_repeats(docs(spark, texts), brief=100).collect()
+    assert sorted((repr(r.doc_id), r.n_shared) for r in got) == sorted((repr(d), want.get(t, 0)) for (d, _), t in zip(texts, data))
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[120 + k].n_removed == 0 and by_id[120 + k].n_shared > 0 for k in range(6))
+    assert by_id[130].n_shared == by_id[131].n_shared == 0
 
 
 def test_pointers_tell_equal_strings():
