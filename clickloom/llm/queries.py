@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import crf, decontaminate, langid, licenses, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from clickloom.llm import (
+    collocations, crf, decontaminate, langid, licenses, mixing, packing, quality_rules, simhash, spelling, suffix_dedup,
+    toxicity, warc,
+)
 from clickloom.llm.common import table
 from clickloom.llm.sampling import crc_mod
 from clickloom.session import shared_dir
@@ -186,3 +189,134 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quality"] = op5_quality
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_collocations"] = op11_collocations
+SQL["op11_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), f AS (
+  SELECT lang, k, p, count(*) AS a
+  FROM (SELECT lang, k, w[i:i + k - 1] AS p
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+              FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100
+), inside AS (
+  SELECT DISTINCT lang, unnest([p[1:k - 1], p[2:k]]) AS p, a FROM f WHERE k > 2
+), candidate AS (
+  SELECT * FROM f WHERE k > 1 AND (lang, p, a) NOT IN (SELECT (lang, p, a) FROM inside)
+), cut AS (
+  SELECT lang, p, a, k, unnest(range(1, k)) AS c FROM candidate
+), scored AS (
+  SELECT cut.lang, cut.p, cut.a, c, x.a AS l, y.a AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.p[1:c] JOIN f y ON y.lang = cut.lang AND y.p = cut.p[c + 1:cut.k]
+       JOIN total ON total.lang = cut.lang
+), lowest AS (
+  SELECT *, array_to_string(p, ' ') AS phrase FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling"] = op12_spelling
+# The checksum goes by a table of 256 remainders that SQL derives from the polynomial.
+SQL["op12_spelling"] = r"""
+WITH remainders AS (
+  SELECT list(list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) s(i)
+), run AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS r
+  FROM documents
+), own AS (
+  SELECT doc_id, r, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM run GROUP BY doc_id, r
+), summed AS (
+  SELECT r, c, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda h, b: xor(h >> 8, t[1 + (xor(h, b) & 255)]))) AS h
+  FROM own, remainders
+), word AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), near AS (
+  SELECT a.word, b.word AS v, b.n AS v_n FROM less a JOIN less b ON a.i = b.i AND a.s = b.s AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN word b ON a.s = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN word b ON a.s = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(v, row(-v_n, v)) AS v, max(v_n) AS v_n FROM near GROUP BY word
+), form AS (
+  SELECT word, CASE WHEN v_n >= 10 * n THEN v END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN v_n >= 10 * n THEN v_n END AS form_n
+  FROM word LEFT JOIN best USING (word)
+), path AS (
+  WITH RECURSIVE step AS (
+    SELECT word, word AS root FROM form
+    UNION ALL SELECT step.word, form.form FROM step JOIN form ON form.word = step.root WHERE form.form IS NOT NULL
+  ) SELECT step.word, root FROM step JOIN form ON form.word = root WHERE form.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN path USING (word)
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op13_mixing"] = op13_mixing
+SQL["op13_mixing"] = r"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM doc GROUP BY source
+), line AS (
+  SELECT *, CAST(sum(s) OVER () AS DOUBLE) AS total, sum(w) OVER () AS weights,
+         coalesce(sum(s) OVER (ORDER BY s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s_before,
+         coalesce(sum(w) OVER (ORDER BY s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
+  FROM src
+), level AS (
+  SELECT (1.5::DOUBLE * total - 2.0::DOUBLE * s_before) / (weights - w_before) AS v
+  FROM line WHERE v <= 2.0::DOUBLE * s / w ORDER BY s / w, source LIMIT 1
+), aim AS (
+  SELECT source, s, least(w * v, s * 2.0::DOUBLE) AS target,
+         CASE WHEN s > 0 THEN CAST(floor(least(w * v, s * 2.0::DOUBLE) / s) AS BIGINT) ELSE 0 END AS certain
+  FROM src, level
+), plan AS (
+  SELECT doc_id, doc.source, size, s, target, certain, target - certain * s AS "left", (target - certain * s) / s AS p,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u
+  FROM doc JOIN aim ON doc.source IS NOT DISTINCT FROM aim.source
+), ranked AS (
+  SELECT *, (u / (1 - u)) / (p / (1 - p)) AS r FROM plan WHERE "left" > 0 AND size > 0
+), first AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM ranked
+), gap AS (
+  SELECT *, "left" - coalesce(sum(size) FILTER (reached <= "left") OVER (PARTITION BY source), 0) AS gap FROM first
+), second AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) AS again
+  FROM gap WHERE reached > "left" AND size <= gap
+)
+SELECT doc_id, size, s AS source_size, target, certain * size AS taken FROM plan WHERE NOT ("left" > 0 AND size > 0)
+UNION ALL SELECT doc_id, size, s, target, (certain + 1) * size FROM first WHERE reached <= "left"
+UNION ALL SELECT doc_id, size, s, target, certain * size FROM gap WHERE reached > "left" AND size > gap
+UNION ALL SELECT doc_id, size, s, target, (certain + CAST(again <= gap AS BIGINT)) * size FROM second
+"""
