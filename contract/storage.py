@@ -12,6 +12,7 @@ from clickloom.session import shared_dir
 from clickloom.sources import adapter, lake, watermarks
 from clickloom.sources import events as source
 from clickloom.streaming import events as stream
+from clickloom.streaming import sessions as live
 from contract.common import END, MIDDLE, PRODUCTS_SQL, SQL, USERS_SQL, add, over_events, ts_text
 
 FROM, TO = datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18)
@@ -188,16 +189,17 @@ IDS = {
 }
 
 
-def messages(spark: SparkSession, sf_dir: str, ids: str = "event_id", far: bool = False) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, ids: str = "event_id", far: bool = False, devices: bool = False) -> DataFrame:
     """The events as topic messages; searches are cut short so they cannot be parsed.
 
-    ``far`` gives every seventh event a time no calendar has.
+    ``far`` gives every seventh event a time no calendar has; with ``devices``
+    several users share a session.
     """
     events = adapter.unsessioned(spark, sf_dir)
     seconds = F.unix_micros("ts") / 1e6
     body = F.struct(
         *[F.expr(x) for x in IDS[ids]],
-        F.concat(F.lit("s"), "user_id").alias("session_id"),
+        (F.concat(F.lit("d"), F.col("user_id").cast("long") % 40) if devices else F.concat(F.lit("s"), "user_id")).alias("session_id"),
         "user_id",
         "page",
         "event_type",
@@ -240,6 +242,25 @@ def _visit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.read_sessions(spark, table)
 
 
+# Sessions of devices, read once and kept for the queries on them: (application, folder) to table.
+_DEVICES: dict[tuple, str] = {}
+
+
+def _device_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The session table after four batches of messages out of order, two of them after a restart."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DEVICES:
+        topic, table, state = (shared_dir(spark, name) for name in ("topic", "sessions", "state"))
+        lines = messages(spark, sf_dir, devices=True)
+        for half in range(2):
+            part = lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half)
+            part.repartition(2, "value").write.mode("append").text(topic)
+            source_ = stream.text_source(spark, topic, files_per_trigger=1)
+            live.run_session_job(source_, table, state, delay="60 days").awaitTermination()
+        _DEVICES[key] = table
+    return _DEVICES[key]
+
+
 def _enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = _topic(spark, sf_dir)
     table, state = shared_dir(spark, "enriched"), shared_dir(spark, "state")
@@ -290,6 +311,20 @@ add(
         count(*) AS event_count FROM alle WHERE event_type <> 'search' GROUP BY user_id"""
     ),
 )
+DEVICES = "SELECT 'd' || (CAST(user_id AS BIGINT) % 40) AS session_id, * FROM alle WHERE event_type <> 'search'"
+add(
+    "w6_session_upserts",
+    lambda s, d: live.read_sessions(s, _device_sessions(s, d)),
+    over_events(
+        f"""SELECT session_id, arg_max(user_id, row(ts, CAST(event_id AS VARCHAR))) AS user_id, {ts_text('min(ts)')} AS first_event_at,
+        {ts_text('max(ts)')} AS last_event_at, count(*) AS event_count FROM ({DEVICES}) d GROUP BY session_id"""
+    ),
+)
+add(
+    "w6_session_pages",
+    lambda s, d: live.read_session_pages(s, _device_sessions(s, d)),
+    over_events(f"SELECT DISTINCT session_id, page FROM ({DEVICES}) d"),
+)
 LIVE = datetime(2024, 1, 30, 12)
 add(
     "w8_realtime_totals",
