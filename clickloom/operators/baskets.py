@@ -1,108 +1,125 @@
-"""Products bought together: exact top partners, whatever the basket sizes.
-
-Listing all pairs of every basket breaks on one huge basket.  Here only baskets
-of up to ``light`` products list their pairs.  What the larger ones add for a
-product depends only on which of them hold it, so products in the same large
-baskets share one candidate list: the best ``n + 1`` products over those
-baskets.  A partner missing from that list and from the listed pairs has at
-least ``n`` better ones, so leaving it out cannot change the top ``n``.
+"""Products bought together: exact lists, whatever the basket sizes.
+
+One method for all baskets, in two steps.
+
+Head.  The ``HEAD`` most frequent products are counted with everything they share
+a basket with: a basket of m products gives at most ``HEAD`` times m rows.  That
+already bounds each list: if its n-th entry so far is better than a product could
+ever be (a product cannot be found with another more often than it is found at
+all), that product need not be counted for it.
+
+Tail.  Baskets lose the products that can reach no list of theirs and whose own
+lists no other product can reach.  What is left is cut into blocks of about
+``CELL`` products by a hash.  Products meet in cells, pairs of blocks, so a basket
+of thousands of products is worked on by many tasks and a cell is small.  The bound
+drops pairs that matter to neither side, and partial sums leave the task.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIGHT = 256
+from clickloom.session import written
 
+HEAD, CELL = 32, 128
 
-def _light_pairs(members: DataFrame) -> DataFrame:
-    """(product, partner, times) summed over small baskets.
-
-    Each pair leaves its basket once, smaller id first; the sums are mirrored
-    after counting, so half as many rows are shuffled.
-    """
-    packed = members.groupBy("basket_id").agg(F.collect_list(F.struct("product_id", "times")).alias("items"))
-    one = packed.select("items", F.inline("items").alias("a", "a_times"))
-    both = one.select("a", "a_times", F.inline("items").alias("b", "b_times")).where(F.col("a") < F.col("b"))
-    counted = both.groupBy("a", "b").agg(F.sum("a_times").alias("a_times"), F.sum("b_times").alias("b_times"))
-
-    def side(product: str, partner: str):
-        return F.struct(
-            F.col(product).alias("product_id"), F.col(partner).alias("partner_id"), F.col(f"{partner}_times").alias("times")
-        )
 
-    return counted.select(F.inline(F.array(side("a", "b"), side("b", "a"))))
+def _members(items: DataFrame, count_repeats: bool = False) -> DataFrame:
+    """(basket_id, product_id, times), a row per product of a basket, written once for all steps."""
+    named = items.where(F.coalesce("product_id", F.lit("")) != "")
+    times = F.count("*") if count_repeats else F.lit(1).cast("long")
+    return written(named.groupBy("basket_id", "product_id").agg(times.alias("times")), "members")
+
+
+def _pairs(members: DataFrame, item: Column, cell: int) -> DataFrame:
+    """(a, b) for every two products of a basket, as ``item`` structs, a before b by product."""
+    sizes = members.groupBy("basket_id").agg(F.ceil(F.count("*") / cell).cast("int").alias("_blocks")).where("_blocks > 1")
+    dealt = members.join(sizes, "basket_id", "left").select(
+        "basket_id", item.alias("_item"), F.coalesce("_blocks", F.lit(1)).alias("_blocks"),
+        F.pmod(F.xxhash64("product_id"), F.coalesce("_blocks", F.lit(1))).cast("int").alias("_own"),
+    )
+    # A cell (i, j) holds a product of block i with all its partners of block j.
+    left = dealt.select("basket_id", F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"), F.col("_item").alias("x"))
+    right = dealt.select("basket_id", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"), F.col("_item").alias("y"))
+    both = left.join(right, ["basket_id", "i", "j"]).where(
+        ((F.col("i") < F.col("j")) & (F.col("x.product_id") != F.col("y.product_id"))) | (F.col("x.product_id") < F.col("y.product_id"))
+    )
+    turned = F.col("x.product_id") > F.col("y.product_id")
+    return both.select(
+        F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b")
+    )
 
 
 def top_partners(
-    items: DataFrame, n: int = 5, light: int = LIGHT, count_repeats: bool = False
+    items: DataFrame, n: int = 5, count_repeats: bool = False, head: int = HEAD, cell: int = CELL
 ) -> DataFrame:
     """For every product, the ``n`` products found most in the baskets that hold it.
 
     ``items`` has (basket_id, product_id) rows.  A partner counts once per
     basket, or with ``count_repeats`` once per row.  Ties go to the smaller id.
     """
-    named = items.where(F.coalesce("product_id", F.lit("")) != "")
-    times = F.count("*") if count_repeats else F.lit(1).cast("long")
-    members = named.groupBy("basket_id", "product_id").agg(times.alias("times"))
-    # An inner join, as Spark would push a semi join below the grouping and so
-    # bring all raw rows of a basket to one task.
-    sizes = members.groupBy("basket_id").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "basket_id")
-    pairs = _light_pairs(sized.where((F.col("size") <= light) & (F.col("size") > 1)))
-    heavy = sized.where(F.col("size") > light).select("basket_id", "product_id", "times")
-
-    by_product = heavy.groupBy("product_id").agg(
-        F.sort_array(F.collect_list("basket_id")).alias("own"),
-        F.map_from_entries(F.collect_list(F.struct("basket_id", "times"))).alias("times_in"),
-    )
-    sets = by_product.select("own").distinct().withColumn("basket_id", F.explode("own"))
-    best = Window.partitionBy("own").orderBy(F.desc("together"), "partner_id")
-    shared_list = (
-        sets.join(heavy.withColumnRenamed("product_id", "partner_id"), "basket_id")
-        .groupBy("own", "partner_id")
-        .agg(F.sum("times").alias("together"))
-        .withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= n + 1)
-        .drop("_rank")
-    )
-    from_heavy = (
-        by_product.select("product_id", "own")
-        .join(shared_list, "own")
+    members = _members(items, count_repeats)
+    totals = members.groupBy("product_id").agg(F.sum("times").alias("total"))
+    leaders = totals.orderBy(F.desc("total"), "product_id").limit(head).select(F.col("product_id").alias("leader"))
+    marked = members.join(leaders, F.col("product_id") == F.col("leader"), "left")
+
+    led = marked.where("leader is not null").select("basket_id", F.col("product_id").alias("partner_id"), F.col("times").alias("partner_times"))
+    with_head = (
+        marked.join(led, "basket_id")
         .where(F.col("product_id") != F.col("partner_id"))
-        .select("product_id", "partner_id", F.col("together").alias("in_heavy"))
+        .groupBy("product_id", "partner_id", F.col("leader").isNotNull().alias("led"))
+        .agg(F.sum("partner_times").alias("together"), F.sum("times").alias("back"))
     )
-
-    added = F.aggregate(
-        "own", F.lit(0).cast("long"), lambda total, b: total + F.coalesce(F.col("times_in")[b], F.lit(0))
+    # What a list must beat: its n-th entry among the leaders.
+    ranked = Window.partitionBy("product_id").orderBy(F.desc("together"), "partner_id")
+    bounds = (
+        with_head.withColumn("rank", F.row_number().over(ranked))
+        .where(F.col("rank") == n)
+        .select("product_id", F.struct((-F.col("together")).alias("less"), F.col("partner_id").alias("id")).alias("bound"))
     )
-    no_light = F.lit(0).cast("long").alias("times")
-    candidates = (
-        pairs.select("product_id", "partner_id", "times", F.lit(None).cast("long").alias("in_heavy"))
-        .unionByName(from_heavy.select("product_id", "partner_id", no_light, "in_heavy"))
-        .groupBy("product_id", "partner_id")
-        .agg(F.sum("times").alias("in_light"), F.max("in_heavy").alias("in_heavy"))
+    open_list = F.struct(F.lit(1).cast("long").alias("less"), F.lit("").alias("id"))
+    known = totals.join(bounds, "product_id", "left").select(
+        "product_id", F.coalesce("bound", open_list).alias("bound"), F.struct((-F.col("total")).alias("less"), F.col("product_id").alias("id")).alias("best")
     )
-    scored = (
-        candidates.join(by_product.select("product_id", "own"), "product_id", "left")
-        .join(by_product.select(F.col("product_id").alias("partner_id"), "times_in"), "partner_id", "left")
-        .select(
-            "product_id",
-            "partner_id",
-            (F.col("in_light") + F.coalesce("in_heavy", added, F.lit(0))).alias("together"),
-        )
+    tail = marked.where("leader is null").drop("leader").join(known, "product_id")
+    # Structs compare by count, then id; the smaller is the better one.
+    reach = tail.groupBy("basket_id").agg(F.max("bound").alias("_loosest"), F.min("best").alias("_strongest"))
+    wanted = tail.join(reach, "basket_id").where((F.col("best") < F.col("_loosest")) | (F.col("_strongest") < F.col("bound")))
+    item = F.struct("product_id", "times", "bound", "best")
+    counted = (
+        _pairs(wanted, item, cell)
+        .where((F.col("b.best") < F.col("a.bound")) | (F.col("a.best") < F.col("b.bound")))
+        .groupBy(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"))
+        .agg(F.sum("a.times").alias("a_times"), F.sum("b.times").alias("b_times"))
     )
 
-    ranked = Window.partitionBy("product_id").orderBy(F.desc("together"), "partner_id")
-    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+    def side(product: str, partner: str, times: str) -> Column:
+        return F.struct(F.col(product).alias("product_id"), F.col(partner).alias("partner_id"), F.col(times).alias("together"))
+
+    found = with_head.select("product_id", "partner_id", "together").unionByName(
+        with_head.where(~F.col("led")).select(F.inline(F.array(side("partner_id", "product_id", "back"))))
+    )
+    found = found.unionByName(counted.select(F.inline(F.array(side("a", "b", "b_times"), side("b", "a", "a_times")))))
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
-def top_pairs(items: DataFrame, n: int = 10, light: int = LIGHT) -> DataFrame:
+def top_pairs(items: DataFrame, n: int = 10, head: int = HEAD, cell: int = CELL) -> DataFrame:
     """The product pairs found together in most baskets.
 
-    Each of them is among the first ``n`` partners of both its products, so the
-    per-product lists contain the answer.
+    The n-th best pair among the most frequent products is the least that a pair
+    must reach, so rarer products leave their baskets before any pair is listed.
     """
-    first = F.least("product_id", "partner_id").alias("product_a")
-    second = F.greatest("product_id", "partner_id").alias("product_b")
-    pairs = top_partners(items, n, light).select(first, second, "together").distinct()
-    return pairs.orderBy(F.desc("together"), "product_a", "product_b").limit(n)
+    members = _members(items)
+    totals = members.groupBy("product_id").agg(F.count("*").alias("total"))
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        pairs = _pairs(chosen, F.struct("product_id"), cell)
+        return pairs.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(
+            F.count("*").alias("together")
+        )
+
+    best = [F.desc("together"), "product_a", "product_b"]
+    leaders = totals.orderBy(F.desc("total"), "product_id").limit(head).select("product_id")
+    least = counted(members.join(leaders, "product_id")).orderBy(*best).limit(n)
+    least = least.agg(F.when(F.count("*") == n, F.min("together")).otherwise(0)).scalar()
+    enough = totals.where(F.col("total") >= least).select("product_id")
+    return counted(members.join(enough, "product_id")).orderBy(*best).limit(n)

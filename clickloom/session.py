@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are planned for.  AQE sizes and splits shuffle
 # partitions; forcing the skew join lets it split a hot key even where the
@@ -54,3 +54,10 @@ def shared_dir(spark: SparkSession, prefix: str) -> str:
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, prefix: str) -> DataFrame:
+    """`df` written to the shared folder and read back, for plans that use it several times."""
+    path = shared_dir(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

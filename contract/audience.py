@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from clickloom.operators import recommend, retention, traffic
+from clickloom.operators import baskets, recommend, retention, traffic
 from clickloom.sources import adapter
 from contract.common import (
     END, ORDER_EVENTS_SQL, ORDERS_START, PRODUCTS_SQL, START, USERS_SQL, add, big, over_events, ts_text,
@@ -344,6 +344,22 @@ add(
         CROSS,
     ),
 )
+
+
+def _priority_items(spark, sf_dir):
+    """Baskets of thousands of products: everything ordered at one priority."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("basket_id"), F.col("o_orderkey").alias("k"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").cast("string").alias("product_id"))
+    return lines.join(orders, "k").select("basket_id", "product_id")
+
+
+add(
+    "p4_wide_partners",
+    lambda s, d: baskets.top_partners(_priority_items(s, d)),
+    """WITH it AS (SELECT DISTINCT o_orderpriority AS b, CAST(l_partkey AS VARCHAR) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    pr AS (SELECT x.p AS product_id, y.p AS partner_id, count(*) AS together FROM it x JOIN it y ON x.b = y.b AND x.p <> y.p GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY together DESC, partner_id) AS rank FROM pr QUALIFY rank <= 5""",
+)
 PERSONAL = """, lk AS (SELECT user_id, category, count(*) AS n FROM ev WHERE event_type IN ('add_to_cart', 'checkout', 'purchase') GROUP BY 1, 2),
   l5 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS cr FROM lk QUALIFY cr <= 5),
   la AS (SELECT *, n::DOUBLE / CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS aff FROM l5),

@@ -232,6 +232,21 @@ add(
     lambda s, d: baskets.top_pairs(adapter.basket_items(s, d)),
     f"""WITH it AS (SELECT DISTINCT l_orderkey AS basket_id, CAST(l_partkey AS VARCHAR) AS product_id FROM lineitem) {PAIRS}""",
 )
+
+
+def _monthly_items(spark, sf_dir):
+    """Wide baskets: everything shipped in a month."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.date_format("l_shipdate", "yyyy-MM").alias("basket_id"), F.col("l_partkey").cast("string").alias("product_id")
+    )
+
+
+add(
+    "c3_wide_pairs",
+    lambda s, d: baskets.top_pairs(_monthly_items(s, d)),
+    f"""WITH it AS (SELECT DISTINCT strftime(CAST(l_shipdate AS DATE), '%Y-%m') AS basket_id, CAST(l_partkey AS VARCHAR) AS product_id
+    FROM lineitem) {PAIRS}""",
+)
 add(
     "c4_abandoned_carts",
     lambda s, d: cart.abandoned_carts(cart.cart_sessions(adapter.events(s, d))),

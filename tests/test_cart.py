@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom import schema
 from clickloom.operators import baskets, cart
@@ -111,9 +112,9 @@ def brute_partners(items, repeats):
     return together
 
 
-@pytest.mark.parametrize("light, repeats", [(2, False), (2, True), (5, True), (256, False)])
-def test_top_partners_are_exact_with_huge_baskets(spark, light, repeats):
-    rng = random.Random(light)
+@pytest.mark.parametrize("head, cell, repeats", [(0, 1, False), (3, 2, True), (6, 5, True), (32, 128, False)])
+def test_top_partners_are_exact_with_huge_baskets(spark, head, cell, repeats):
+    rng = random.Random(cell)
     items = [(f"b{rng.randrange(25)}", f"p{rng.randrange(12):02d}") for _ in range(120)]
     # A third of all rows in one basket, and a second large one.
     items += [("hot", f"p{rng.randrange(30):02d}") for _ in range(90)]
@@ -124,7 +125,7 @@ def test_top_partners_are_exact_with_huge_baskets(spark, light, repeats):
         ranked = sorted(partners.items(), key=lambda x: (-x[1], x[0]))[:4]
         want[product] = [(p, n) for p, n in ranked]
     got = defaultdict(list)
-    for r in baskets.top_partners(frame, 4, light, repeats).orderBy("product_id", "rank").collect():
+    for r in baskets.top_partners(frame, 4, repeats, head, cell).orderBy("product_id", "rank").collect():
         got[r.product_id].append((r.partner_id, r.together))
     assert dict(got) == want
 
@@ -136,10 +137,31 @@ def test_top_pairs_are_exact(spark):
     frame = spark.createDataFrame(items, "basket_id string, product_id string")
     pairs = {(a, b): n for a, row in brute_partners(items, False).items() for b, n in row.items() if a < b}
     want = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))[:6]
-    assert records(baskets.top_pairs(frame, 6, light=4)) == want
+    for head, cell in ((0, 2), (4, 3), (32, 128)):
+        assert records(baskets.top_pairs(frame, 6, head, cell)) == want
     assert baskets.top_pairs(frame.limit(0)).count() == 0
 
 
+def test_wide_baskets_are_cut_into_cells(spark):
+    """A basket of thousands of products: short arrays, and no pair that the bound rules out."""
+    wide = [("w", f"p{i:04d}") for i in range(3000)]
+    narrow = [(f"b{i}", f"p{j:04d}") for i in range(40) for j in (1, 2, 3, 4, 5, 6 + i)]
+    frame = spark.createDataFrame(wide + narrow, "basket_id string, product_id string")
+    got = defaultdict(list)
+    for r in baskets.top_partners(frame, 3).orderBy("product_id", "rank").collect():
+        got[r.product_id].append((r.partner_id, r.together))
+    assert len(got) == 3000
+    assert got["p0001"] == [("p0002", 41), ("p0003", 41), ("p0004", 41)]
+    assert got["p0007"] == [("p0001", 2), ("p0002", 2), ("p0003", 2)]
+    assert got["p2999"] == [("p0000", 1), ("p0001", 1), ("p0002", 1)]
+    pairs = records(baskets.top_pairs(frame, 4))
+    assert pairs == [("p0001", f"p000{j}", 41) for j in (2, 3, 4, 5)]
+
+    members = frame.select("basket_id", "product_id", F.lit(1).alias("times"))
+    listed = baskets._pairs(members, F.struct("product_id"), 128)
+    assert listed.where("a.product_id < b.product_id").distinct().count() == 3000 * 2999 // 2
+
+
 def test_cart_items_explode(spark):
     ddl = "cart_id long, items array<struct<product_id:string,quantity:int,price:double>>"
     carts = spark.createDataFrame([(1, [("p", 2, 3.0), ("q", 0, 4.0)]), (2, [])], ddl)
