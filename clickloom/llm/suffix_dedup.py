@@ -425,11 +425,15 @@ SPANS_KIND = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
 def maximal(batches):
     """Texts with their spans merged to maximal runs."""
     for batch in batches:
-        out = []
-        for own in batch.column("spans").to_pylist():
-            first, stop = merged(*np.array([(s["first"], s["stop"]) for s in own], np.int64).T)
-            out.append([{"first": a, "stop": b} for a, b in zip(first.tolist(), stop.tolist())])
-        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, SPANS_KIND)], names=["t", "spans"])
+        spans = batch.column("spans")
+        size = pc.list_value_length(spans).to_numpy()
+        flat = spans.flatten()
+        first, stop = (flat.field(c).to_numpy() for c in ("first", "stop"))
+        text, step = np.repeat(np.arange(len(size)), size), int(stop.max(initial=0)) + 1
+        first, stop = merged(first + text * step, stop + text * step)
+        ends = np.searchsorted(first, np.arange(len(size) + 1) * step).astype(np.int32)
+        runs_ = pa.StructArray.from_arrays([pa.array(first % step), pa.array(stop % step)], names=["first", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.ListArray.from_arrays(pa.array(ends), runs_)], names=["t", "spans"])
 
 
 SHARED = "whole long, check long, t binary, lead long, n int"
