@@ -78,16 +78,29 @@ def top_partners(
     )
     open_list = F.struct(F.lit(1).cast("long").alias("less"), F.lit("").alias("id"))
     known = totals.join(bounds, "product_id", "left").select(
-        "product_id", F.coalesce("bound", open_list).alias("bound"), F.struct((-F.col("total")).alias("less"), F.col("product_id").alias("id")).alias("best")
+        "product_id", "total", F.coalesce("bound", open_list).alias("bound"), F.struct((-F.col("total")).alias("less"), F.col("product_id").alias("id")).alias("best")
     )
-    tail = marked.where("leader is null").drop("leader").join(known, "product_id")
+    # Counted once a basket, a pair has no more than either product: where a list is at that
+    # limit already, only smaller ids could still enter it.
+    full = F.lit(not count_repeats) & (F.col("bound.less") == -F.col("total"))
+    tail = marked.where("leader is null").drop("leader").join(known.withColumn("full", full), "product_id")
     # Structs compare by count, then id; the smaller is the better one.
-    reach = tail.groupBy("basket_id").agg(F.max("bound").alias("_loosest"), F.min("best").alias("_strongest"))
-    wanted = tail.join(reach, "basket_id").where((F.col("best") < F.col("_loosest")) | (F.col("_strongest") < F.col("bound")))
-    item = F.struct("product_id", "times", "bound", "best")
+    reach = tail.groupBy("basket_id").agg(
+        F.max(F.when(~F.col("full"), F.col("bound"))).alias("_loosest"), F.max(F.when(F.col("full"), F.col("bound.id"))).alias("_last"),
+        F.min("best").alias("_strongest"), F.min("product_id").alias("_first"),
+    )
+    offers = (F.col("best") < F.col("_loosest")) | (F.col("product_id") < F.col("_last"))
+    seeks = F.when(F.col("full"), F.col("_first") < F.col("bound.id")).otherwise(F.col("_strongest") < F.col("bound"))
+    wanted = tail.join(reach, "basket_id").where(F.coalesce(offers, F.lit(False)) | seeks)
+    item = F.struct("product_id", "times", "bound", "total")
+
+    def enters(product: str, partner: str) -> Column:
+        most = F.col(f"{partner}.total") if count_repeats else F.least(F.col(f"{product}.total"), F.col(f"{partner}.total"))
+        return F.struct((-most).alias("less"), F.col(f"{partner}.product_id").alias("id")) < F.col(f"{product}.bound")
+
     counted = (
         _pairs(wanted, item, cell)
-        .where((F.col("b.best") < F.col("a.bound")) | (F.col("a.best") < F.col("b.bound")))
+        .where(enters("a", "b") | enters("b", "a"))
         .groupBy(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"))
         .agg(F.sum("a.times").alias("a_times"), F.sum("b.times").alias("b_times"))
     )
