@@ -38,26 +38,36 @@ from clickloom.llm.marks import Marks, marks
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: A-Z to a-z, and `[.,;:!?\x0A-\x0D]` to one mark.
 PIECES = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else LOWER[b] for b in range(256))
-#: Words handled at a time.
-WORDS = 1 << 21
+#: Words, and bytes of texts, handled at a time.
+WORDS, TEXT_BYTES = 1 << 19, 4 << 20
 RELATION = "lang string, at array<int>, word array<string>"
 COUNTED = "lang string, phrase string, n long"
 
 
-def read_words(batch) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
-    """Language, places and words of the texts of a batch."""
-    ends, at, words = [0], [], []
-    for text in batch.column("_text").to_pylist():
-        if text:
-            tokens = text.translate(PIECES).replace(b".", b" . ").split()
-            own = [i for i, w in enumerate(tokens) if w != b"."]
-            at.extend(own)
-            words.extend(tokens[i] for i in own)
-        ends.append(len(at))
-    ends = pa.array(ends, pa.int32())
-    words = pa.array(words, pa.binary()).cast(pa.string())
-    lang = pc.fill_null(batch.column("_lang"), "und")
-    return lang, pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, words)
+def read_words(slices):
+    """Occurrences of the words of texts, some TEXT_BYTES at a time."""
+    for batch in slices:
+        lang = pc.fill_null(batch.column("_lang"), "und")
+        start, words, ends, size = 0, [], [0], 0
+        texts = batch.column("_text").to_pylist()
+        for i, text in enumerate(texts):
+            if text:
+                words += text.translate(PIECES).replace(b".", b" . ").split()
+                size += len(text)
+            ends.append(len(words))
+            if size >= TEXT_BYTES or i + 1 == len(texts):
+                yield Occurrences(lang.slice(start, i + 1 - start), *placed(words, ends))
+                start, words, ends, size = i + 1, [], [0], 0
+
+
+def placed(tokens: list[bytes], ends: list[int]) -> tuple[pa.ListArray, pa.ListArray]:
+    """Places and words of documents from their tokens, which hold the marks between pieces too."""
+    words, ends = pa.array(tokens, pa.binary()), np.array(ends)
+    at = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
+    keep = pc.not_equal(words, b".").to_numpy(zero_copy_only=False)
+    new = pa.array(np.append(0, np.cumsum(keep))[ends].astype(np.int32))
+    chosen = words.filter(pa.array(keep)).cast(pa.string())
+    return pa.ListArray.from_arrays(new, pa.array(at[keep].astype(np.int32))), pa.ListArray.from_arrays(new, chosen)
 
 
 class Occurrences:
@@ -176,8 +186,7 @@ def frequent_phrases(
     named = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
 
     def count_words(slices):
-        for batch in slices:
-            occurrences = Occurrences(*read_words(batch))
+        for occurrences in read_words(slices):
             yield occurrences.counts(occurrences.extended(1, None), 1)
 
     words = stored(added(over_texts(named, "text", ["_lang"], count_words, COUNTED)), "words")
@@ -189,8 +198,7 @@ def frequent_phrases(
     def pairs(slices, marked=marked):
         """The first relation: frequent words beside one another."""
         of = Marks(marked.value)
-        for batch in slices:
-            occurrences = Occurrences(*read_words(batch))
+        for occurrences in read_words(slices):
             keep = np.zeros(len(occurrences.id), bool)
             starts = occurrences.extended(2, of)
             keep[starts] = keep[starts + 1] = True
