@@ -160,43 +160,74 @@ def popular_products(events: DataFrame, products: DataFrame, n: int = 10) -> Dat
     )
 
 
+def _tag_lists(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles of each tag, apart for the tag that is the most frequent one of its profile.
+
+    A profile that shares two tags with a session shares one besides its most
+    frequent.  So the lists of most frequent tags only serve profiles with a
+    single shared tag, which tie: there the first ones by product are enough, and
+    the place in the list (`nth`) says which these are.
+    """
+    tagged = profiles.select("profile", F.explode("tags").alias("tag"))
+    spread = tagged.groupBy("tag").agg(F.count("*").alias("spread"))
+    commonest = tagged.join(spread, "tag").groupBy("profile").agg(F.max_by("tag", F.struct("spread", "tag")).alias("common"))
+    own = profiles.select("profile", F.col("category").alias("other"), "tags").join(commonest, "profile")
+    tag = F.explode(F.filter("tags", lambda t: t != F.col("common"))).alias("tag")
+    rare = own.select("profile", "other", "tags", tag)
+    first = Window.partitionBy("common").orderBy("profile")
+    return rare, own.select("profile", "other", "tags", F.col("common").alias("tag"), F.row_number().over(first).alias("nth"))
+
+
 def _profile_hits(known: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
     """(session, profile, points) for every profile that can reach the session's top ``n``.
 
-    Tags add at most two points each, so a category is out of reach when
-    categories that beat it even with all tags offer ``n`` untouched products.
-    Profiles hit by tags alone rank like a category without any product.
+    A session's ``least`` is the best score that its categories alone give to ``n``
+    untouched products.  A category is out of reach if it stays below even with
+    all tags its products have, a profile of another category if twice its tags do.
     """
-    most = profiles.agg(F.max(F.size("tags")) * 2.0).scalar()
-    sizes = profiles.groupBy("category").agg(F.sum(F.size("members")).alias("size"))
+    sizes = profiles.groupBy("category").agg(F.sum(F.size("members")).alias("size"), F.max(F.size("tags")).alias("most"))
     categories = known.groupBy("session_id", "category").agg(F.count("*").alias("hits")).join(sizes, "category")
     entry = F.struct(
-        "category", (F.col("hits") * 5.0).alias("base"), (F.col("size") - F.col("hits")).alias("free")
+        "category", (F.col("hits") * 5.0).alias("base"), (F.col("size") - F.col("hits")).alias("free"), "most"
     )
     tags = known.select("session_id", F.explode("tags").alias("tag")).groupBy("session_id").agg(
         F.collect_set("tag").alias("own_tags")
     )
-    context = categories.groupBy("session_id").agg(F.collect_list(entry).alias("entries")).join(
-        tags, "session_id", "left"
-    ).withColumn("most", most)
+    entries = categories.groupBy("session_id").agg(
+        F.collect_list(entry).alias("entries"), F.sum("hits").alias("touched")
+    )
 
-    def offered_above(base):
-        better = F.filter("entries", lambda e: e["base"] > base + F.col("most"))
-        return F.aggregate(better, F.lit(0).cast("long"), lambda total, e: total + e["free"])
+    def offered(base):
+        as_good = F.filter("entries", lambda e: e["base"] >= base)
+        return F.aggregate(as_good, F.lit(0).cast("long"), lambda total, e: total + e["free"])
 
-    near = context.select("*", F.inline("entries")).where(offered_above(F.col("base")) < n)
-    shared = F.size(F.array_intersect("tags", "own_tags"))
+    least = F.array_max(F.transform("entries", lambda e: F.when(offered(e["base"]) >= n, e["base"])))
+    context = entries.withColumn("least", F.coalesce(least, F.lit(0.0))).join(tags, "session_id", "left")
+    n_tags = F.coalesce(F.size("own_tags"), F.lit(0))
+
+    def shared(own):
+        return F.greatest(F.size(F.array_intersect("tags", own)), F.lit(0))
+
+    near = context.select("session_id", "own_tags", "least", n_tags.alias("n_tags"), F.inline("entries")).where(
+        F.col("base") + 2.0 * F.least("most", "n_tags") >= F.col("least")
+    )
     by_category = near.join(profiles.select("category", "profile", "tags"), "category").select(
-        "session_id", "profile", (F.col("base") + 2.0 * F.greatest(shared, F.lit(0))).alias("points")
+        "session_id", "profile", (F.col("base") + 2.0 * shared("own_tags")).alias("points")
+    )
+    rare, common = _tag_lists(profiles)
+    apart = context.where((n_tags > 0) & (2.0 * n_tags >= F.col("least"))).select(
+        "session_id", "own_tags", "least", "touched", "entries.category", F.explode("own_tags").alias("tag")
     )
-    tagged = profiles.select("profile", F.col("category").alias("other"), F.explode("tags").alias("tag"))
+    first = apart.where(F.col("least") <= 2.0).withColumn("nth", F.explode(F.sequence(F.lit(1), (F.col("touched") + n).cast("int"))))
+    columns = ["session_id", "own_tags", "least", "category", "profile", "other", "tags"]
     by_tag = (
-        context.where(offered_above(F.lit(0.0)) < n)
-        .select("session_id", "entries.category", F.explode("own_tags").alias("tag"))
-        .join(tagged, "tag")
+        apart.join(rare.where(F.size("tags") > 0), "tag")
+        .where(2.0 * F.size("tags") >= F.col("least"))
+        .select(*columns)
+        .unionByName(first.join(common, ["tag", "nth"]).select(*columns))
         .where(~F.array_contains("category", F.col("other")))
         .groupBy("session_id", "profile")
-        .agg((F.count("*") * 2.0).alias("points"))
+        .agg(F.first(2.0 * shared("own_tags")).alias("points"))
     )
     return by_category.unionByName(by_tag)
 

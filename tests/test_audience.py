@@ -113,6 +113,24 @@ def test_similar_and_cross_sell(make_events):
     assert [(r.product_id, r.purchases) for r in recommend.cross_sell_for(events, "p1").collect()] == [("p2", 2)]
 
 
+def brute_candidates(rows, catalogue, n):
+    want = set()
+    for session in {r["session_id"] for r in rows}:
+        mine = [r for r in rows if r["session_id"] == session]
+        touched = {r["product_id"] for r in mine}
+        in_cart = {r["product_id"] for r in mine if r["event_type"] == "add_to_cart"}
+        viewed = {r["product_id"] for r in mine if r["event_type"] == "pageview"}
+        known = [p for p in catalogue if p[0] in touched]
+        categories, tags = Counter(p[2] for p in known), {t for p in known for t in p[4]}
+        scored = []
+        for p in catalogue:
+            points = 5.0 * categories[p[2]] + 2.0 * len(set(p[4]) & tags)
+            if points and p[0] not in in_cart:
+                scored.append((-(points - 2.0 * (p[0] in viewed)), p[0]))
+        want |= {(session, p, -s, i + 1) for i, (s, p) in enumerate(sorted(scored)[:n])}
+    return want
+
+
 def test_session_candidates_match_brute_force(spark, make_events):
     rng = random.Random(4)
     catalogue = [
@@ -126,21 +144,32 @@ def test_session_candidates_match_brute_force(spark, make_events):
         kind = rng.choice(["pageview", "pageview", "add_to_cart", "purchase"])
         rows.append({"session_id": session, "product_id": f"p{rng.randrange(44):02d}", "event_type": kind})
     for n in (3, 12):
-        want = set()
-        for session in {r["session_id"] for r in rows}:
-            mine = [r for r in rows if r["session_id"] == session]
-            touched = {r["product_id"] for r in mine}
-            in_cart = {r["product_id"] for r in mine if r["event_type"] == "add_to_cart"}
-            viewed = {r["product_id"] for r in mine if r["event_type"] == "pageview"}
-            known = [p for p in catalogue if p[0] in touched]
-            categories, tags = Counter(p[2] for p in known), {t for p in known for t in p[4]}
-            scored = []
-            for p in catalogue:
-                points = 5.0 * categories[p[2]] + 2.0 * len(set(p[4]) & tags)
-                if points and p[0] not in in_cart:
-                    scored.append((-(points - 2.0 * (p[0] in viewed)), p[0]))
-            want |= {(session, p, -s, i + 1) for i, (s, p) in enumerate(sorted(scored)[:n])}
-        assert set(records(recommend.session_candidates(make_events(rows), products, n))) == want
+        got = set(records(recommend.session_candidates(make_events(rows), products, n)))
+        assert got == brute_candidates(rows, catalogue, n)
+
+
+def test_a_tag_on_a_third_of_the_catalogue(spark, make_events):
+    """Small categories, one tag everywhere and one product with very many tags: lists stay right and rows few."""
+    rng = random.Random(8)
+    catalogue = []
+    for i in range(450):
+        tags = ["everywhere", f"rare{i}"] if i % 3 == 0 else [f"group{i % 50}", f"pair{i % 90}"]
+        catalogue.append((f"p{i:03d}", f"n{i}", f"c{i // 2}", 1.0, tags))
+    catalogue.append(("p900", "all", "c900", 1.0, [f"group{i}" for i in range(50)] + ["everywhere"]))
+    products = spark.createDataFrame(catalogue, schema.PRODUCTS)
+    rows = []
+    for s in range(30):
+        for i in rng.sample(range(0, 450, 3), 2) + [rng.randrange(450)]:
+            rows.append({"session_id": f"s{s}", "product_id": f"p{i:03d}", "event_type": rng.choice(["pageview", "add_to_cart", "purchase"])})
+    got = set(records(recommend.session_candidates(make_events(rows), products, 5)))
+    assert got == brute_candidates(rows, catalogue, 5)
+
+    known = spark.createDataFrame(rows).select("session_id", "product_id").distinct().join(products, "product_id")
+    profiles = products.groupBy("category", F.sort_array("tags").alias("tags")).agg(
+        F.min("product_id").alias("profile"), F.collect_list("product_id").alias("members")
+    )
+    hits = recommend._profile_hits(known, profiles, 5).count()
+    assert hits < 30 * 40  # 150 products have the tag
 
 
 def test_history_keeps_the_newest(spark):
