@@ -1,6 +1,6 @@
 """S and W rows: lake, results, state, streaming jobs."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from clickloom.sources import adapter, lake, watermarks
 from clickloom.sources import events as source
 from clickloom.streaming import events as stream
 from clickloom.streaming import sessions as live
+from clickloom.streaming import upserts
 from contract.common import END, MIDDLE, PRODUCTS_SQL, SQL, USERS_SQL, add, over_events, ts_text
 
 FROM, TO = datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18)
@@ -339,6 +340,27 @@ add(
 )
 
 
+def _daily_minutes(spark: SparkSession, sf_dir: str) -> str:
+    """The minute table by day after the month was streamed in order; all but its last days are closed."""
+    topic, table, state = (shared_dir(spark, name) for name in ("topic", "daily", "state"))
+    lines = messages(spark, sf_dir)
+    early = F.coalesce(F.get_json_object("value", "$.event.timestamp").cast("double") < MIDDLE.timestamp(), F.lit(False))
+    for half in (early, ~early):
+        lines.where(half).write.mode("append").text(topic)
+        upserts.run_daily_minutes(stream.text_source(spark, topic), table, state).awaitTermination()
+    return table
+
+
+add("s9_daily_table", lambda s, d: upserts.read_daily_minutes(s, _daily_minutes(s, d)), over_events(MINUTES))
+add(
+    "w8_recent_minutes",
+    lambda s, d: activity.minute_totals(
+        upserts.read_daily_minutes(s, _daily_minutes(s, d), LIVE - timedelta(minutes=720), LIVE), LIVE, 720
+    ),
+    SQL["w8_realtime_totals"],
+)
+
+
 def _compacted_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's table after its batches were merged into one."""
     topic = _topic(spark, sf_dir)
