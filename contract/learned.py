@@ -55,15 +55,19 @@ RATED = ", rat AS (SELECT DISTINCT user_id, product_id FROM ev)"
 
 
 def _als_score(s, d):
-    """Sizes of the training tables, and whether the model beats the global mean by far less error."""
+    """Sizes of the training tables, and whether the fitted model beats the mean on the ratings it saw most of."""
     fitted, rmse = _recommender(s, d)
     ratings = features.interactions(adapter.events(s, d))
+    known = ratings.join(fitted.users, "user_id").join(fitted.products, "product_id")
+    missed = F.col("prediction").cast("double") - F.col("rating")
+    error = fitted.als.transform(known).agg(F.sqrt(F.avg(missed * missed))).scalar()
     spread = ratings.agg(F.stddev_pop("rating")).scalar()
     counts = [F.count("*").alias("ratings"), F.countDistinct("user_id").alias("users"), F.countDistinct("product_id").alias("products")]
     indexed = fitted.users.agg(F.countDistinct("user_idx")).scalar(), fitted.products.agg(F.countDistinct("product_idx")).scalar()
     return ratings.agg(*counts).select(
-        "*", (F.lit(rmse) < 2 * spread).alias("rmse_in_range"), indexed[0].alias("user_numbers"), indexed[1].alias("product_numbers")
-    )
+        "*", (F.lit(rmse) < 2 * spread).alias("rmse_in_range"), (error < spread).alias("beats_the_mean"),
+        indexed[0].alias("user_numbers"), indexed[1].alias("product_numbers"),
+    )
 
 
 add(
@@ -71,7 +75,7 @@ add(
     _als_score,
     over_events(
         """SELECT count(*) AS ratings, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
-        count(*) > 0 AS rmse_in_range, count(DISTINCT user_id) AS user_numbers, count(DISTINCT product_id) AS product_numbers FROM rat""",
+        count(*) > 0 AS rmse_in_range, count(*) > 0 AS beats_the_mean, count(DISTINCT user_id) AS user_numbers, count(DISTINCT product_id) AS product_numbers FROM rat""",
         RATED,
     ),
 )
@@ -211,16 +215,22 @@ def _assigned(s, d):
     return kept.join(_nearest(model, table), "user_id")
 
 
+# The five naming rules in SQL, over the means of a segment's users.
+LABEL = """CASE WHEN avg(purchase_frequency) > 0.5 AND avg(total_spend) > 1000 THEN 'High Value'
+  WHEN avg(purchase_frequency) > 0.2 AND avg(total_spend) > 500 THEN 'Regular Buyer'
+  WHEN avg(cart_adds) > 10 AND avg(cart_abandon_ratio) > 2 THEN 'Browser'
+  WHEN avg(daily_activity) > 5 AND avg(categories_viewed) > 3 THEN 'Active Explorer' ELSE 'Occasional Visitor' END"""
+
+
 def _labelled(s, d):
-    """Per user: the label of the segment, checked against the means of the segment's users."""
+    """Per user: the label of the segment, checked against the rules over the segment's users."""
     table = features.customer_features(adapter.events(s, d))
     model, _, _ = models.best_segments(table, features.CUSTOMER_FEATURES)
     labels = models.label_segments(model, table)
-    members = model.transform(table).select("user_id", "segment", "total_spend", "purchase_frequency")
-    means = members.groupBy("segment").agg(F.avg("total_spend").alias("spend"), F.avg("purchase_frequency").alias("often"))
-    rich = (F.col("spend") > 1000) & (F.col("often") > 0.5)
-    told = members.select("user_id", "segment").join(labels, "segment").join(means, "segment")
-    return told.select("user_id", ((F.col("segment_label") == "High Value") == rich).alias("label_holds"))
+    members = model.transform(table)
+    due = members.groupBy("segment").agg(F.expr(LABEL).alias("due"), F.count("*").alias("size"))
+    told = members.select("user_id", "segment").join(labels, "segment").join(due, "segment")
+    return told.select("user_id", ((F.col("segment_label") == F.col("due")) & (F.col("users") == F.col("size"))).alias("label_holds"))
 
 
 def _silhouettes(s, d):
@@ -268,28 +278,49 @@ add(
 )
 
 
+def _told_apart(told):
+    """One row: whether scores rank purchases above other sessions, and beat the base rate by log-loss.
+
+    The area under the curve is the rank sum over probabilities of four digits.
+    """
+    p = F.round("probability", 4)
+    counts = told.groupBy(p.alias("p")).agg(F.sum("label").alias("sold"), F.sum(1 - F.col("label")).alias("other"))
+    below = F.coalesce(F.sum("other").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranks = counts.select("sold", "other", (F.col("sold") * (below + F.col("other") / 2)).alias("won"))
+    area = ranks.agg((F.sum("won") / (F.sum("sold") * F.sum("other"))).alias("area"))
+
+    def loss(q):
+        return -(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))
+
+    rate = told.agg(F.avg("label").alias("rate"))
+    losses = told.join(rate, F.lit(True)).agg(
+        F.avg(loss(F.least(F.greatest("probability", F.lit(1e-6)), F.lit(1 - 1e-6)))).alias("own"), F.avg(loss(F.col("rate"))).alias("base")
+    )
+    return area.join(losses, F.lit(True)).select(((F.col("area") > 0.5) & (F.col("own") < F.col("base"))).alias("useful"))
+
+
 def _tree(s, d):
-    """Features with their importance in range, and the sessions and purchases learned from."""
+    """Features with their importance in range, scores that tell purchases apart, the sessions and purchases learned from."""
     sessions = features.session_features(adapter.events(s, d))
-    _, report = models.fit_tree(sessions, features.SESSION_FEATURES)
+    model, report = models.fit_tree(sessions, features.SESSION_FEATURES)
     rows = report.select("auc", "depth", "nodes", F.inline("importances"))
     whole = F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-6
-    sound = F.col("auc").between(0, 1) & (F.col("depth") <= 5) & (F.col("nodes") <= 63) & F.col("importance").between(0, 1)
+    sound = (F.col("auc") > 0.5) & (F.col("depth") <= 5) & (F.col("nodes") <= 63) & F.col("importance").between(0, 1)
     seen = sessions.agg(F.count("*").alias("sessions"), F.sum("label").cast("long").alias("purchases"))
-    checked = rows.select("feature", (sound & (whole | (F.col("nodes") == 1))).alias("sound"))
-    return checked.join(seen, F.lit(True))
+    checked = rows.select("feature", (sound & whole).alias("sound")).join(_told_apart(models.purchase_probability(model, sessions)), F.lit(True))
+    return checked.select("feature", (F.col("sound") & F.col("useful")).alias("sound")).join(seen, F.lit(True))
 
 
 def _logistic(s, d):
-    """Per session: the label, a probability in range, and the prediction that follows from it."""
+    """Per session: the label, a probability in range, the prediction that follows from it, scores that tell purchases apart."""
     sessions = features.session_features(adapter.events(s, d))
     columns = features.SESSION_FEATURES + ["has_history"]
     model, _ = models.fit_logistic(sessions, columns)
     told = models.purchase_probability(model, sessions)
-    return told.select(
-        "session_id", "label",
-        (F.col("probability").between(0, 1) & (F.col("prediction") == F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))).alias("sound"),
-    )
+    follows = F.col("prediction") == F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0)
+    return told.join(_told_apart(told), F.lit(True)).select(
+        "session_id", "label", (F.col("probability").between(0, 1) & follows & F.col("useful")).alias("sound")
+    )
 
 
 SOLD = ", x AS (SELECT session_id, max((event_type = 'purchase')::INT)::DOUBLE AS label FROM ev GROUP BY 1)"
