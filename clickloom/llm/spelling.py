@@ -11,7 +11,8 @@ all words of the stretch has a row for each of its code points, and one edit awa
 only three cells of a row matter (the band).  The rows of the prefix a word shares
 with the one before it (their LCP) are used again; words no longer within one edit
 of that prefix leave the rows below it, and when none is left, all words with that
-prefix are skipped.
+prefix are skipped.  Where a `FEW` are left, they are compared with the word read as
+they are.
 
 A long stretch is dealt over several tasks by its words' hash: each task holds
 `CHUNK` of them and reads the sorted stretch past them, so memory is bounded and a
@@ -38,8 +39,8 @@ from clickloom.llm.common import LOWER, kind, over_texts, stored
 SHORTEST, LEAST, RATIO = 7, 2, 10
 #: Code points that a near pair shares at one of its ends: with one edit, 2 * SHARED < SHORTEST.
 SHARED = 3
-#: Words of one stretch in a task.
-CHUNK = 20_000
+#: Words of one stretch in a task; words for which no further row is worth its while.
+CHUNK, FEW = 20_000, 4
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
 
@@ -76,6 +77,18 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counted.where(F.col("n") >= LEAST)
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words that share SHARED code points differ by exactly one edit."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = SHARED
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return i < len(a) and a[i + 1 :] == b[i + 1 :]
+    return len(a) + 1 == len(b) and a[i:] == b[i + 1 :]
+
+
 class Scan:
     """The banded edit matrices of one sorted stretch against a chunk of its words."""
 
@@ -96,23 +109,19 @@ class Scan:
     def below(self, point: int, depth: int):
         """The next row, for the code point at `depth` of the word read."""
         own, old = self.rows[-1]
-        new = np.full(old.shape, 2, np.int8)
-        last = np.full(len(own), 2, np.int8)
-        for k in range(3):  # the prefix has depth + k code points
-            at = depth + k
-            if at >= self.points.shape[1]:
-                break
-            here = self.points[own, at]
-            cell = old[:, k] + (here != point)
-            if k < 2:
-                cell = np.minimum(cell, old[:, k + 1] + 1)
-            cell = np.minimum(cell, last + 1)
-            last = np.where(here > 0, np.minimum(cell, 2), 2).astype(np.int8)
-            new[:, k] = last
-        left = new.min(axis=1) < 2
+        if depth > self.points.shape[1] - 3:  # longer than all words of the chunk
+            return own[:0], old[:0]
+        # The prefixes have depth, depth + 1 and depth + 2 code points; 0 means that a word has no such prefix.
+        here = self.points[own[:, None], depth + np.arange(3)]
+        new = old + (here != point)
+        np.minimum(new[:, :2], old[:, 1:] + 1, out=new[:, :2])
+        for k in (1, 2):
+            np.minimum(new[:, k], new[:, k - 1] + 1, out=new[:, k])
+        new[here == 0] = 2
+        left = (new < 2).any(axis=1)
         return own[left], new[left]
 
-    def near(self, word: str) -> np.ndarray:
+    def near(self, word: str) -> list[int]:
         """The chunk's words exactly one edit from the next word of the stretch."""
         lcp = SHARED
         for a, b in zip(word[SHARED:], self.before[SHARED:]):
@@ -121,16 +130,16 @@ class Scan:
             lcp += 1
         self.before = word
         del self.rows[lcp - SHARED + 1 :]
-        while len(self.rows) <= len(word) - SHARED and len(self.rows[-1][0]):
+        while len(self.rows) <= len(word) - SHARED and len(self.rows[-1][0]) > FEW:
             depth = SHARED + len(self.rows) - 1
             self.rows.append(self.below(ord(word[depth]), depth))
-        if len(self.rows) <= len(word) - SHARED:
-            return np.zeros(0, np.int64)
         own, cells = self.rows[-1]
+        if len(self.rows) <= len(word) - SHARED:
+            return [i for i in own.tolist() if one_edit(self.words[i], word)]
         turn = self.size[own] - len(word) + 1
         fits = (turn >= 0) & (turn < 3)
         own, turn, cells = own[fits], turn[fits], cells[fits]
-        return own[cells[np.arange(len(own)), turn] == 1]
+        return own[cells[np.arange(len(own)), turn] == 1].tolist()
 
 
 def scan_stretches(batches):
@@ -148,7 +157,7 @@ def scan_stretches(batches):
                 continue
             if scan is None:
                 scan = Scan(held)
-            for i in scan.near(word).tolist():
+            for i in scan.near(word):
                 own = held[i]
                 if backwards and own[-SHARED:] == word[-SHARED:]:
                     continue  # they also share their first code points, so the forward stretch has them

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from llm_cases import LOWER, docs, odd_texts, rows_of
 
 from clickloom.llm import spelling
@@ -75,7 +76,9 @@ def test_variants_equal_brute_force(spark):
     assert spelling.variants(docs(spark, [(1, None), (None, ""), (2, "short runs only")])).count() == 0
 
 
-def test_scan_equals_pairwise_comparison():
+@pytest.mark.parametrize("few", [0, spelling.FEW, 40])
+def test_scan_equals_pairwise_comparison(monkeypatch, few):
+    monkeypatch.setattr(spelling, "FEW", few)
     r = random.Random(2)
     words = sorted({"abc" + "".join(r.choice("abé") for _ in range(r.randrange(4, 9))) for _ in range(300)})
     scan = spelling.Scan(words[::2])
