@@ -26,6 +26,11 @@ def epoch_time(seconds_or_millis: Column) -> Column:
     return F.when(in_range, F.timestamp_seconds(seconds))
 
 
+def out_of_range(text: Column) -> Column:
+    """True for a number that no calendar has as a time, else null."""
+    return F.when(F.abs(text.try_cast("double")) >= _MILLIS_CEILING, F.lit(True))
+
+
 def any_time(text: Column) -> Column:
     """Timestamp from text: epoch digits, ISO 8601 or 'yyyy-MM-dd HH:mm:ss[.f]'."""
     text = F.trim(text.cast("string"))

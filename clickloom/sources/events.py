@@ -68,6 +68,24 @@ def prepare(raw: DataFrame) -> DataFrame:
     )
 
 
+def time_faults(raw: DataFrame) -> DataFrame:
+    """(reason, events): how many raw events prepare() can place in time, and why it cannot place the others.
+
+    Without a time an event is in the totals, but in no window, session or series.
+    """
+    fields = [F.trim(F.col(name).cast("string")) for name in schema.TIME_FIELDS if name in raw.columns]
+    placed = F.coalesce(*[values.any_time(text) for text in fields]).isNotNull()
+    given = F.coalesce(*[F.nullif(text, F.lit("")) for text in fields]).isNotNull()
+    far = F.coalesce(*[values.out_of_range(text) for text in fields], F.lit(False))
+    reason = (
+        F.when(placed, F.lit("placed"))
+        .when(~given, F.lit("no time"))
+        .when(far, F.lit("out of range"))
+        .otherwise(F.lit("unreadable"))
+    )
+    return raw.groupBy(reason.alias("reason")).agg(F.count("*").alias("events"))
+
+
 def drop_noise(events: DataFrame) -> DataFrame:
     """Real traffic only; events without the flags are kept."""
     return events.where(traffic.is_clean(F.col("noisy"), F.col("source")))

@@ -129,6 +129,21 @@ add(
     "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time FROM events",
 )
 
+
+def _faulty_times(s, d):
+    """Raw events of which some have no time, one beyond the calendar, or text that is none."""
+    kind = F.col("event_id") % 7
+    broken = F.when(kind == 3, F.lit("1e17")).when(kind == 4, F.lit("soon")).when(kind != 5, F.col("timestamp"))
+    return source.time_faults(adapter.raw_events(s, d).withColumn("timestamp", broken))
+
+
+add(
+    "f6_time_faults",
+    _faulty_times,
+    """SELECT CASE event_id % 7 WHEN 3 THEN 'out of range' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'no time' ELSE 'placed' END AS reason,
+    count(*) AS events FROM events GROUP BY 1""",
+)
+
 add(
     "f7_enrichment",
     lambda s, d: cleaning.enrich(adapter.unsessioned(s, d), adapter.products(s, d), adapter.users(s, d)).select(

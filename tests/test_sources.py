@@ -131,3 +131,10 @@ def test_shared_dir_needs_a_shared_folder(spark):
 def test_shared_dir_follows_the_session(spark, tmp_path):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
     assert shared_dir(SharedFolder(spark, f"{tmp_path}/"), "x").startswith(f"{tmp_path}/x-")
+
+
+def test_events_without_a_usable_time_are_counted(spark):
+    rows = [("1704067200",), ("1e17",), ("-1e300",), ("NaN",), ("soon",), (" ",), (None,), ("2024-01-01T00:00:00Z",), ("99999999999999999999",)]
+    raw = spark.createDataFrame(rows, "timestamp string")
+    assert dict(records(source.time_faults(raw))) == {"placed": 2, "out of range": 4, "unreadable": 1, "no time": 2}
+    assert source.time_faults(raw.limit(0)).count() == 0
