@@ -1,5 +1,6 @@
 """The Parquet lake: hourly partitions, export, compaction, results, caching."""
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -94,6 +95,54 @@ def compact(
     write_lake(spark.read.parquet(source), target, "overwrite", partition_by, max_records_per_file)
 
 
+def census(spark: SparkSession, path: str, partition_by: Sequence[str] = PARTITIONS) -> DataFrame:
+    """(partition columns, files, bytes) of a lake; only footers are read."""
+    files = spark.read.parquet(path).select(*partition_by, "_metadata.file_path", "_metadata.file_size").distinct()
+    return files.groupBy(*partition_by).agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+
+
+def pack_small_files(
+    spark: SparkSession, path: str, target_bytes: int = 128 << 20, partition_by: Sequence[str] = PARTITIONS
+) -> int:
+    """Rewrite, in place, the partitions with more files than their bytes need; returns how many there were.
+
+    The rows of such a partition are dealt over as many files as `target_bytes`
+    asks for, so one large partition is written by several tasks.  New folders
+    are made beside the table and then take the places of the old ones, which are
+    kept under the hidden folder until all have moved; a run that was cut short
+    before that leaves the table as it was.  Run it while nothing writes to the
+    table.
+    """
+    needed = F.ceil(F.col("bytes") / target_bytes).cast("int")
+    plan = census(spark, path, partition_by).where(F.col("files") > needed).select(*partition_by, needed.alias("_files"))
+    stage = f"{path}/.packing-{uuid.uuid4().hex}"
+    plan.write.parquet(f"{stage}/plan")
+    plan = spark.read.parquet(f"{stage}/plan")
+    rewritten = plan.count()
+    fs, at = _file_system(spark, path)
+    if rewritten:
+        rows = spark.read.parquet(path)
+        columns = rows.columns
+        dealt = rows.join(plan, list(partition_by)).withColumn("_file", F.pmod(F.xxhash64(*columns), F.col("_files")))
+        # A row's file follows from the row, so a task that runs again writes the same rows.
+        written = dealt.repartition(*partition_by, "_file").select(*columns)
+        written.write.partitionBy(*partition_by).option("compression", "snappy").parquet(f"{stage}/new")
+        new = at(f"{stage}/new")
+        for status in fs.globStatus(at(f"{stage}/new" + "/*=*" * len(partition_by))):
+            below = status.getPath().toString()[len(fs.makeQualified(new).toString()) :]
+            fs.mkdirs(at(f"{stage}/old{below}").getParent())
+            fs.rename(at(path + below), at(f"{stage}/old{below}"))
+            fs.rename(at(f"{stage}/new{below}"), at(path + below))
+    fs.delete(at(stage), True)
+    return rewritten
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes paths of it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def write_results(results: dict[str, DataFrame], path: str, fmt: str = "json") -> dict[str, str]:
     """One folder per result table; returns the error text of each table that failed."""
     errors: dict[str, str] = {}

@@ -67,6 +67,31 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("year", "month", "day").agg(F.count("*").alias("events"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day of a lake with several small files a day: rows, files and bytes before and after two runs."""
+    path, days = shared_dir(spark, "small"), ["year", "month", "day"]
+    daily = lake.with_partitions(adapter.unsessioned(spark, sf_dir).select(*FLAT))
+    for part in range(3):
+        daily.where(F.col("event_id") % 3 == part).repartition(1).write.mode("append").partitionBy(*days).parquet(path)
+    before = spark.createDataFrame(lake.census(spark, path, days).collect())
+    runs = [lake.pack_small_files(spark, path, partition_by=days) for _ in range(2)]
+    after = lake.census(spark, path, days).select(*days, F.col("files").alias("files_after"), F.col("bytes").alias("bytes_after"))
+    rows = spark.read.parquet(path).groupBy(*days).agg(F.count("*").alias("events"), F.bit_xor(F.col("event_id")).alias("ids"))
+    return rows.join(before, days).join(after, days).select(
+        *days, "events", "ids", "files", "files_after", (F.col("bytes_after") < F.col("bytes")).alias("smaller"),
+        F.lit(runs[1]).alias("rewritten_again"),
+    )
+
+
+add(
+    "s13_small_files",
+    _packed,
+    """SELECT CAST(year(ts) AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month, CAST(day(ts) AS BIGINT) AS day, count(*) AS events,
+    bit_xor(event_id) AS ids, count(DISTINCT event_id % 3) AS files, CAST(1 AS BIGINT) AS files_after,
+    count(DISTINCT event_id % 3) > 1 AS smaller, CAST(0 AS BIGINT) AS rewritten_again FROM events GROUP BY 1, 2, 3""",
+)
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two incremental runs: the first half of the month, then what is new."""
     path = shared_dir(spark, "marks")

@@ -138,3 +138,22 @@ def test_events_without_a_usable_time_are_counted(spark):
     raw = spark.createDataFrame(rows, "timestamp string")
     assert dict(records(source.time_faults(raw))) == {"placed": 2, "out of range": 4, "unreadable": 1, "no time": 2}
     assert source.time_faults(raw.limit(0)).count() == 0
+
+
+def test_small_files_are_packed_to_a_byte_target(spark, tmp_path):
+    path, days = str(tmp_path / "lake"), ["day", "kind"]
+    rows = spark.range(6000).selectExpr("id", "id % 3 AS day", "if(id % 2 = 0, 'a b', 'ü') AS kind", "sha2(cast(id AS string), 256) AS text")
+    rows.where("day < 2").repartition(5).write.partitionBy(*days).parquet(path)
+    rows.where("day = 2").repartition(1).write.mode("append").partitionBy(*days).parquet(path)
+    want = sorted(records(spark.read.parquet(path).select("id", "day", "kind", "text")))
+    kept = {str(p.relative_to(path)) for p in (tmp_path / "lake" / "day=2").rglob("*.parquet")}
+    before = {(r.day, r.kind): (r.files, r.bytes) for r in lake.census(spark, path, days).collect()}
+    assert before[0, "ü"][0] == 5 and before[2, "a b"][0] == 1
+    target = before[0, "ü"][1] // 2 + 1  # two files are enough
+    assert lake.pack_small_files(spark, path, target, days) == 4
+    after = {(r.day, r.kind): r.files for r in lake.census(spark, path, days).collect()}
+    assert {after[d, k] for d in (0, 1) for k in ("a b", "ü")} <= {1, 2} and after[2, "ü"] == 1
+    assert sorted(records(spark.read.parquet(path).select("id", "day", "kind", "text"))) == want
+    assert {str(p.relative_to(path)) for p in (tmp_path / "lake" / "day=2").rglob("*.parquet")} == kept
+    assert lake.pack_small_files(spark, path, target, days) == 0
+    assert not [p for p in (tmp_path / "lake").iterdir() if p.name.startswith(".packing")]
