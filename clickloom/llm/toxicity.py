@@ -35,6 +35,8 @@ from clickloom.llm.sampling import labelled_sample
 PER_LABEL = 4_000
 #: Least log-odds and log-likelihood ratio of a learned stem, and most stems.
 LEAST_ODDS, LEAST_RATIO, MOST_STEMS = 3.5, 25.0, 4_000
+#: The same for stems that good documents have too, but once where bad ones repeat them: their number in a text tells.
+FAINT_ODDS, FAINT_RATIO = 1.5, 60.0
 #: A stem stays if it stands in this share of bad documents with these log-odds, or explains so many that no other does.
 LEAST_SUPPORT, CLEAR_ODDS, LEAST_LEFT = 0.05, 4.5, 3
 #: Letters of stems learned beside whole words.
@@ -42,6 +44,8 @@ STEMS = (4, 5, 6)
 #: Words over which targets, threats and negations reach.
 REACH, SCOPE = 4, 3
 REMEMBERED = 400_000
+#: Features of a text.
+WIDTH = 15
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 #: The closed classes (fixed values).
@@ -151,10 +155,10 @@ class Grammar:
         return found
 
     def features(self, text: bytes | None) -> np.ndarray:
-        """For insults and threats: strongest match, number, and those near targets, negated and reported."""
-        x = np.zeros(10)
+        """For clear insults, threats and faint insults: strongest match, number, and those near targets, negated and reported."""
+        x = np.zeros(WIDTH)
         for out, weight in self.matches(text):
-            at = 5 * (out & 1)
+            at = 5 if out & 1 else 0 if weight >= LEAST_ODDS else 10
             x[at] = max(x[at], weight)
             x[at + 1] += 1
             for k in range(3):
@@ -185,7 +189,7 @@ def train(
     totals = {r._label: r.n for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return Model({}, np.zeros(11))
+        return Model({}, np.zeros(WIDTH + 1))
 
     def count(slices):
         for batch in slices:
@@ -205,13 +209,16 @@ def train(
         counted.groupBy("stem")
         .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .withColumns({"odds": F.log(p) - F.log(q), "ratio": ratio})
-        .where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
+        .where(
+            ((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
+            | ((F.col("odds") >= FAINT_ODDS) & (F.col("ratio") >= FAINT_RATIO))
+        )
         .orderBy(F.desc("ratio"), "stem")
         .limit(MOST_STEMS)
         .collect()
     )
     stems = chosen_stems(sample, {r.stem: r.odds for r in learned})
-    x, y = collected_features(sample, lambda: Grammar(stems).features, 10)
+    x, y = collected_features(sample, lambda: Grammar(stems).features, WIDTH)
     sample.unpersist()
     return Model(stems, logistic(x, y))
 
@@ -274,9 +281,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(slices):
         grammar = Grammar(model.stems)
         for batch in slices:
-            x = np.array([grammar.features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, 10)
+            x = np.array([grammar.features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, WIDTH)
             scores = apply_logistic(x, model.weights)
-            n = np.rint(np.expm1(x[:, 1]) + np.expm1(x[:, 6])).astype(np.int64)
+            n = np.rint(np.expm1(x[:, [1, 6, 11]]).sum(axis=1)).astype(np.int64)
             columns = [*(batch.column(c) for c in keep), pa.array(scores), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "n_matches"])
 

@@ -219,10 +219,31 @@ def test_quality_odd_texts(spark):
 # toxicity
 
 
-def test_toxicity_held_out(spark, table):
-    got = queries.op9_toxicity(spark, TABLES).toPandas().merge(table("labels"), on="doc_id").merge(table("documents"), on="doc_id")
-    english = got[got.lang == "en"]
-    assert (english.predicted == english.toxic).mean() > 0.97 and got[got.toxic == 0].predicted.mean() < 0.02
+def test_toxicity_held_out(spark):
+    """All languages of the larger table; about six in a hundred labels contradict the text."""
+    folder = "/root/testdata/sf0.1"
+    told = queries.op9_toxicity(spark, folder).toPandas()
+    for name in ("labels", "documents"):
+        told = told.merge(pq.read_table(f"{folder}/{name}.parquet").to_pandas(), on="doc_id")
+    held = told[told.held_out & told.toxic.notna()]
+    assert held[held.toxic == 1].predicted.mean() > 0.84 and held[held.toxic == 0].predicted.mean() < 0.01
+    by_language = held[held.toxic == 1].groupby("lang").predicted
+    assert set(by_language.count()[by_language.count() >= 10].index) == {"de", "en", "fr"}
+    assert by_language.mean()[["en", "fr"]].min() > 0.9 and by_language.mean()["de"] > 0.6
+
+
+def test_composed_transducers_equal_single_ones():
+    rng = np.random.default_rng(5)
+    moves, outputs = toxicity.composed()
+    parts = [toxicity.component(toxicity.REACH, toxicity.TARGET), toxicity.component(toxicity.SCOPE, toxicity.NEGATION)]
+    parts.append(toxicity.component(0, toxicity.REPORT))
+    for _ in range(200):
+        state, single = 0, [0, 0, 0]
+        for symbol in rng.choice(7, 60, p=[0.4, 0.15, 0.1, 0.1, 0.1, 0.05, 0.1]):
+            hit = symbol in (toxicity.INSULT, toxicity.THREAT)
+            want = (symbol == toxicity.THREAT) + sum(2 << k for k in range(3) if single[k] > 0) if hit else -1
+            assert outputs[state][symbol] == want
+            state, single = moves[state][symbol], [f(x, symbol) for f, x in zip(parts, single)]
 
 
 def test_grammar_sees_what_surrounds_a_match():
