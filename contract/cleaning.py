@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from clickloom.functions import pages, values
-from clickloom.operators import cleaning, sessions
+from clickloom.operators import cleaning, session_tables, sessions
 from clickloom.sources import adapter
 from clickloom.sources import events as source
-from contract.common import END, MIDDLE, PRODUCTS_SQL, START, USERS_SQL, add, over_events, ts_text
+from contract.common import END, MIDDLE, PRODUCTS_SQL, SQL, START, USERS_SQL, add, over_events, ts_text
 
 SESSION_SQL = """, ses AS (
   SELECT session_id, arg_max(user_id, (ts, event_id)) AS user_id, min(ts) AS first_event_at, max(ts) AS last_event_at,
@@ -247,6 +247,44 @@ add(
 )
 
 
+def _session_tables(s, d):
+    """Sessions stored in daily pieces, merged: heads, exact page counts, first pages, and whether the sketch agrees."""
+    pieces = adapter.events(s, d).withColumn("session_id", F.concat_ws("|", "session_id", F.date_format("ts", "yyyyMMdd")))
+    whole = F.split_part("session_id", F.lit("|"), F.lit(1))
+    merged = session_tables.merge_heads(session_tables.heads(pieces).withColumn("session_id", whole))
+    rows = session_tables.merge_pages(session_tables.pages(pieces).withColumn("session_id", whole))
+    near = F.abs(session_tables.estimate() - F.col("n_pages")) <= F.greatest(F.lit(1), F.col("n_pages") * 0.1)
+    return merged.join(session_tables.named_pages(rows, 3), "session_id").select(
+        "session_id", "user_id", "first_event_at", "last_event_at", "event_count", "merged_rows", "n_pages", "first_pages", near.alias("sketch_agrees")
+    )
+
+
+add(
+    "e3_session_tables",
+    _session_tables,
+    over_events(
+        f"""SELECT session_id, user_id, {ts_text('first_event_at')} AS first_event_at, {ts_text('last_event_at')} AS last_event_at,
+        event_count, merged_rows, len(pages) AS n_pages, array_to_string(pages[1:3], ',') AS first_pages, TRUE AS sketch_agrees
+        FROM ses JOIN (SELECT session_id, count(DISTINCT CAST(ts AS DATE)) AS merged_rows FROM ev GROUP BY 1) USING (session_id)""",
+        SESSION_SQL.format(source="ev"),
+    ),
+)
+
+
+def _repaired_tables(s, d):
+    """Sessions of all traffic, those of one event stored empty, repaired from the clean events."""
+    every, clean = adapter.all_events(s, d), adapter.events(s, d)
+    heads = session_tables.heads(every)
+    single = F.col("event_count") == 1
+    stored = heads.withColumn("event_count", F.when(single, 0).otherwise(F.col("event_count")))
+    rows = session_tables.pages(every).join(heads.where(~single).select("session_id"), "session_id")
+    repaired, page_rows = session_tables.repair(stored, rows, clean)
+    counts = session_tables.named_pages(page_rows).select("session_id", F.col("n_pages").alias("pages"))
+    return repaired.join(counts, "session_id", "left").select(
+        "session_id", "event_count", F.coalesce("pages", F.lit(0)).alias("pages"), "is_orphan"
+    )
+
+
 def _stored(spark, sf_dir):
     """Sessions over all traffic, with one-event sessions stored empty."""
     whole = sessions.rollup(adapter.all_events(spark, sf_dir))
@@ -274,6 +312,7 @@ add(
         FROM whole w LEFT JOIN clean c USING (session_id)"""
     ),
 )
+add("e4_repaired_tables", _repaired_tables, SQL["e4_repaired_sessions"])
 
 add(
     "e5_session_audit",
