@@ -8,16 +8,40 @@ from pyspark.sql import functions as F
 from clickloom.functions.values import count_if, one_per_id, ratio
 from clickloom.operators.baskets import top_partners
 from clickloom.operators.kpis import between
+from clickloom.session import written
 
 # Seconds per trending window.
 TIMEFRAMES = {"hour": 3_600, "day": 86_400, "week": 604_800, "month": 2_592_000}
 
 
-def _sales(events: DataFrame, as_of: datetime, timeframe: str) -> DataFrame:
-    """Purchases per product in the window before ``as_of``."""
-    start = as_of - timedelta(seconds=TIMEFRAMES[timeframe])
-    sold = events.where((F.col("event_type") == "purchase") & between("ts", start, as_of))
-    return sold.groupBy("product_id", "product_name", "category").agg(F.count("*").alias("purchases"))
+def _sales(events: DataFrame, as_of: datetime, within: str | None = None) -> DataFrame:
+    """Every product's purchases in each window before ``as_of``, and its latest one, from one pass.
+
+    With ``within`` only that window's events are read, and longer windows count no more than it.
+    """
+    inside = {name: between("ts", as_of - timedelta(seconds=s), as_of) for name, s in TIMEFRAMES.items()}
+    bought = events.where(F.col("event_type") == "purchase")
+    if within is not None:
+        bought = bought.where(inside[within])
+    return bought.groupBy("product_id", "product_name", "category").agg(
+        *[count_if(window).alias(name) for name, window in inside.items()], F.max(F.struct("ts", "event_id")).alias("latest")
+    )
+
+
+def _sold(sales: DataFrame, timeframe: str) -> DataFrame:
+    return sales.where(F.col(timeframe) > 0).select(
+        "product_id", "product_name", "category", F.col(timeframe).alias("purchases")
+    )
+
+
+def _trending(sales: DataFrame, timeframe: str, n: int) -> DataFrame:
+    return _sold(sales, timeframe).orderBy(F.desc("purchases"), "product_id", "category").limit(n)
+
+
+def _trending_by_category(sales: DataFrame, timeframe: str, n: int) -> DataFrame:
+    best = Window.partitionBy("category").orderBy(F.desc("purchases"), "product_id")
+    sold = _sold(sales, timeframe).where(F.coalesce("category", F.lit("")) != "")
+    return sold.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
 def trending(
@@ -25,14 +49,12 @@ def trending(
 ) -> DataFrame:
     """Most purchased products of the last hour, day, week or month."""
     source = events if category is None else events.where(F.col("category") == category)
-    return _sales(source, as_of, timeframe).orderBy(F.desc("purchases"), "product_id", "category").limit(n)
+    return _trending(_sales(source, as_of, timeframe), timeframe, n)
 
 
 def trending_by_category(events: DataFrame, as_of: datetime, timeframe: str = "week", n: int = 10) -> DataFrame:
     """trending() for every category at once."""
-    best = Window.partitionBy("category").orderBy(F.desc("purchases"), "product_id")
-    sold = _sales(events, as_of, timeframe).where(F.coalesce("category", F.lit("")) != "")
-    return sold.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return _trending_by_category(_sales(events, as_of, timeframe), timeframe, n)
 
 
 def category_affinity(events: DataFrame) -> DataFrame:
@@ -46,17 +68,9 @@ def category_affinity(events: DataFrame) -> DataFrame:
     )
 
 
-def similar_products(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
-    """For every purchased product: what trends in its category, without itself.
-
-    The category is that of the product's latest purchase.  A category's first
-    ``n + 1`` products hold every product's ``n`` others.
-    """
-    bought = events.where(F.col("event_type") == "purchase")
-    own = bought.groupBy("product_id").agg(
-        F.max_by("category", F.struct("ts", "event_id")).alias("category")
-    )
-    leaders = trending_by_category(events, as_of, "week", n + 1).select(
+def _similar(sales: DataFrame, n: int) -> DataFrame:
+    own = sales.groupBy("product_id").agg(F.max_by("category", "latest").alias("category"))
+    leaders = _trending_by_category(sales, "week", n + 1).select(
         "category", F.col("product_id").alias("similar_id"), "purchases"
     )
     ranked = Window.partitionBy("product_id").orderBy(F.desc("purchases"), "similar_id")
@@ -68,6 +82,15 @@ def similar_products(events: DataFrame, as_of: datetime, n: int = 10) -> DataFra
     )
 
 
+def similar_products(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
+    """For every purchased product: what trends in its category, without itself.
+
+    The category is that of the product's latest purchase.  A category's first
+    ``n + 1`` products hold every product's ``n`` others.
+    """
+    return _similar(_sales(events, as_of), n)
+
+
 def cross_sell(events: DataFrame, n: int = 5) -> DataFrame:
     """For every purchased product: what else those sessions purchased."""
     items = events.where(F.col("event_type") == "purchase").select(
@@ -90,29 +113,29 @@ def cross_sell_for(events: DataFrame, product_id: str, n: int = 5) -> DataFrame:
     )
 
 
-def preferred_categories(events: DataFrame, n: int = 5) -> DataFrame:
-    """Each user's leading categories by adds, checkouts and purchases."""
-    counted = (
-        events.where(F.col("event_type").isin("add_to_cart", "checkout", "purchase"))
-        .groupBy("user_id", "category")
-        .agg(F.count("*").alias("n"))
-    )
+def _tastes(events: DataFrame) -> DataFrame:
+    """Each user's categories with the adds, checkouts and purchases in them; every user has a row."""
+    wanted = count_if(F.col("event_type").isin("add_to_cart", "checkout", "purchase"))
+    return events.groupBy("user_id", "category").agg(wanted.alias("n"))
+
+
+def _preferred(tastes: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc("n"), "category")
-    kept = counted.withColumn("category_rank", F.row_number().over(order)).where(
+    kept = tastes.where(F.col("n") > 0).withColumn("category_rank", F.row_number().over(order)).where(
         F.col("category_rank") <= n
     )
     total = F.sum("n").over(Window.partitionBy("user_id"))
     return kept.withColumn("affinity", ratio(F.col("n"), total)).drop("n")
 
 
-def personalized(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
-    """Trending products of each user's preferred categories; global ones otherwise.
+def preferred_categories(events: DataFrame, n: int = 5) -> DataFrame:
+    """Each user's leading categories by adds, checkouts and purchases."""
+    return _preferred(_tastes(events), n)
 
-    Categories fill the list in the order of preference.  Users none of whose
-    categories sold anything get the global list, read from a one-row array.
-    """
-    liked = preferred_categories(events).where(F.coalesce("category", F.lit("")) != "")
-    popular = trending_by_category(events, as_of, "week", n).select(
+
+def _personalized(tastes: DataFrame, sales: DataFrame, n: int) -> DataFrame:
+    liked = _preferred(tastes, 5).where(F.coalesce("category", F.lit("")) != "")
+    popular = _trending_by_category(sales, "week", n).select(
         "category", "product_id", "purchases", F.col("rank").alias("product_rank")
     )
     order = Window.partitionBy("user_id").orderBy("category_rank", "product_rank")
@@ -128,10 +151,10 @@ def personalized(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
             "rank",
         )
     )
-    everyone = events.select("user_id").distinct()
+    everyone = tastes.select("user_id").distinct()
     served = own.select("user_id", F.lit(True).alias("served")).distinct()
     without = everyone.join(served, "user_id", "left").where(F.col("served").isNull())
-    top = trending(events, as_of, "week", n)
+    top = _trending(sales, "week", n)
     ranked = F.array_sort(
         F.collect_list(F.struct((-F.col("purchases")).alias("_order"), "product_id", "category", "purchases"))
     )
@@ -145,6 +168,15 @@ def personalized(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
     return own.unionByName(fallback)
 
 
+def personalized(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
+    """Trending products of each user's preferred categories; global ones otherwise.
+
+    Categories fill the list in the order of preference.  Users none of whose
+    categories sold anything get the global list, read from a one-row array.
+    """
+    return _personalized(_tastes(events), _sales(events, as_of, "week"), n)
+
+
 def popular_products(events: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
     """Catalogue products by distinct viewers."""
     folded = events.where(F.col("product_id").isNotNull()).groupBy("product_id", "user_id").agg(
@@ -294,7 +326,12 @@ def keep_history(history: DataFrame, latest: DataFrame, n: int = 5) -> DataFrame
 
 
 def combined(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
-    """Every kind of recommendation in one frame: (kind, key, product_id, score, rank)."""
+    """Every kind of recommendation in one frame: (kind, key, product_id, score, rank).
+
+    The events are read three times: for sales by product, tastes by user, and
+    the purchases of each session.  These tables are written and feed all parts.
+    """
+    sales, tastes = written(_sales(events, as_of), "sales"), written(_tastes(events), "tastes")
 
     def shape(df, kind, key, product, score):
         return df.select(
@@ -308,15 +345,15 @@ def combined(events: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
     order = Window.partitionBy("kind").orderBy(F.desc("purchases"), "product_id", "category")
 
     def listed(kind, timeframe):
-        top = trending(events, as_of, timeframe, n).withColumn("kind", F.lit(kind))
+        top = _trending(sales, timeframe, n).withColumn("kind", F.lit(kind))
         return shape(top.withColumn("rank", F.row_number().over(order)), kind, None, "product_id", "purchases")
 
     return (
-        shape(personalized(events, as_of, n), "personalized", "user_id", "product_id", "purchases")
-        .unionByName(shape(trending_by_category(events, as_of, "week", n), "category", "category", "product_id", "purchases"))
+        shape(_personalized(tastes, sales, n), "personalized", "user_id", "product_id", "purchases")
+        .unionByName(shape(_trending_by_category(sales, "week", n), "category", "category", "product_id", "purchases"))
         .unionByName(listed("trending", "day"))
         .unionByName(listed("seasonal", "month"))
-        .unionByName(shape(similar_products(events, as_of, n), "similar", "product_id", "similar_id", "purchases"))
+        .unionByName(shape(_similar(sales, n), "similar", "product_id", "similar_id", "purchases"))
         .unionByName(shape(cross_sell(events, n), "cross_sell", "product_id", "partner_id", "purchases"))
     )
 
