@@ -13,14 +13,24 @@ lists no other product can reach.  What is left is cut into blocks of about
 ``CELL`` products by a hash.  Products meet in cells, pairs of blocks, so a basket
 of thousands of products is worked on by many tasks and a cell is small.  The bound
 drops pairs that matter to neither side, and partial sums leave the task.
+
+Few baskets.  Where there are at most ``FEW`` baskets, each with many products, pairs
+are not listed by basket: a product becomes one bit a basket, and a pair's count is
+the bits both have.  Products with equal bits are found with everything equally
+often, so only the smallest ids of them can be in a list.
 """
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.session import written
 
 HEAD, CELL = 32, 128
+#: Baskets that fit into bits, products of a block of bits, most blocks and leaders among the products.
+FEW, BLOCK, BLOCKS, LEADERS = 1024, 2048, 96, 2048
 
 
 def _members(items: DataFrame, count_repeats: bool = False) -> DataFrame:
@@ -115,24 +125,89 @@ def top_partners(
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
-def top_pairs(items: DataFrame, n: int = 10, head: int = HEAD, cell: int = CELL) -> DataFrame:
+def _bits(members: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(product_id, w0, w1, …): one bit a basket, for few baskets; and the names of the words."""
+    numbers = members.select("basket_id").distinct().withColumn("_n", F.row_number().over(Window.orderBy("basket_id")) - 1)
+    words = [f"w{i}" for i in range(-(-numbers.count() // 64))]
+    bit = F.expr("shiftleft(1L, _n % 64)")
+    sums = [F.bit_or(F.when(F.floor(F.col("_n") / 64) == i, bit).otherwise(0)).alias(w) for i, w in enumerate(words)]
+    return members.join(numbers, "basket_id").groupBy("product_id").agg(*sums), words
+
+
+def _first_of_equals(bits: DataFrame, words: list[str], n: int) -> DataFrame:
+    """The ``n`` smallest ids of each set of products with equal bits."""
+    place = F.row_number().over(Window.partitionBy(*words).orderBy("product_id"))
+    return bits.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def _top_pairs_by_bits(members: DataFrame, n: int, leaders: int, block: int) -> DataFrame:
+    """top_pairs() for few baskets: every two products that have enough baskets are compared by bits."""
+    bits, words = _bits(members)
+    # A pair of equal products, or of two such sets, comes after n pairs of smaller ids otherwise.
+    total = reduce(add, [F.bit_count(w) for w in words]).alias("total")
+    kept = written(_first_of_equals(bits, words, n + 1).select("*", total), "bits")
+    best = [F.desc("together"), "product_a", "product_b"]
+
+    def compared(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        shared = reduce(add, [F.bit_count(F.col(f"a.{w}").bitwiseAND(F.col(f"b.{w}"))) for w in words])
+        return a.join(b, on & (F.least(F.col("a.total"), F.col("b.total")) >= least) & (shared >= least)).select(
+            F.least("a.product_id", "b.product_id").alias("product_a"), F.greatest("a.product_id", "b.product_id").alias("product_b"),
+            shared.cast("long").alias("together"),
+        )
+
+    least = 1
+    first = kept.orderBy(F.desc("total"), "product_id").limit(leaders)
+    head = compared(first, first, F.col("a.product_id") < F.col("b.product_id")).orderBy(*best).limit(n)
+    found, lowest = head.agg(F.count("*"), F.min("together")).first()
+    least = lowest if found == n else 1
+
+    enough = kept.where(F.col("total") >= least)
+    blocks = min(BLOCKS, max(1, -(-enough.count() // block)))
+    dealt = enough.withColumn("_own", F.pmod(F.xxhash64("product_id"), F.lit(blocks)).cast("int"))
+    cells = blocks * (blocks + 1)
+    left = dealt.select("*", F.col("_own").alias("i"), F.explode(F.sequence("_own", F.lit(blocks - 1))).alias("j"))
+    right = dealt.select("*", F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
+    if blocks > 1:
+        left, right = (side.repartition(cells, "i", "j") for side in (left, right))
+    else:  # one cell, whose rows have a task each part
+        left = left.repartition("product_id")
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.product_id") < F.col("b.product_id"))
+    return compared(left, right, (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & once).orderBy(*best).limit(n)
+
+
+def top_pairs(
+    items: DataFrame, n: int = 10, head: int = HEAD, cell: int = CELL, few: int = FEW, leaders: int = LEADERS, block: int = BLOCK
+) -> DataFrame:
     """The product pairs found together in most baskets.
 
     The n-th best pair among the most frequent products is the least that a pair
     must reach, so rarer products leave their baskets before any pair is listed.
+    Products of few, wide baskets are compared by bits if that is less work.
     """
     members = _members(items)
     totals = members.groupBy("product_id").agg(F.count("*").alias("total"))
+    best = [F.desc("together"), "product_a", "product_b"]
+
+    def listed(chosen: DataFrame) -> tuple[int, int]:
+        """Baskets, and the pairs they list."""
+        sizes = chosen.groupBy("basket_id").agg(F.count("*").alias("m"))
+        return sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long")).first()
+
+    baskets, pairs = listed(members)
+    products = totals.count()
+    if baskets <= few and products * (products - 1) // 2 * -(-baskets // 64) < pairs:
+        return _top_pairs_by_bits(members, n, leaders, block)
 
     def counted(chosen: DataFrame) -> DataFrame:
-        pairs = _pairs(chosen, F.struct("product_id"), cell)
-        return pairs.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(
+        found = _pairs(chosen, F.struct("product_id"), cell)
+        return found.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(
             F.count("*").alias("together")
         )
 
-    best = [F.desc("together"), "product_a", "product_b"]
-    leaders = totals.orderBy(F.desc("total"), "product_id").limit(head).select("product_id")
-    least = counted(members.join(leaders, "product_id")).orderBy(*best).limit(n)
-    least = least.agg(F.when(F.count("*") == n, F.min("together")).otherwise(0)).scalar()
-    enough = totals.where(F.col("total") >= least).select("product_id")
-    return counted(members.join(enough, "product_id")).orderBy(*best).limit(n)
+    first = totals.orderBy(F.desc("total"), "product_id").limit(head).select("product_id")
+    least = counted(members.join(first, "product_id")).orderBy(*best).limit(n)
+    found, lowest = least.agg(F.count("*"), F.min("together")).first()
+    if found == n and lowest > 1:
+        members = members.join(totals.where(F.col("total") >= lowest).select("product_id"), "product_id")
+    return counted(members).orderBy(*best).limit(n)

@@ -142,6 +142,20 @@ def test_top_pairs_are_exact(spark):
     assert baskets.top_pairs(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaders, block", [(0, 3), (5, 4), (2048, 2048)])
+def test_few_wide_baskets_are_compared_by_bits(spark, monkeypatch, leaders, block):
+    """Seventy baskets of most products: no pair is listed by basket."""
+    monkeypatch.setattr(baskets, "_pairs", None)
+    rng = random.Random(block)
+    items = [(f"b{b}", f"p{p:02d}") for p in range(25) for b in rng.sample(range(70), 20 + p)]
+    items += [(f"b{b}", f"q{p:02d}") for p in range(12) for b in range(3, 64)]  # equal products
+    frame = spark.createDataFrame(items, "basket_id string, product_id string")
+    pairs = {(a, b): n for a, row in brute_partners(items, False).items() for b, n in row.items() if a < b}
+    want = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))
+    for n in (4, 80):
+        assert records(baskets.top_pairs(frame, n, leaders=leaders, block=block)) == want[:n]
+
+
 def test_wide_baskets_are_cut_into_cells(spark):
     """A basket of thousands of products: short arrays, and no pair that the bound rules out."""
     wide = [("w", f"p{i:04d}") for i in range(3000)]
