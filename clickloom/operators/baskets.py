@@ -60,7 +60,7 @@ def _pairs(members: DataFrame, item: Column, cell: int) -> DataFrame:
 
 
 def top_partners(
-    items: DataFrame, n: int = 5, count_repeats: bool = False, head: int = HEAD, cell: int = CELL
+    items: DataFrame, n: int = 5, count_repeats: bool = False, head: int = HEAD, cell: int = CELL, few: int = FEW
 ) -> DataFrame:
     """For every product, the ``n`` products found most in the baskets that hold it.
 
@@ -68,6 +68,34 @@ def top_partners(
     basket, or with ``count_repeats`` once per row.  Ties go to the smaller id.
     """
     members = _members(items, count_repeats)
+    if not count_repeats and members.select("basket_id").distinct().limit(few + 1).count() <= few:
+        return _partners_of_equals(members, n, head, cell)
+    return _listed_partners(members, n, count_repeats, head, cell)
+
+
+def _partners_of_equals(members: DataFrame, n: int, head: int, cell: int) -> DataFrame:
+    """top_partners() for few baskets: lists of the smallest ids of equal products serve the others too.
+
+    Another product of the set has the list of the set's first product, with that product in it.
+    """
+    bits, words = _bits(members)
+    bits = written(bits, "bits")
+    kept = written(_first_of_equals(bits, words, n + 1), "equals")
+    lists = written(_listed_partners(written(members.join(kept.select("product_id"), "product_id"), "kept"), n, False, head, cell), "lists")
+    first = kept.groupBy(*words).agg(F.min("product_id").alias("product_id"))
+    own = first.select(*words, F.col("product_id").alias("partner_id"), _total(words).alias("together"))
+    ranked = Window.partitionBy(*words).orderBy(F.desc("together"), "partner_id")
+    of_sets = (
+        lists.join(first, "product_id").select(*words, "partner_id", "together").unionByName(own)
+        .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+    )
+    others = bits.join(kept.select("product_id"), "product_id", "left_anti")
+    columns = ["product_id", "partner_id", "together", "rank"]
+    return lists.select(*columns).unionByName(others.join(of_sets, words).select(*columns))
+
+
+def _listed_partners(members: DataFrame, n: int, count_repeats: bool, head: int, cell: int) -> DataFrame:
+    """top_partners() of ``_members`` rows."""
     totals = members.groupBy("product_id").agg(F.sum("times").alias("total"))
     leaders = totals.orderBy(F.desc("total"), "product_id").limit(head).select(F.col("product_id").alias("leader"))
     marked = members.join(leaders, F.col("product_id") == F.col("leader"), "left")
@@ -134,6 +162,10 @@ def _bits(members: DataFrame) -> tuple[DataFrame, list[str]]:
     return members.join(numbers, "basket_id").groupBy("product_id").agg(*sums), words
 
 
+def _total(words: list[str]) -> Column:
+    return reduce(add, [F.bit_count(w) for w in words]).cast("long")
+
+
 def _first_of_equals(bits: DataFrame, words: list[str], n: int) -> DataFrame:
     """The ``n`` smallest ids of each set of products with equal bits."""
     place = F.row_number().over(Window.partitionBy(*words).orderBy("product_id"))
@@ -144,8 +176,7 @@ def _top_pairs_by_bits(members: DataFrame, n: int, leaders: int, block: int) ->
     """top_pairs() for few baskets: every two products that have enough baskets are compared by bits."""
     bits, words = _bits(members)
     # A pair of equal products, or of two such sets, comes after n pairs of smaller ids otherwise.
-    total = reduce(add, [F.bit_count(w) for w in words]).alias("total")
-    kept = written(_first_of_equals(bits, words, n + 1).select("*", total), "bits")
+    kept = written(_first_of_equals(bits, words, n + 1).withColumn("total", _total(words)), "bits")
     best = [F.desc("together"), "product_a", "product_b"]
 
     def compared(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:

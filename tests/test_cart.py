@@ -156,6 +156,21 @@ def test_few_wide_baskets_are_compared_by_bits(spark, monkeypatch, leaders, bloc
         assert records(baskets.top_pairs(frame, n, leaders=leaders, block=block)) == want[:n]
 
 
+def test_equal_products_share_a_list(spark, monkeypatch):
+    """Of products in the same few baskets only the first ids are listed by basket."""
+    rng = random.Random(4)
+    items = [(f"b{b}", f"p{p:03d}") for p in range(150) for b in rng.choice([(0, 1, 2), (0, 2), (1, 3), (4,), (0, 1, 2, 3, 4)])]
+    frame = spark.createDataFrame(items, "basket_id string, product_id string")
+    listed, sizes = baskets._listed_partners, []
+    monkeypatch.setattr(baskets, "_listed_partners", lambda m, *rest: sizes.append(m.select("product_id").distinct().count()) or listed(m, *rest))
+    got = defaultdict(list)
+    for r in baskets.top_partners(frame, 3).orderBy("product_id", "rank").collect():
+        got[r.product_id].append((r.partner_id, r.together))
+    want = {p: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:3] for p, c in brute_partners(items, False).items()}
+    assert dict(got) == want
+    assert sizes == [5 * 4]
+
+
 def test_wide_baskets_are_cut_into_cells(spark):
     """A basket of thousands of products: short arrays, and no pair that the bound rules out."""
     wide = [("w", f"p{i:04d}") for i in range(3000)]
