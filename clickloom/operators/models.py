@@ -196,9 +196,9 @@ def silhouette(model: PipelineModel, features: DataFrame) -> float:
     return ClusteringEvaluator(predictionCol="segment").evaluate(model.transform(features))
 
 
-def segment_stats(model: PipelineModel, features: DataFrame, columns: list[str]) -> DataFrame:
-    """Size and feature means of every segment."""
-    means = [F.round(F.avg(c), 4).alias(f"avg_{c}") for c in columns]
+def segment_stats(model: PipelineModel, features: DataFrame, columns: list[str], digits: int | None = 4) -> DataFrame:
+    """Size and feature means of every segment; ``digits=None`` leaves the means unrounded, for totals."""
+    means = [(F.avg(c) if digits is None else F.round(F.avg(c), digits)).alias(f"avg_{c}") for c in columns]
     return model.transform(features).groupBy("segment").agg(F.count("*").alias("users"), *means)
 
 

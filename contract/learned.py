@@ -200,7 +200,7 @@ def _basic_segments(s, d):
     """Users and events over all segments: each user is in exactly one."""
     table = features.user_features_basic(adapter.events(s, d))
     model = models.fit_segments(table, features.BASIC_FEATURES, k=3)
-    stats = models.segment_stats(model, table, ["total_events", "conversion_rate", "cart_rate"])
+    stats = models.segment_stats(model, table, ["total_events", "conversion_rate", "cart_rate"], digits=None)
     return stats.agg(
         F.sum("users").alias("users"),
         F.round(F.sum(F.col("avg_total_events") * F.col("users"))).cast("long").alias("events"),

@@ -72,6 +72,15 @@ def test_similar_items_use_the_factors(recommender):
     assert all(int(r.product_id[1:]) % 2 == int(r.similar_id[1:]) % 2 for r in similar)
 
 
+def test_unrounded_segment_means_give_back_totals(spark):
+    """Thirty thousand users: a mean of four digits would be off by more than one event."""
+    frame = spark.range(30_001).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 7).cast("double").alias("n"))
+    model = models.fit_segments(frame, ["n"], k=3)
+    stats = models.segment_stats(model, frame, ["n"], digits=None)
+    total = stats.agg(F.round(F.sum(F.col("avg_n") * F.col("users")))).first()[0]
+    assert total == sum(i % 7 for i in range(30_001))
+
+
 def test_segments_split_two_groups(spark, tmp_path):
     rows = [(f"u{i}", float(i % 2 * 100 + i % 5), float(i % 3)) for i in range(60)]
     frame = spark.createDataFrame(rows, "user_id string, a double, b double")
