@@ -42,19 +42,23 @@ class SessionPart(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         totals = dict(zip(TOTALS, self.totals.get())) if self.totals.exists() else None
-        fresh = []
+        visited: dict[str, int] = {}
         for chunk in rows:
-            newest = chunk.sort_values(["us", "event_id"]).iloc[-1]
+            us = chunk["us"]
+            first, last = int(us.min()), int(us.max())
             if totals is None:
-                totals = dict(started=int(chunk["us"].min()), first_us=int(chunk["us"].min()), last_us=None, event_count=0)
-            totals["first_us"] = min(totals["first_us"], int(chunk["us"].min()))
-            if totals["last_us"] is None or (newest["us"], newest["event_id"]) >= (totals["last_us"], totals["last_id"]):
-                totals.update(last_us=int(newest["us"]), last_id=newest["event_id"], last_user=newest["user_id"])
+                totals = dict(started=first, first_us=first, last_us=None, event_count=0)
+            totals["first_us"] = min(totals["first_us"], first)
+            newest = chunk[us == last].sort_values("event_id").iloc[-1]
+            if totals["last_us"] is None or (last, newest["event_id"]) >= (totals["last_us"], totals["last_id"]):
+                totals.update(last_us=last, last_id=newest["event_id"], last_user=newest["user_id"])
             totals["event_count"] += len(chunk)
-            for page, seen in chunk.dropna(subset=["page"]).groupby("page")["us"].min().items():
-                if not self.pages.containsKey((page,)):
-                    self.pages.updateValue((page,), (int(seen),))
-                    fresh.append(page)
+            for page, seen in chunk.dropna(subset=["page"]).groupby("page", sort=False)["us"].min().items():
+                visited[page] = min(visited.get(page, int(seen)), int(seen))
+        # The state is asked once a page, however many chunks hold it: every question is a call to the JVM.
+        fresh = [page for page in visited if not self.pages.containsKey((page,))]
+        for page in fresh:
+            self.pages.updateValue((page,), (visited[page],))
         if totals is None:
             return
         self.totals.update(tuple(totals[c] for c in TOTALS))

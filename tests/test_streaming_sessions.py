@@ -1,4 +1,7 @@
 import random
+from types import SimpleNamespace
+
+import pandas as pd
 
 from clickloom.streaming import events as stream
 from clickloom.streaming import sessions
@@ -62,3 +65,23 @@ def test_job_leaves_the_state_store_setting_alone(spark, tmp_path):
     send(tmp_path / "topic", "a", [message(1, 0)])
     run(spark, tmp_path)
     assert spark.conf.get(sessions.PROVIDER) == before
+
+
+def test_a_page_is_asked_for_once_whatever_the_chunks():
+    """Fifty chunks of the same pages: the state is asked once a page, the last user goes by time and id."""
+    asked, kept = [], {}
+    part = sessions.SessionPart(60)
+    pages = SimpleNamespace(containsKey=lambda k: asked.append(k) or k in kept, updateValue=kept.__setitem__)
+    totals = SimpleNamespace(exists=lambda: False, update=lambda row: None)
+    handle = SimpleNamespace(
+        getValueState=lambda *_: totals, getMapState=lambda *_: pages, listTimers=list, registerTimer=lambda ms: None
+    )
+    part.init(handle)
+    chunks = [
+        pd.DataFrame({"event_id": [f"e{c}", f"f{c}", f"g{c}"], "user_id": [f"u{c}", f"v{c}", f"w{c}"], "page": ["/a", "/b", None], "us": [100 - c, 7, 100 - c]})
+        for c in range(50)
+    ]
+    (out,) = part.handleInputRows(("s", 0), iter(chunks), None)
+    assert sorted(asked) == [("/a",), ("/b",)] and kept == {("/a",): (51,), ("/b",): (7,)}
+    assert list(out["page"]) == [None, "/a", "/b"]
+    assert set(out["last_user"]) == {"w0"} and set(out["event_count"]) == {150} and set(out["first_us"]) == {7}
