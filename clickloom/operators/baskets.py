@@ -26,11 +26,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import written
+from clickloom.session import shuffled_over, written
 
 HEAD, CELL = 32, 128
-#: Baskets that fit into bits, products of a block of bits, most blocks and leaders among the products.
-FEW, BLOCK, BLOCKS, LEADERS = 1024, 2048, 96, 2048
+#: Baskets that fit into bits, products of a block of bits, most blocks, leaders among the products, and pairs of one task.
+FEW, BLOCK, BLOCKS, LEADERS, TASK = 1024, 2048, 96, 2048, 1_000_000
 
 
 def _members(items: DataFrame, count_repeats: bool = False) -> DataFrame:
@@ -40,7 +40,7 @@ def _members(items: DataFrame, count_repeats: bool = False) -> DataFrame:
     return written(named.groupBy("basket_id", "product_id").agg(times.alias("times")), "members")
 
 
-def _pairs(members: DataFrame, item: Column, cell: int) -> DataFrame:
+def _pairs(members: DataFrame, item: Column, cell: int, tasks: int | None = None) -> DataFrame:
     """(a, b) for every two products of a basket, as ``item`` structs, a before b by product."""
     sizes = members.groupBy("basket_id").agg(F.ceil(F.count("*") / cell).cast("int").alias("_blocks")).where("_blocks > 1")
     dealt = members.join(sizes, "basket_id", "left").select(
@@ -50,6 +50,8 @@ def _pairs(members: DataFrame, item: Column, cell: int) -> DataFrame:
     # A cell (i, j) holds a product of block i with all its partners of block j.
     left = dealt.select("basket_id", F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"), F.col("_item").alias("x"))
     right = dealt.select("basket_id", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"), F.col("_item").alias("y"))
+    if tasks:
+        left, right = (side.repartition(tasks, "basket_id", "i", "j") for side in (left, right))
     both = left.join(right, ["basket_id", "i", "j"]).where(
         ((F.col("i") < F.col("j")) & (F.col("x.product_id") != F.col("y.product_id"))) | (F.col("x.product_id") < F.col("y.product_id"))
     )
@@ -217,6 +219,7 @@ def top_pairs(
     Products of few, wide baskets are compared by bits if that is less work.
     """
     members = _members(items)
+    spark = members.sparkSession
     totals = members.groupBy("product_id").agg(F.count("*").alias("total"))
     best = [F.desc("together"), "product_a", "product_b"]
 
@@ -230,8 +233,8 @@ def top_pairs(
     if baskets <= few and products * (products - 1) // 2 * -(-baskets // 64) < pairs:
         return _top_pairs_by_bits(members, n, leaders, block)
 
-    def counted(chosen: DataFrame) -> DataFrame:
-        found = _pairs(chosen, F.struct("product_id"), cell)
+    def counted(chosen: DataFrame, tasks: int | None = None) -> DataFrame:
+        found = _pairs(chosen, F.struct("product_id"), cell, tasks)
         return found.groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")).agg(
             F.count("*").alias("together")
         )
@@ -240,5 +243,8 @@ def top_pairs(
     least = counted(members.join(first, "product_id")).orderBy(*best).limit(n)
     found, lowest = least.agg(F.count("*"), F.min("together")).first()
     if found == n and lowest > 1:
-        members = members.join(totals.where(F.col("total") >= lowest).select("product_id"), "product_id")
-    return counted(members).orderBy(*best).limit(n)
+        members = written(members.join(totals.where(F.col("total") >= lowest).select("product_id"), "product_id"), "enough")
+        baskets, pairs = listed(members)
+    tasks = -(-pairs // TASK)
+    with shuffled_over(spark, tasks):
+        return written(counted(members, tasks if tasks > 1 else None).orderBy(*best).limit(n), "pairs")

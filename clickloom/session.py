@@ -1,6 +1,7 @@
 """Session settings for local runs and advice for clusters."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,15 @@ def written(df: DataFrame, prefix: str) -> DataFrame:
     path = shared_dir(df.sparkSession, prefix)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffled_over(spark: SparkSession, tasks: int):
+    """Shuffles planned inside have at least ``tasks`` partitions, so a task's share does not grow with the input."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), tasks)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -156,6 +156,26 @@ def test_few_wide_baskets_are_compared_by_bits(spark, monkeypatch, leaders, bloc
         assert records(baskets.top_pairs(frame, n, leaders=leaders, block=block)) == want[:n]
 
 
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """A task's share of the listed pairs is bounded, and the setting is put back."""
+    monkeypatch.setattr(baskets, "TASK", 50)
+    planned, pairs, key = [], baskets._pairs, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+
+    def seen(members, item, cell, tasks=None):
+        planned.append((tasks, int(spark.conf.get(key))))
+        return pairs(members, item, cell, tasks)
+
+    monkeypatch.setattr(baskets, "_pairs", seen)
+    items = [(f"b{b}", f"p{p:02d}") for b in range(40) for p in range(b % 7, 20, 3)]
+    frame = spark.createDataFrame(items, "basket_id string, product_id string")
+    counts = {(a, b): n for a, row in brute_partners(items, False).items() for b, n in row.items() if a < b}
+    want = sorted(((a, b, n) for (a, b), n in counts.items()), key=lambda x: (-x[2], x[0], x[1]))[:6]
+    assert records(baskets.top_pairs(frame, 6, head=0, few=0)) == want
+    listed = sum(m * (m - 1) // 2 for m in Counter(b for b, _ in set(items)).values())
+    assert planned[-1] == (-(-listed // 50), -(-listed // 50)) and spark.conf.get(key) == before
+
+
 def test_equal_products_share_a_list(spark, monkeypatch):
     """Of products in the same few baskets only the first ids are listed by basket."""
     rng = random.Random(4)
