@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickloom.operators import features, models
+from clickloom.session import written
 from clickloom.sources import adapter
 from contract.common import END, PRODUCTS_SQL, add, over_events
 
@@ -198,7 +199,7 @@ def _nearest(model, table):
 
 def _basic_segments(s, d):
     """Users and events over all segments: each user is in exactly one."""
-    table = features.user_features_basic(adapter.events(s, d))
+    table = written(features.user_features_basic(adapter.events(s, d)), "features")
     model = models.fit_segments(table, features.BASIC_FEATURES, k=3)
     stats = models.segment_stats(model, table, ["total_events", "conversion_rate", "cart_rate"], digits=None)
     return stats.agg(
@@ -209,7 +210,7 @@ def _basic_segments(s, d):
 
 
 def _assigned(s, d):
-    table = features.user_features(adapter.events(s, d), END)
+    table = written(features.user_features(adapter.events(s, d), END), "features")
     model = models.fit_segments(table, features.FULL_FEATURES, k=5, scaled=True)
     kept = models.assign_segments(model, table).groupBy("user_id").agg(F.count("*").alias("rows"))
     return kept.join(_nearest(model, table), "user_id")
@@ -224,7 +225,7 @@ LABEL = """CASE WHEN avg(purchase_frequency) > 0.5 AND avg(total_spend) > 1000 T
 
 def _labelled(s, d):
     """Per user: the label of the segment, checked against the rules over the segment's users."""
-    table = features.customer_features(adapter.events(s, d))
+    table = written(features.customer_features(adapter.events(s, d)), "features")
     model, _, _ = models.best_segments(table, features.CUSTOMER_FEATURES)
     labels = models.label_segments(model, table)
     members = model.transform(table)
@@ -234,7 +235,7 @@ def _labelled(s, d):
 
 
 def _silhouettes(s, d):
-    table = features.customer_features(adapter.events(s, d))
+    table = written(features.customer_features(adapter.events(s, d)), "features")
     _, best, scores = models.best_segments(table, features.CUSTOMER_FEATURES)
     rows = [(k, -1 <= v <= 1, (k == best) <= (v == max(scores.values()))) for k, v in scores.items()]
     tried = s.createDataFrame(rows, "k long, in_range boolean, chosen_is_best boolean")

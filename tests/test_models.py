@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from clickloom import schema
 from clickloom.operators import features, models
 from clickloom.sources import adapter
+from contract import learned
 from frames import at, records
 
 
@@ -164,3 +165,23 @@ def test_user_feature_ratios(make_events, spark, tables):
     assert (full.revenue, full.aov, full.views) == (24.0, 12.0, 4)
     assert features.customer_features(events, min_events=7).count() == 0
     assert features.user_features_basic(adapter.events(spark, tables)).where("conversion_rate > 1").count() == 0
+
+
+class Fitted(Exception):
+    """Carries what a fit was asked to read."""
+
+
+def read_by(monkeypatch, fit, query, spark, tables):
+    def stop(table, *_, **__):
+        raise Fitted(table.inputFiles())
+
+    monkeypatch.setattr(models, fit, stop)
+    with pytest.raises(Fitted) as asked:
+        query(spark, tables)
+    return asked.value.args[0]
+
+
+@pytest.mark.parametrize("query", ["_assigned", "_basic_segments"])
+def test_segments_are_fitted_on_features_computed_once(spark, tables, monkeypatch, query):
+    files = read_by(monkeypatch, "fit_segments", getattr(learned, query), spark, tables)
+    assert files and all("/features-" in f for f in files)
