@@ -57,8 +57,8 @@ RATED = ", rat AS (SELECT DISTINCT user_id, product_id FROM ev)"
 
 def _als_score(s, d):
     """Sizes of the training tables, and whether the fitted model beats the mean on the ratings it saw most of."""
-    fitted, rmse = _recommender(s, d)
-    ratings = features.interactions(adapter.events(s, d))
+    ratings = written(features.interactions(adapter.events(s, d)), "interactions")
+    fitted, rmse = models.fit_als(ratings)
     known = ratings.join(fitted.users, "user_id").join(fitted.products, "product_id")
     missed = F.col("prediction").cast("double") - F.col("rating")
     error = fitted.als.transform(known).agg(F.sqrt(F.avg(missed * missed))).scalar()

@@ -185,3 +185,8 @@ def read_by(monkeypatch, fit, query, spark, tables):
 def test_segments_are_fitted_on_features_computed_once(spark, tables, monkeypatch, query):
     files = read_by(monkeypatch, "fit_segments", getattr(learned, query), spark, tables)
     assert files and all("/features-" in f for f in files)
+
+
+def test_als_is_fitted_on_ratings_computed_once(spark, tables, monkeypatch):
+    files = read_by(monkeypatch, "fit_als", learned._als_score, spark, tables)
+    assert files and all("/interactions-" in f for f in files)
