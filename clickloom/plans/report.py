@@ -1,13 +1,14 @@
 """Reports: named analyses over prepared tables, insight rules, KPI digest."""
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators import activity, cart, features, journey, kpis, models, recommend, retention, traffic
+from clickloom.session import written
 from clickloom.sources import lake
 
 
@@ -21,6 +22,11 @@ class Tables:
     carts: DataFrame | None = None
     orders: DataFrame | None = None
 
+    def stored(self) -> "Tables":
+        """The tables written once, for reports of many analyses: none prepares its input again."""
+        frames = {f.name: getattr(self, f.name) for f in fields(self)}
+        return Tables(**{name: df if df is None else written(df, name) for name, df in frames.items()})
+
 
 @dataclass
 class Report:

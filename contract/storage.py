@@ -163,7 +163,7 @@ def _full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = report.Tables(
         events, adapter.users(spark, sf_dir), adapter.products(spark, sf_dir), adapter.carts(spark, sf_dir), adapter.orders(spark, sf_dir)
     )
-    built = report.build_report(tables)
+    built = report.build_report(tables.stored())
     failed = built.write(path, "parquet")
     out = []
     for name, frame in built.frames.items():

@@ -152,3 +152,12 @@ def test_registering_an_analysis(spark, make_events):
         assert report.build_report(report.Tables(make_events([{}])), ["test_only"]).frames["test_only"].count() == 1
     finally:
         report.ANALYSES.pop("test_only")
+
+
+def test_stored_tables_are_prepared_once(spark, tables):
+    """The analyses of a long report read written tables, not the plan that prepares them."""
+    given = report.Tables(adapter.events(spark, tables), products=adapter.products(spark, tables))
+    kept = given.stored()
+    assert kept.users is None and kept.events.columns == given.events.columns
+    assert all("/events-" in f for f in kept.events.inputFiles()) and kept.events.count() == given.events.count()
+    assert all("/products-" in f for f in kept.products.inputFiles())
