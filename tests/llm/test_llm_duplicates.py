@@ -98,6 +98,24 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(50)}
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Links that fit a task are written once; more of them go through rounds to the same components."""
+    writes, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, prefix: writes.append(prefix) or stored(df, prefix))
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(-i, -i - 1) for i in range(1, 60)]
+    want = {}
+    for a, b in links * 60:
+        low = min(want.get(a, a), want.get(b, b))
+        want[a] = want[b] = low
+    apart = {a for a, b in links if a == b} - {v for a, b in links if a != b for v in (a, b)}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert dict(rows_of(graph.components(frame), "node", "root")) == {v: r for v, r in want.items() if v not in apart}
+    assert writes == ["links"]
+    assert rows_of(graph.components(frame, 7), "node", "root") == rows_of(graph.components(frame), "node", "root")
+    assert len(writes) > 3
+
+
 def brute_repeats(texts, length):
     data = [(d, (t or "").encode()) for d, t in texts]
     count = Counter(t[i : i + length] for _, t in data for i in range(len(t) - length + 1))
