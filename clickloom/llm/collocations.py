@@ -11,7 +11,10 @@ One length to the next:
 - merge-join: the relation meets itself at the next place, which gives the
   occurrences of phrases one word longer (documents are whole rows, so the two
   sorted sides are neighbours in one array);
-- group-count: phrases are counted exactly inside a slice, then added up by Spark;
+- group-count: phrases are counted exactly inside a task, dealt by Spark over the
+  parts of a hash table, and added up part by part.  Pairs, of which most are rare,
+  are first counted by hash: two or three bytes for each place of the table go
+  between tasks, and only pairs whose place was met `least` times are spelt out;
 - semi-join: only occurrences of phrases with `least` occurrences stay.  A bitmap
   of bounded size stands for the frequent phrases; what it lets through by chance
   is counted like the rest and found to be rare.
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, over_texts, stored
+from clickloom.llm.common import LOWER, arrow_rows, over_texts, stored
 from clickloom.llm.marks import Marks, marks
 
 LEAST, LONGEST, BEST = 100, 5, 2000
@@ -40,6 +43,8 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 PIECES = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else LOWER[b] for b in range(256))
 #: Words, and bytes of texts, handled at a time.
 WORDS, TEXT_BYTES = 1 << 19, 4 << 20
+#: Places of one part of the hash table, words a place should hold at most, most parts, and pairs a task holds.
+PART, LOAD, PARTS, HELD = 1 << 16, 4, 1 << 13, 1 << 21
 RELATION = "lang string, at array<int>, word array<string>"
 COUNTED = "lang string, phrase string, n long"
 
@@ -106,6 +111,13 @@ class Occurrences:
             key = extend(key, later)
         return starts & of(key.view(np.int64))
 
+    def places(self, starts: np.ndarray, k: int, parts: int) -> np.ndarray:
+        """Places of the phrases of k words at the given starts in a hash table of some parts."""
+        key = self.hash[self.id[starts]]
+        for j in range(1, k):
+            key = extend(key, self.hash[self.id[starts + j]])
+        return (key >> np.uint64(32) & np.uint64(parts * PART - 1)).astype(np.int64)
+
     def extended(self, k: int, of: Marks | None) -> np.ndarray:
         """Starts of phrases of k words whose two parts of k - 1 words are frequent."""
         if k == 1:
@@ -113,8 +125,8 @@ class Occurrences:
         part = self.frequent(k - 1, of)
         return np.flatnonzero(part[:-1] & part[1:] & self.joined[:-1])
 
-    def counts(self, starts: np.ndarray, k: int) -> pa.RecordBatch:
-        """Phrases of k words at the given starts with their numbers of occurrences."""
+    def counts(self, starts: np.ndarray, k: int, parts: int = 0) -> pa.RecordBatch:
+        """Phrases of k words at the given starts with their numbers of occurrences, and their parts of the hash table."""
         key = self.id[starts]
         for j in range(1, k):
             key, _ = pd.factorize(key * (len(self.hash) + 1) + self.id[starts + j])
@@ -122,7 +134,10 @@ class Occurrences:
         one = starts[one]
         phrase = pc.binary_join_element_wise(*(self.words.take(pa.array(one + j)) for j in range(k)), " ")
         columns = [self.lang.take(pa.array(self.doc[one])), phrase, pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+        names = ["lang", "phrase", "n"]
+        if parts:
+            columns, names = [*columns, pa.array(self.places(one, k, parts) // PART)], [*names, "part"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def kept(self, keep: np.ndarray) -> pa.RecordBatch:
         """The relation with some of its occurrences; documents without any are left out."""
@@ -159,6 +174,108 @@ def added(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def part_rows(places: np.ndarray, least: int) -> pa.RecordBatch:
+    """A row for each part of the hash table that is met: its places and their numbers, which end at `least`."""
+    place, n = np.unique(places, return_counts=True)
+    at, n = (place % PART).astype("<u2"), np.minimum(n, least).astype(np.min_scalar_type(least))
+    part, first = np.unique(place // PART, return_index=True)
+    ends = np.append(first, len(place)).tolist()
+    columns = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (at, n)]
+    arrays = [pa.array(part.astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "at", "n"])
+
+
+def possible_pairs(relation: DataFrame, marked, n: int, least: int) -> tuple:
+    """(marks, parts): places of the hash table that pairs among n words meet `least` times, and the table's parts.
+
+    A pair with `least` occurrences is always on such a place, and others can be.
+    """
+    parts, least = 1, max(1, least)
+    while parts * PART * LOAD < n and parts < PARTS:
+        parts *= 2
+
+    def fill(batches):
+        of, held, size = Marks(marked.value), [], 0
+        for occurrences in slices_of(batches):
+            held.append(occurrences.places(occurrences.extended(2, of), 2, parts).astype(np.int32))
+            size += len(held[-1])
+            if size >= HELD:
+                yield part_rows(np.concatenate(held), least)
+                held, size = [], 0
+        if size:
+            yield part_rows(np.concatenate(held), least)
+
+    def add(batches):
+        kind, part, table = np.min_scalar_type(least), None, np.zeros(PART, np.int64)
+
+        def full():
+            places = np.flatnonzero(table >= least) + part * PART
+            return pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
+
+        for batch in batches:
+            for own, at, times in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n"))):
+                if own != part:
+                    if part is not None:
+                        yield full()
+                    part, table[:] = own, 0
+                table[np.frombuffer(at, "<u2")] += np.frombuffer(times, kind)
+        if part is not None:
+            yield full()
+
+    rows = relation.mapInArrow(fill, "part long, at binary, n binary").repartition("part").sortWithinPartitions("part")
+    return marks(stored(rows.mapInArrow(add, "place long"), "places"), "place"), parts
+
+
+def count_rows(counts: list[pa.RecordBatch]):
+    """A row for each part of the hash table: the added counts of its phrases as one Arrow batch."""
+    added = pa.Table.from_batches(counts).group_by(["part", "lang", "phrase"]).aggregate([("n", "sum")]).sort_by("part")
+    part, first = np.unique(added["part"].to_numpy(), return_index=True)
+    (batch,) = added.select(["lang", "phrase", "n_sum"]).combine_chunks().to_batches() or [None]
+    ends = np.append(first, len(added)).tolist()
+    blobs = [batch.slice(a, b - a).serialize().to_pybytes() for a, b in zip(ends, ends[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.array(blobs, pa.binary())], names=["part", "counts"])
+
+
+def added_by_part(relation: DataFrame, counted, least: int) -> DataFrame:
+    """(lang, phrase, n) of phrases with `least` occurrences; `counted` gives the counts and parts of slices.
+
+    Counts of a part meet in one task as Arrow batches; parts hold a bounded number of words on average.
+    """
+
+    def deal(batches):
+        held, size = [], 0
+        for counts in counted(batches):
+            if counts.num_rows:
+                held.append(counts)
+                size += counts.num_rows
+            if size >= HELD // 4:
+                yield count_rows(held)
+                held, size = [], 0
+        if held:
+            yield count_rows(held)
+
+    def add(batches):
+        part, held, form = None, [], pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_sum", pa.int64())])
+
+        def full():
+            n = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("n_sum", "sum")])
+            n = n.filter(pc.greater_equal(n["n_sum_sum"], least)).select(["lang", "phrase", "n_sum_sum"])
+            return n.rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            for own, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                if own != part:
+                    if held:
+                        yield from full()
+                    part, held = own, []
+                held.append(pa.ipc.read_record_batch(counts.as_buffer(), form))
+        if held:
+            yield from full()
+
+    rows = relation.mapInArrow(deal, "part long, counts binary").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(add, COUNTED)
+
+
 def phrase_marks(frequent: DataFrame):
     """A broadcast bitmap of the hashes of phrases."""
 
@@ -205,14 +322,19 @@ def frequent_phrases(
             yield occurrences.kept(keep)
 
     relation = stored(over_texts(named, "text", ["_lang"], pairs, RELATION), "occurrences")
+    size = totals.agg(F.sum("n")).first()[0] or 0
+    possible, parts = possible_pairs(relation, marked, size, least) if longest > 1 else (None, 0)
     for k in range(2, longest + 1):
 
         def count(batches, k=k, marked=marked):
-            of = Marks(marked.value)
+            of, among = Marks(marked.value), Marks(possible.value)
             for occurrences in slices_of(batches):
-                yield occurrences.counts(occurrences.extended(k, of), k)
+                starts = occurrences.extended(k, of)
+                if k == 2:
+                    starts = starts[among(occurrences.places(starts, 2, parts))]
+                yield occurrences.counts(starts, k, parts)
 
-        frequent = stored(added(relation.mapInArrow(count, COUNTED)).where(F.col("n") >= least), "phrases")
+        frequent = stored(added_by_part(relation, count, least), "phrases")
         found.append(frequent.withColumn("words", F.lit(k)))
         if k == longest:
             break
@@ -248,7 +370,8 @@ def collocations(
     floor(1000 * a * n / (l * r)); its lowest-scoring cut counts (ties: the first).
     A phrase goes if a longer frequent one around it occurs as often.
     """
-    found, totals = frequent_phrases(docs, text_col, lang_col, least, longest)
+    with arrow_rows(docs.sparkSession):
+        found, totals = frequent_phrases(docs, text_col, lang_col, least, longest)
     part = F.col("part")
     several = found.where("words > 1").withColumn("part", F.split("phrase", " "))
 

@@ -1,6 +1,7 @@
 """Shared pieces of the text operators."""
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,18 @@ def stored(df: DataFrame, prefix: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = SLICE_ROWS):
+    """What runs inside hands Python `rows` rows at a time at most: a batch of long rows stands in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def as_bytes(col: str) -> Column:
     """Text as UTF-8 bytes; null stays null."""
     return F.col(f"`{col}`").cast("string").cast("binary")

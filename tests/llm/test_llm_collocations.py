@@ -66,6 +66,32 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     assert collocations.collocations(docs(spark, [(1, None), (2, "")])).count() == 0
 
 
+def test_rare_pairs_are_not_spelt_out(spark, monkeypatch):
+    """Pairs of frequent words that are rare themselves are counted by hash only."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(["new york", "x" * 3, *words]) for _ in range(60)) for _ in range(120)]
+    texts += ["new york " * 300, "a b . b a . " * 9]
+    frame = docs(spark, list(enumerate(texts)), [r.choice(["en", "de"]) for _ in texts])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spelt, before, counts = [], spark.conf.get(key), collocations.added_by_part
+
+    def seen(relation, counted, least):
+        found = relation.mapInArrow(lambda b: (c.select(["phrase"]) for c in counted(b)), "phrase string")
+        spelt.append((found.count(), spark.conf.get(key)))
+        return counts(relation, counted, least)
+
+    monkeypatch.setattr(collocations, "added_by_part", seen)
+    monkeypatch.setattr(collocations, "LOAD", 0.001)
+    got = collocations.collocations(frame, least=30)
+    langs = [row.lang for row in frame.select("doc_id", "lang").orderBy("doc_id").collect()]
+    want = brute(list(zip(texts, langs)), 30, 5, 2000)
+    assert rows_of(got, *OUT) == want and len(want) > 2
+    pairs = {(lang, *p) for t, lang in zip(texts, langs) for piece in t.split(".") for p in zip(piece.split(), piece.split()[1:])}
+    assert len(pairs) > 3000 and spelt[0][0] < 300
+    assert {rows for _, rows in spelt} == {"2000"} and spark.conf.get(key) == before
+
+
 def test_relation_slices_keep_documents_whole():
     import pyarrow as pa
 
