@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from clickloom.functions import traffic
 from clickloom.functions.values import count_if, event_order, flag, money, one_per_id, percent, ratio
 from clickloom.operators.ordered import across_slots, in_slot, with_slot
+from clickloom.session import shuffled_over, written
 
 _OPEN = ("abandoned", "active")
+#: Items that a task of a join holds.
+TASK = 1_000_000
 
 
 def abandonment(events: DataFrame) -> DataFrame:
@@ -278,14 +281,23 @@ def cart_items(carts: DataFrame) -> DataFrame:
     return carts.select("*", F.inline("items")).drop("items")
 
 
-def enriched_items(carts: DataFrame, products: DataFrame) -> DataFrame:
-    """Cart items with their product's name, category and line value."""
+def enriched_items(carts: DataFrame, products: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cart items with their product's name, category and line value.
+
+    With ``rows``, the number of items, a task of the joins holds about ``TASK`` of
+    them; where that takes more tasks than the session plans, the result is written.
+    """
     details = one_per_id(products, "product_id", ["name", "category"])
     quantity = F.greatest(F.lit(1), F.coalesce("quantity", F.lit(1)))
-    return carts.join(details, "product_id", "left").select(
+    items = carts.join(details, "product_id", "left").select(
         "cart_id", "product_id", "name", "category", quantity.alias("quantity"), "price",
         F.round(F.coalesce("price", F.lit(0.0)) * quantity, 2).alias("line_value"),
     )
+    spark, tasks = carts.sparkSession, -(-(rows or 0) // TASK)
+    if tasks <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return items
+    with shuffled_over(spark, tasks):
+        return written(items, "items")
 
 
 def cart_totals(carts: DataFrame) -> DataFrame:

@@ -131,7 +131,8 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         status.alias("status"),
     )
-    return items.join(heads.join(updated, "l_orderkey"), "l_orderkey").select(
+    # A left join with unique keys is left out of the plans that do not read updated_at.
+    return items.join(heads.join(updated, "l_orderkey", "left"), "l_orderkey").select(
         F.col("l_orderkey").alias("cart_id"),
         "user_id",
         F.col("l_orderkey").cast("string").alias("session_id"),
@@ -144,6 +145,11 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cart_rows(spark: SparkSession, sf_dir: str) -> int:
+    """The number of rows of carts() at most, read from the file's metadata."""
+    return _table(spark, sf_dir, "lineitem").count()
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"),

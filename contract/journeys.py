@@ -389,7 +389,7 @@ add(
 )
 add(
     "c14_enriched_items",
-    lambda s, d: cart.enriched_items(adapter.carts(s, d), adapter.products(s, d)).select(
+    lambda s, d: cart.enriched_items(adapter.carts(s, d), adapter.products(s, d), adapter.cart_rows(s, d)).select(
         "cart_id", "product_id", "name", "category", "quantity", "line_value"
     ),
     over_events(

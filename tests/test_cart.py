@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom import schema
 from clickloom.operators import baskets, cart
+from clickloom.sources import adapter
 from frames import at, records
 from test_journey import by_session, random_rows
 
@@ -230,3 +231,19 @@ def test_recovery_with_one_session_of_many_users(spark, make_events):
     rows.append({"event_type": "purchase", "user_id": "u7", "session_id": "c"})
     got = {r.user_id: r.abandoned_carts for r in cart.recovery_opportunities(make_events(rows)).collect()}
     assert got == {"u1": 3}
+
+
+def test_enriched_items_are_dealt_over_tasks_by_their_number(spark, tables, monkeypatch):
+    """A task's share of the items is bounded, line items are read once, and the setting is put back."""
+    key, planned, kept = "spark.sql.shuffle.partitions", [], cart.written
+    before = spark.conf.get(key)
+    carts, products = adapter.carts(spark, tables), adapter.products(spark, tables)
+    want = Counter(cart.enriched_items(carts, products).collect())
+    monkeypatch.setattr(cart, "written", lambda df, name: planned.append(int(spark.conf.get(key))) or kept(df, name))
+    rows = adapter.cart_rows(spark, tables)
+    assert Counter(cart.enriched_items(carts, products, rows).collect()) == want and planned == []
+    monkeypatch.setattr(cart, "TASK", 500)
+    assert Counter(cart.enriched_items(carts, products, rows).collect()) == want and sum(want.values()) == rows
+    assert planned == [-(-rows // 500)] and spark.conf.get(key) == before
+    plan = cart.enriched_items(carts, products)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # that of the products
