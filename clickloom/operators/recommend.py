@@ -203,16 +203,18 @@ def _tag_lists(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     tagged = profiles.select("profile", F.explode("tags").alias("tag"))
     spread = tagged.groupBy("tag").agg(F.count("*").alias("spread"))
     commonest = tagged.join(spread, "tag").groupBy("profile").agg(F.max_by("tag", F.struct("spread", "tag")).alias("common"))
-    own = profiles.select("profile", F.col("category").alias("other"), "tags").join(commonest, "profile")
+    own = profiles.select("profile", F.col("category").alias("other"), "tags", F.size("members").alias("size")).join(commonest, "profile")
     tag = F.explode(F.filter("tags", lambda t: t != F.col("common"))).alias("tag")
-    rare = own.select("profile", "other", "tags", tag)
+    rare = own.select("profile", "other", "tags", "size", tag)
     first = Window.partitionBy("common").orderBy("profile")
-    return rare, own.select("profile", "other", "tags", F.col("common").alias("tag"), F.row_number().over(first).alias("nth"))
+    return rare, own.select("profile", "other", "tags", "size", F.col("common").alias("tag"), F.row_number().over(first).alias("nth"))
 
 
 def _profile_hits(known: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
     """(session, profile, points) for every profile that can reach the session's top ``n``.
 
+    The profile's number of products and the session's number of touched ones come with them.
+
     A session's ``least`` is the best score that its categories alone give to ``n``
     untouched products.  A category is out of reach if it stays below even with
     all tags its products have, a profile of another category if twice its tags do.
@@ -240,18 +242,19 @@ def _profile_hits(known: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
     def shared(own):
         return F.greatest(F.size(F.array_intersect("tags", own)), F.lit(0))
 
-    near = context.select("session_id", "own_tags", "least", n_tags.alias("n_tags"), F.inline("entries")).where(
+    near = context.select("session_id", "own_tags", "least", "touched", n_tags.alias("n_tags"), F.inline("entries")).where(
         F.col("base") + 2.0 * F.least("most", "n_tags") >= F.col("least")
     )
-    by_category = near.join(profiles.select("category", "profile", "tags"), "category").select(
-        "session_id", "profile", (F.col("base") + 2.0 * shared("own_tags")).alias("points")
+    size = F.size("members").alias("size")
+    by_category = near.join(profiles.select("category", "profile", "tags", size), "category").select(
+        "session_id", "profile", (F.col("base") + 2.0 * shared("own_tags")).alias("points"), "size", "touched"
     )
     rare, common = _tag_lists(profiles)
     apart = context.where((n_tags > 0) & (2.0 * n_tags >= F.col("least"))).select(
         "session_id", "own_tags", "least", "touched", "entries.category", F.explode("own_tags").alias("tag")
     )
     first = apart.where(F.col("least") <= 2.0).withColumn("nth", F.explode(F.sequence(F.lit(1), (F.col("touched") + n).cast("int"))))
-    columns = ["session_id", "own_tags", "least", "category", "profile", "other", "tags"]
+    columns = ["session_id", "own_tags", "least", "touched", "category", "profile", "other", "tags", "size"]
     by_tag = (
         apart.join(rare.where(F.size("tags") > 0), "tag")
         .where(2.0 * F.size("tags") >= F.col("least"))
@@ -259,7 +262,7 @@ def _profile_hits(known: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
         .unionByName(first.join(common, ["tag", "nth"]).select(*columns))
         .where(~F.array_contains("category", F.col("other")))
         .groupBy("session_id", "profile")
-        .agg(F.first(2.0 * shared("own_tags")).alias("points"))
+        .agg(F.first(2.0 * shared("own_tags")).alias("points"), F.first("size").alias("size"), F.first("touched").alias("touched"))
     )
     return by_category.unionByName(by_tag)
 
@@ -271,8 +274,8 @@ def session_candidates(events: DataFrame, products: DataFrame, n: int = 12) -> D
     Products with the same category and tags score alike, so sessions are
     matched with those profiles.  A profile behind better ones that already
     offer ``n`` products the session has not touched cannot add to the list.
-    Of the others only the first products by id can: ``n`` of them, plus one
-    for each the session touched.
+    Of the others only the first untouched products by id can, as many as the
+    better profiles leave room for, and those the session touched.
     """
     catalogue = products.select("product_id", "category", F.sort_array(F.array_distinct("tags")).alias("tags"))
     profiles = catalogue.groupBy("category", "tags").agg(
@@ -283,28 +286,41 @@ def session_candidates(events: DataFrame, products: DataFrame, n: int = 12) -> D
         F.max(F.col("event_type").isin("pageview", "product_view")).alias("viewed"),
     )
     members = profiles.select("profile", "category", "tags", F.explode("members").alias("product_id"))
-    known = touched.select("session_id", "product_id").join(members, "product_id")
+    known = written(touched.join(members, "product_id"), "known")
 
     hits = _profile_hits(known, profiles, n)
-    used = known.groupBy("session_id", "profile").agg(F.count("*").cast("int").alias("used"))
-    sizes = profiles.select("profile", F.size("members").alias("size"))
+    product = F.col("product_id")
+    used = known.groupBy("session_id", "profile").agg(
+        F.count("*").cast("int").alias("used"),
+        F.collect_list(product).alias("own"),
+        F.collect_list(F.when(~F.coalesce("in_cart", F.lit(False)), product)).alias("kept"),
+        F.collect_list(F.when(F.col("viewed"), product)).alias("seen"),
+    )
     better = Window.partitionBy("session_id").orderBy(F.desc("points")).rangeBetween(
         Window.unboundedPreceding, -1
     )
+
+    def ahead(free):
+        return F.coalesce(F.sum(free).over(better), F.lit(0))
+
+    # Most profiles are out of reach even if all that the session touched were of better ones.
     free = F.col("size") - F.coalesce("used", F.lit(0))
     wanted = (
-        hits.join(used, ["session_id", "profile"], "left")
-        .join(sizes, "profile")
-        .withColumn("ahead", F.coalesce(F.sum(free).over(better), F.lit(0)))
+        hits.withColumn("ahead", ahead(F.col("size")))
+        .where(F.col("ahead") - F.col("touched") < n)
+        .join(used, ["session_id", "profile"], "left")
+        .withColumn("ahead", ahead(free))
         .where(F.col("ahead") < n)
     )
-    reach = F.coalesce("used", F.lit(0)) + n
+    room = (n - F.col("ahead")).cast("int")
+    others = F.filter(F.slice("members", F.lit(1), F.col("used") + room), lambda m: ~F.array_contains("own", m))
+    offers = F.when(F.col("own").isNull(), F.slice("members", F.lit(1), room)).otherwise(
+        F.concat(F.slice(others, F.lit(1), room), "kept")
+    )
     scored = (
         wanted.join(profiles.select("profile", "members"), "profile")
-        .select("session_id", "points", F.explode(F.slice("members", F.lit(1), reach)).alias("product_id"))
-        .join(touched, ["session_id", "product_id"], "left")
-        .where(~F.coalesce("in_cart", F.lit(False)))
-        .withColumn("score", F.col("points") - F.when(F.col("viewed"), 2.0).otherwise(0.0))
+        .select("session_id", "points", "seen", F.explode(offers).alias("product_id"))
+        .withColumn("score", F.col("points") - F.when(F.array_contains("seen", F.col("product_id")), 2.0).otherwise(0.0))
     )
     best = Window.partitionBy("session_id").orderBy(F.desc("score"), "product_id")
     return (

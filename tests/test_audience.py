@@ -172,6 +172,21 @@ def test_a_tag_on_a_third_of_the_catalogue(spark, make_events):
     assert hits < 30 * 40  # 150 products have the tag
 
 
+def test_profiles_offer_what_better_ones_leave_room_for(spark, make_events):
+    """Large profiles that sessions know well; the events are read once, for the table of touched products."""
+    rng = random.Random(12)
+    catalogue = [(f"p{i:02d}", f"n{i}", f"c{i % 2}", 1.0, [["red"], ["red", "big"], []][i // 2 % 3]) for i in range(60)]
+    products = spark.createDataFrame(catalogue, schema.PRODUCTS)
+    rows = []
+    for s in range(12):
+        for i in rng.sample(range(60), rng.choice([1, 2, 8, 40])):
+            rows.append({"session_id": f"s{s}", "product_id": f"p{i:02d}", "event_type": rng.choice(["pageview", "add_to_cart", "purchase"])})
+    for n in (2, 7, 30):
+        found = recommend.session_candidates(make_events(rows), products, n)
+        assert set(records(found)) == brute_candidates(rows, catalogue, n)
+    assert "event_type" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_history_keeps_the_newest(spark):
     ddl = "user_id string, created_at timestamp, items int"
     old = spark.createDataFrame([("a", at(i), i) for i in range(6)], ddl)
