@@ -25,16 +25,28 @@ def stored(df: DataFrame, prefix: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The setting for the rows that Python gets at a time.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def limit_rows(spark: SparkSession, rows: int = SLICE_ROWS) -> str:
+    """From now on Python gets `rows` rows at a time at most: a batch of long rows stands in the JVM and in Python.
+
+    Returns the setting before.  Spark reads it when a plan runs, so it has to stay for results that the caller writes.
+    """
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    return before
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = SLICE_ROWS):
-    """What runs inside hands Python `rows` rows at a time at most: a batch of long rows stands in the JVM and in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    """`limit_rows` for what runs inside."""
+    before = limit_rows(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def as_bytes(col: str) -> Column:
@@ -59,11 +71,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "_text") -> Iterator[p
 
 
 def over_texts(df: DataFrame, text: str, keep: list[str], run: Callable, schema: str) -> DataFrame:
-    """Map `run` over slices of (kept columns, `_text` as bytes); it yields record batches of `schema`."""
-    chosen = df.select(*[F.col(f"`{c}`") for c in keep], as_bytes(text).alias("_text"))
+    """Map `run` over slices of (kept columns, `_text` as bytes); it yields record batches of `schema`.
+
+    If the text is kept, it goes to Python once: there the kept column is a view of `_text`.
+    """
+    once = text in keep and kind(df, text) == "string"
+    chosen = df.select(*[F.col(f"`{c}`") for c in keep if not (once and c == text)], as_bytes(text).alias("_text"))
+
+    def viewed(batch):
+        own = batch.column("_text")
+        own = own.view(pa.large_string() if pa.types.is_large_binary(own.type) else pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, text])
 
     def task(batches):
-        yield from run(slices(batches))
+        yield from run(map(viewed, slices(batches)) if once else slices(batches))
 
     return chosen.mapInArrow(task, schema)
 

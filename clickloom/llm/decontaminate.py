@@ -137,9 +137,12 @@ def find_leaks(
     `keep` lists the input columns to carry along, by default the id alone.
     """
     keep = keep or [id_col]
-    fields = ", ".join(f"`{c}` {kind(docs, c)}" for c in keep)
+    # A kept text goes through Python once, as the bytes.
+    back = {text_col: F.col("_text").cast("string").alias(text_col)} if kind(docs, text_col) == "string" else {}
+    carried = [c for c in keep if c not in back]
+    fields = "".join(f"`{c}` {kind(docs, c)}, " for c in carried)
     state = "n_words long, hit_spans array<struct<first: bigint, stop: bigint>>, item_ids array<string>"
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], as_bytes(text_col).alias("_text"))
+    df = docs.select(*[F.col(f"`{c}`") for c in carried], as_bytes(text_col).alias("_text"))
     for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
         matcher = Matcher(windows_of(items, window))
 
@@ -157,10 +160,10 @@ def find_leaks(
                         runs = merged(runs + [(s["first"], s["stop"]) for s in had])
                     all_spans.append([{"first": a, "stop": b} for a, b in runs] if runs else had)
                     all_ids.append(sorted({*known, *found}))
-                columns = [batch.column(c) for c in [*keep, "_text"]]
+                columns = [batch.column(c) for c in [*carried, "_text"]]
                 columns += [pa.array(counts, pa.int64()), pa.array(all_spans, SPANS), pa.array(all_ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_text", "n_words", "hit_spans", "item_ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*carried, "_text", "n_words", "hit_spans", "item_ids"])
 
-        df = df.mapInArrow(search, f"{fields}, _text binary, {state}")
+        df = df.mapInArrow(search, f"{fields}_text binary, {state}")
     inside = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
-    return df.select(*[F.col(f"`{c}`") for c in keep], "n_words", inside.alias("n_hit"), "hit_spans", "item_ids")
+    return df.select(*[back.get(c, F.col(f"`{c}`")) for c in keep], "n_words", inside.alias("n_hit"), "hit_spans", "item_ids")

@@ -279,15 +279,14 @@ def pack(
         *[F.col(f"`{c}`") for c in pieces.columns if c not in ("chunk", "nth")],
         (F.col("_before") + F.col("nth")).alias("_rank"),
     )
-    names = [c for c in ranked.columns if c != "_rank"]
-
-    def deal(batches):
-        for batch in batches:
-            key = (np.asarray(batch.column("length")) << 44) + np.asarray(batch.column("_rank"))
-            at = np.searchsorted(first, key, "right") - 1
-            columns = [batch.column(c) for c in names]
-            columns += [pa.array(sequence[at] + key - first[at]), pa.array(offset[at])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
-
-    fields = ", ".join(f"`{c}` {kind(ranked, c)}" for c in names)
-    return ranked.mapInArrow(deal, f"{fields}, sequence_id long, offset long")
+    names = [f"`{c}`" for c in ranked.columns if c != "_rank"]
+
+    # Only lengths and ranks go to Python, not the token ids.
+    @F.arrow_udf("sequence_id long, offset long")
+    def deal(length: pa.Array, rank: pa.Array) -> pa.Array:
+        key = (np.asarray(length) << 44) + np.asarray(rank)
+        at = np.searchsorted(first, key, "right") - 1
+        columns = [pa.array(sequence[at] + key - first[at]), pa.array(offset[at])]
+        return pa.StructArray.from_arrays(columns, names=["sequence_id", "offset"])
+
+    return ranked.withColumn("_place", deal("length", "_rank")).select(*names, "_place.sequence_id", "_place.offset")

@@ -13,13 +13,16 @@ to the shared folder and reads it back as the next one's documents.
 - decontamination: documents that hold a window of a benchmark item go.
 - packing: pieces of token sequences with their place and their token ids
   (`ids`, little-endian 32-bit).
+
+All stages run on the same executors, whose memory keeps what the largest batches
+took.  So each stage limits the rows of a batch for the session (`limit_rows`).
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm import decontaminate, langid, packing, simhash, suffix_dedup
-from clickloom.llm.common import as_bytes, stored, table
+from clickloom.llm.common import as_bytes, limit_rows, stored, table
 from clickloom.llm.queries import language_model, public_path
 
 #: Bytes of a repeated passage: over 50 words have more in 99 of 100 places of the languages at hand.
@@ -44,6 +47,7 @@ def _named(result: DataFrame, docs: DataFrame, changed: dict[str, Column] | None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_rows(spark)
     plain = _plain(docs)
     found = langid.predict(plain, language_model(docs), _at(docs, "doc_id"), _at(docs, "text"), plain.columns)
     return _named(found.where("lang_pred <> 'und'"), docs)
@@ -55,6 +59,7 @@ def row_key(doc_id: Column, digest: Column) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_rows(spark)
     plain, doc_id, text = _plain(docs), _at(docs, "doc_id"), _at(docs, "text")
     digest = F.sha2(F.coalesce(as_bytes(text), F.lit("").cast("binary")), 256)
     keyed = plain.select(doc_id, text, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("d")).alias("_row"))
@@ -70,9 +75,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plain, text = _plain(docs), _at(docs, "text")
-    cut = suffix_dedup.remove_repeats(plain, text, plain.columns, characters=True, length=PASSAGE)
-    left = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(text))
+    limit_rows(spark)
+    text = _at(docs, "text")
+    plain = _plain(docs).withColumn("_none", F.col(text).isNull())
+    others = [c for c in plain.columns if c != text]
+    cut = suffix_dedup.remove_repeats(plain, text, others, characters=True, length=PASSAGE)
+    left = F.when(~F.col("_none"), F.col("kept").cast("string"))
     changed = {"text": left}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length(left)).otherwise(F.col(_at(docs, "n_chars")))
@@ -80,6 +88,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_rows(spark)
     plain = _plain(docs)
     leaks = decontaminate.find_leaks(
         plain, table(spark, sf_dir, "benchmark"), id_col=_at(docs, "doc_id"), text_col=_at(docs, "text"), keep=plain.columns
@@ -88,6 +97,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_rows(spark)
     return packing.pack(docs, public_path("byte_bpe_50k.json"), keep_ids=True)
 
 

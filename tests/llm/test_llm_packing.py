@@ -127,3 +127,11 @@ def test_one_length_holds_a_third(spark):
     got = packing.pack(docs(spark, texts), PATH, capacity=64)
     ids = rows_of(got, "sequence_id", "offset")
     assert len(set(ids)) == len(ids) == got.count()
+
+
+def test_token_ids_stay_out_of_python_when_pieces_are_dealt(spark, capsys):
+    packed = packing.pack(docs(spark, odd_texts()), public_path("byte_bpe_50k.json"), keep_ids=True)
+    packed.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert "ids" in packed.columns and packed.columns[-2:] == ["sequence_id", "offset"]

@@ -1,11 +1,13 @@
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from llm_cases import docs, odd_texts, plain_words, prose
 from pyspark.sql import functions as F
 from test_llm_duplicates import brute_fingerprint, brute_roots
 
 from clickloom.llm import langid, packing, queries
-from clickloom.llm.common import stored
+from clickloom.llm.common import ARROW_ROWS, over_texts, stored
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -42,6 +44,41 @@ def test_stages_on_odd_tables(spark):
     assert corpus_pipeline.best_fit_packing(spark, frame.where("false"), TABLES).count() == 0
 
 
+def test_kept_texts_go_to_python_once(spark):
+    def run(slices):
+        for batch in slices:
+            shared = batch.column("text").buffers()[2].address == batch.column("_text").buffers()[2].address
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array([shared] * batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "shared"])
+
+    texts = [(i, t) for i, (_, t) in enumerate(odd_texts())]
+    got = over_texts(docs(spark, texts), "text", ["doc_id", "text"], run, "doc_id long, text string, shared boolean").collect()
+    assert all(r.shared for r in got)
+    assert sorted((r.doc_id, r.text) for r in got) == texts
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_limit_the_rows_of_a_batch(spark, name, stage):
+    """Also for what the caller runs: Spark reads the setting when a plan runs."""
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        for rows, want in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(ARROW_ROWS, rows)
+            stage(spark, docs(spark, [(1, prose(1, 60))]), TABLES)
+            assert spark.conf.get(ARROW_ROWS) == want
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def test_null_texts_stay_null_where_passages_go(spark):
+    shared = prose(1, 120)
+    texts = [(1, None), (2, ""), (3, shared + " x"), (4, "y " + shared), (5, "z"), (6, None)]
+    rows = corpus_pipeline.repeated_passages(spark, docs(spark, texts), TABLES).collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert len(rows) == 6 and (got[1], got[2], got[5], got[6]) == (None, "", "z", None)
+    assert len(got[3]) < 10 and len(got[4]) < 10
+
+
 def test_packing_returns_the_token_ids(spark):
     texts = [(i, prose(i, 900)) for i in range(4)] + [(8, None)]
     words = packing.WordIds(packing.load_bpe(queries.public_path("byte_bpe_50k.json")))
