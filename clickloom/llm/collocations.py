@@ -3,8 +3,9 @@
 An occurrence is (document, place, word), sorted by document and place; places
 count words from 0 and leave one out between pieces, so words stand side by side
 in one piece exactly if their places follow each other.  The relation is kept as
-one row per document with parallel arrays, sorted by place, and written to the
-shared folder once per phrase length.
+one row per document with its words and the gaps between their places as two
+packed values, so the JVM moves bytes and no elements, and written to the shared
+folder once per phrase length.  Counts of phrases stay on the executors' disks.
 
 One length to the next:
 
@@ -32,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 #: A-Z to a-z, and `[.,;:!?\x0A-\x0D]` to one mark.
 PIECES = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else LOWER[b] for b in range(256))
 #: Words, and bytes of texts, handled at a time.
-WORDS, TEXT_BYTES = 1 << 19, 4 << 20
+WORDS, TEXT_BYTES = 1 << 18, 2 << 20
 #: Places of one part of the hash table, words a place should hold at most, most parts, and pairs a task holds.
-PART, LOAD, PARTS, HELD = 1 << 16, 4, 1 << 13, 1 << 21
-RELATION = "lang string, at array<int>, word array<string>"
+PART, LOAD, PARTS, HELD = 1 << 16, 4, 1 << 13, 1 << 20
+RELATION = "lang string, gaps binary, words string"
 COUNTED = "lang string, phrase string, n long"
 
 
@@ -140,13 +142,34 @@ class Occurrences:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def kept(self, keep: np.ndarray) -> pa.RecordBatch:
-        """The relation with some of its occurrences; documents without any are left out."""
+        """The packed relation with some of its occurrences; documents without any are left out."""
         size = np.bincount(self.doc[keep], minlength=len(self.lang))
         stay = np.flatnonzero(size)
-        ends = pa.array(np.append(0, np.cumsum(size[stay])).astype(np.int32))
-        chosen = pa.array(np.flatnonzero(keep))
-        at, word = (pa.ListArray.from_arrays(ends, x.take(chosen)) for x in (pa.array(self.at), self.words))
-        return pa.RecordBatch.from_arrays([self.lang.take(pa.array(stay)), at, word], names=["lang", "at", "word"])
+        ends = np.append(0, np.cumsum(size[stay])).astype(np.int32)
+        word = pa.ListArray.from_arrays(pa.array(ends), self.words.take(pa.array(np.flatnonzero(keep))))
+        return packed(self.lang.take(pa.array(stay)), ends, self.at[keep], word)
+
+
+def packed(lang: pa.Array, ends: np.ndarray, at: np.ndarray, word: pa.ListArray) -> pa.RecordBatch:
+    """Rows of the relation: gaps between a document's places as 32-bit numbers, and its words with blanks between."""
+    gaps = np.diff(at, prepend=0).astype("<i4")
+    gaps[ends[:-1]] = at[ends[:-1]]
+    blobs = pa.Array.from_buffers(pa.binary(), len(lang), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(gaps)])
+    return pa.RecordBatch.from_arrays([lang, blobs, pc.binary_join(word, " ")], names=["lang", "gaps", "words"])
+
+
+def unpacked(batches):
+    """Rows of the relation with their places and words as parallel arrays, WORDS at a time."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("gaps")).to_numpy() // 4
+        for a, b in spans(sizes):
+            lang, gaps, words = batch.slice(a, b - a).columns
+            size, gap = sizes[a:b], np.frombuffer(b"".join(gaps.to_pylist()), "<i4")
+            ends = np.append(0, np.cumsum(size))
+            run, first = np.cumsum(gap, dtype=np.int64), ends[:-1]
+            at = (run - np.repeat(run[first] - gap[first], size)).astype(np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([lang, at, pc.split_pattern(words, " ")], names=["lang", "at", "word"])
 
 
 def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -159,15 +182,31 @@ def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 def slices_of(batches):
     """Occurrences of batches of the relation, WORDS at a time."""
     for batch in batches:
-        size = pc.list_value_length(batch.column("at")).to_numpy()
-        start, held = 0, 0
-        for i, n in enumerate(size.tolist()):
-            if held and held + n > WORDS:
-                yield Occurrences(*(batch.column(c).slice(start, i - start) for c in ("lang", "at", "word")))
-                start, held = i, 0
-            held += n
-        if held:
-            yield Occurrences(*(batch.column(c).slice(start) for c in ("lang", "at", "word")))
+        for a, b in spans(pc.list_value_length(batch.column("at")).to_numpy()):
+            yield Occurrences(*(batch.column(c).slice(a, b - a) for c in ("lang", "at", "word")))
+
+
+def spans(size: np.ndarray):
+    """Runs of documents of the given numbers of words that hold WORDS words, or one document."""
+    start, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > WORDS:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if held:
+        yield start, len(size)
+
+
+def counted_once(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept on the executors' disks.
+
+    For small tables dealt over many tasks: files in the shared folder can cost forks of the executor, as a local file
+    system sets the rights of each by a command.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
 
 
 def added(counts: DataFrame) -> DataFrame:
@@ -196,7 +235,7 @@ def possible_pairs(relation: DataFrame, marked, n: int, least: int) -> tuple:
 
     def fill(batches):
         of, held, size = Marks(marked.value), [], 0
-        for occurrences in slices_of(batches):
+        for occurrences in slices_of(unpacked(batches)):
             held.append(occurrences.places(occurrences.extended(2, of), 2, parts).astype(np.int32))
             size += len(held[-1])
             if size >= HELD:
@@ -223,7 +262,10 @@ def possible_pairs(relation: DataFrame, marked, n: int, least: int) -> tuple:
             yield full()
 
     rows = relation.mapInArrow(fill, "part long, at binary, n binary").repartition("part").sortWithinPartitions("part")
-    return marks(stored(rows.mapInArrow(add, "place long"), "places"), "place"), parts
+    places = counted_once(rows.mapInArrow(add, "place long"))
+    possible = marks(places, "place")
+    places.unpersist()
+    return possible, parts
 
 
 def count_rows(counts: list[pa.RecordBatch]):
@@ -248,7 +290,7 @@ def added_by_part(relation: DataFrame, counted, least: int) -> DataFrame:
             if counts.num_rows:
                 held.append(counts)
                 size += counts.num_rows
-            if size >= HELD // 4:
+            if size >= HELD // 2:
                 yield count_rows(held)
                 held, size = [], 0
         if held:
@@ -321,20 +363,20 @@ def frequent_phrases(
             keep[starts] = keep[starts + 1] = True
             yield occurrences.kept(keep)
 
-    relation = stored(over_texts(named, "text", ["_lang"], pairs, RELATION), "occurrences")
+    relation = stored(over_texts(named, "text", ["_lang"], pairs, RELATION), "occurrences", compression="zstd")
     size = totals.agg(F.sum("n")).first()[0] or 0
     possible, parts = possible_pairs(relation, marked, size, least) if longest > 1 else (None, 0)
     for k in range(2, longest + 1):
 
         def count(batches, k=k, marked=marked):
             of, among = Marks(marked.value), Marks(possible.value)
-            for occurrences in slices_of(batches):
+            for occurrences in slices_of(unpacked(batches)):
                 starts = occurrences.extended(k, of)
                 if k == 2:
                     starts = starts[among(occurrences.places(starts, 2, parts))]
                 yield occurrences.counts(starts, k, parts)
 
-        frequent = stored(added_by_part(relation, count, least), "phrases")
+        frequent = counted_once(added_by_part(relation, count, least))
         found.append(frequent.withColumn("words", F.lit(k)))
         if k == longest:
             break
@@ -342,14 +384,14 @@ def frequent_phrases(
 
         def semi_join(batches, k=k, marked=marked):
             of = Marks(marked.value)
-            for occurrences in slices_of(batches):
+            for occurrences in slices_of(unpacked(batches)):
                 starts = np.flatnonzero(occurrences.frequent(k, of))
                 keep = np.zeros(len(occurrences.id), bool)
                 for j in range(k):
                     keep[starts + j] = True
                 yield occurrences.kept(keep)
 
-        relation = stored(relation.mapInArrow(semi_join, RELATION), "occurrences")
+        relation = stored(relation.mapInArrow(semi_join, RELATION), "occurrences", compression="zstd")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

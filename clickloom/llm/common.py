@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, prefix: str) -> DataFrame:
-    """`df` written to the shared folder and read back: computed once, lineage cut."""
+def stored(df: DataFrame, prefix: str, **options: str) -> DataFrame:
+    """`df` written to the shared folder, with options of the writer, and read back: computed once, lineage cut."""
     path = shared_dir(df.sparkSession, prefix)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

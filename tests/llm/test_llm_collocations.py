@@ -104,3 +104,28 @@ def test_relation_slices_keep_documents_whole():
     finally:
         collocations.WORDS = old
     assert found == [["a", "b", "c"], ["a", "b"], ["c"] * 9]
+
+
+def test_relation_is_packed_and_phrases_write_no_files(spark, monkeypatch):
+    """The relation's rows hold no lists, whose elements would pass the JVM one by one; tables of phrases are not written."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "WORDS", 5)
+    words = [["a", "日本", "\x00z"], ["b"], ["a", "b", "a", "c"], ["d"] * 9, ["x"]]
+    at = [[4, 5, 9], [0], [1, 2, 7, 1 << 30], [*range(0, 18, 2)], [1]]
+    lists = (pa.array(at, pa.list_(pa.int32())), pa.array(words))
+    langs = pa.array(["en", "de", "und", "en", "fr"])
+    ends = lists[0].offsets.to_numpy()
+    rows = collocations.packed(langs, ends, lists[0].flatten().to_numpy(), lists[1])
+    got = [b for half in (rows.slice(0, 2), rows.slice(2), rows.slice(0, 0)) for b in collocations.unpacked([half])]
+    for name, want in (("lang", langs.to_pylist()), ("at", at), ("word", words)):
+        assert [x for b in got for x in b.column(name).to_pylist()] == want
+    assert [b.num_rows for b in got] == [2, 1, 1, 1]
+
+    written, stored = [], collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, name, **o: written.append((name, df.schema)) or stored(df, name, **o))
+    frame = docs(spark, list(enumerate(["a b c d e f. a b"] * 9)))
+    found = {row.phrase: row.a for row in collocations.collocations(frame, least=8).collect()}
+    assert found == {"a b": 18, "a b c d e": 9, "b c d e f": 9}
+    assert [prefix for prefix, _ in written] == ["words"] + ["occurrences"] * 4
+    assert all(f.dataType.typeName() in ("string", "binary") for _, schema in written[1:] for f in schema)
